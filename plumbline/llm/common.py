@@ -51,3 +51,9 @@ def plan_bytes(df: DataFrame) -> int:
 def broadcast_if_small(df: DataFrame, limit: int = 8 << 20) -> DataFrame:
     """Broadcast hint only if the size estimate is below ``limit``; else the planner chooses."""
     return F.broadcast(df) if plan_bytes(df) <= limit else df
+
+
+def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Keep Arrow batches small, so that long texts don't add up in a Python worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
