@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from plumbline.llm import license_scan, packing, quality, url_filter
+from plumbline.llm import langid, license_scan, packing, quality, url_filter
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_license_scan": license_scan.op2_license_scan,
     "op7_url_filter": url_filter.op7_url_filter,
     "op9_quality": quality.op9_quality,
+    "op10_langid": langid.op10_langid,
 }
 
 ORACLES = {
