@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import let, table
+from plumbline.llm.common import let, materialize, table
 
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]+"
@@ -166,9 +166,13 @@ def js_distance(counts: Column, reference: list[float]) -> Column:
     )))).otherwise(1.0))
 
 
-def judge_quality(docs: DataFrame, rules: QualityRules = QualityRules(), text: str = "text", lang: str = "lang", references: dict | None = None) -> DataFrame:
+def judge_quality(docs: DataFrame, rules: QualityRules = QualityRules(), text: str = "text", lang: str = "lang", references: dict | None = None, keep_text: bool = False) -> DataFrame:
     """Adds the counts, base_failed, the distances to the nearest reference and kept.
 
+    The texts are read once: their features, without the texts, are written to
+    the shared folder, then give the references and the distances. With
+    ``keep_text`` the text column stays and the texts are read twice.
+
     base_failed: fewer than ``min_words`` words, or more than
     ``max_repeat_percent`` of the words in repeated windows. Else a text is
     kept unless a distance to every language exceeds its limit; the character
@@ -176,6 +180,7 @@ def judge_quality(docs: DataFrame, rules: QualityRules = QualityRules(), text: s
     words. Without references (empty table) only the base rule decides.
     """
     features = quality_features(docs, text)
+    features = features if keep_text else materialize(features.drop(text))
     refs = references if references is not None else language_references(features, lang, rules.min_reference_docs)
     def nearest(hist: str, k: int) -> Column:
         ds = [js_distance(F.col(hist), refs[x][k]) for x in sorted(refs)]
