@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from plumbline.llm import langid, license_scan, packing, quality, url_filter
+from plumbline.llm import html_extract, langid, license_scan, packing, pii, quality, url_filter
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_license_scan": license_scan.op2_license_scan,
+    "op3_pii": pii.op3_pii,
+    "op5_html_extract": html_extract.op5_html_extract,
     "op7_url_filter": url_filter.op7_url_filter,
     "op9_quality": quality.op9_quality,
     "op10_langid": langid.op10_langid,
