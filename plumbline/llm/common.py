@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import plumbline
+
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once and bind it for ``body``, even inside higher-order functions.
@@ -54,6 +59,21 @@ def broadcast_if_small(df: DataFrame, limit: int = 8 << 20) -> DataFrame:
 
 
 def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Keep Arrow batches small, so that long texts don't add up in a Python worker."""
+    """Before Python operators: small Arrow batches, so that long texts don't add up in a worker, and the package on all executors."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    ship_package(spark)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send the package's sources to the executors through Spark, once per context."""
+    context = spark.sparkContext
+    if getattr(context, "_plumbline_shipped", False):
+        return
+    root = Path(plumbline.__file__).parent
+    archive = Path(tempfile.mkdtemp()) / "plumbline_sources.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    context._plumbline_shipped = True
