@@ -23,12 +23,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm import bin_packing
+from plumbline.llm import shingles as sh
 from plumbline.llm.common import bound_batches, materialize, table
 
 CAPACITY = 2048
 END_ID = 0
-#: White-space separated strings whose ids a worker remembers at most.
-CACHE = 500_000
+#: Beyond so many known strings a worker forgets them and starts again.
+KNOWN = 2_000_000
 
 _tokenizers: dict = {}
 
@@ -40,10 +41,14 @@ def default_tokenizer() -> str:
 
 
 class WordIds:
-    """Ids of texts as little-endian bytes, by way of their space-separated strings.
-
-    The vocabulary's own rules drop white space and never join across it, so
-    the ids of a text are those of its strings in order.
+    """Ids of texts, by way of their space-separated strings.
+
+    The vocabulary's own rules lower-case, drop white space and never join
+    across it, so the ids of a text are those of its strings in order, and A-Z
+    may be lower-cased first. A full stop or comma after a-z at the end of a
+    string is a token of its own. Only strings that a worker has not met go to
+    the tokenizer; it knows the others by a 64-bit hash, in sorted arrays. Texts
+    that may hold a special token go to the tokenizer whole.
     """
 
     def __init__(self, path: str):
@@ -51,26 +56,97 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def _learn(self, keys: np.ndarray, strings: list[bytes]) -> None:
+        """keys: sorted and new."""
+        sizes = []
+        for i in range(0, len(strings), 5_000):
+            for e in self.tokenizer.encode_batch_fast([s.decode() for s in strings[i : i + 5_000]], add_special_tokens=False):
+                ids = e.ids
+                if self.used + len(ids) > len(self.pool):
+                    self.pool = np.concatenate([self.pool, np.zeros(len(self.pool) + len(ids), np.uint32)])
+                self.pool[self.used : self.used + len(ids)] = ids
+                self.used += len(ids)
+                sizes.append(len(ids))
+        size = np.array(sizes, np.int64)
+        place = np.searchsorted(self.keys, keys)
+        self.at = np.insert(self.at, place, self.used - size.sum() + np.cumsum(size) - size)
+        self.size = np.insert(self.size, place, size)
+        self.keys = np.insert(self.keys, place, keys)
+
+    def _slice(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """ids of at most a slice, the starts of its strings, and the number of ids before each string and at the end."""
+        x = np.frombuffer(data, np.uint8)
+        inside = np.zeros(len(x) + 2, bool)
+        inside[1:-1] = ~_SPACE[x]
+        first = inside[1:-1] & ~inside[:-2]
+        stop = np.zeros(len(x), bool)
+        stop[1:] = _STOP[x[1:]] & _LETTER[x[:-1]]
+        stop &= ~inside[2:]
+        starts = np.nonzero(first | stop)[0]
+        last = np.nonzero((inside[1:-1] & ~inside[2:]) | np.append(stop[1:], False))[0] + 1
+        keys, one, which = np.unique(sh.hash_runs(x, starts, last), return_index=True, return_inverse=True)
+        if len(self.keys) > KNOWN:
+            self._forget()
+        place = np.searchsorted(self.keys, keys)
+        known = place < len(self.keys)
+        known[known] = self.keys[place[known]] == keys[known]
+        if not known.all():
+            self._learn(keys[~known], [data[starts[i] : last[i]] for i in one[~known]])
+            place = np.searchsorted(self.keys, keys)
+        at, size = self.at[place][which], self.size[place][which]
+        before = np.concatenate([[0], np.cumsum(size)])
+        return self.pool[np.repeat(at - before[:-1], size) + np.arange(before[-1])], starts, before
+
+    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+        batch: list[bytes] = []
+        room = sh.SLICE
         for text in texts:
-            parts = text.replace("\n", " ").split(" ")
-            try:
-                out.append(b"".join(map(self.known.__getitem__, parts)))
+            data = text.encode()
+            if b"<|" in data:
+                yield from self._joined(batch)
+                batch, room = [], sh.SLICE
+                yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+                continue
+            if len(data) >= room:
+                yield from self._joined(batch)
+                batch, room = [], sh.SLICE
+            if len(data) >= sh.SLICE:
+                yield self._long(data.lower())
                 continue
-            except KeyError:
-                pass
-            if len(self.known) > CACHE:
-                self.known = {"": b""}
-            known = self.known
-            new = list({p for p in parts if p not in known})
-            for i in range(0, len(new), 20_000):
-                for p, e in zip(new[i : i + 20_000], self.tokenizer.encode_batch_fast(new[i : i + 20_000], add_special_tokens=False), strict=True):
-                    known[p] = np.array(e.ids, dtype="<u4").tobytes()
-            out.append(b"".join(map(known.__getitem__, parts)))
-        return out
+            batch.append(data.lower())
+            room -= len(data) + 1
+        yield from self._joined(batch)
+
+    def _joined(self, batch: list[bytes]) -> Iterator[np.ndarray]:
+        if batch:
+            ids, starts, before = self._slice(b" ".join(batch))
+            edges = before[np.searchsorted(starts, np.concatenate([[0], np.cumsum([len(b) + 1 for b in batch])]))]
+            for i in range(len(batch)):
+                yield ids[edges[i] : edges[i + 1]]
+
+    def _long(self, data: bytes) -> np.ndarray:
+        """A text beyond a slice, cut at white space; a single string beyond a slice goes to the tokenizer."""
+        out, at = [], 0
+        while at < len(data):
+            end = len(data) if len(data) - at < sh.SLICE else max(data.rfind(c, at, at + sh.SLICE) for c in (b" ", b"\n"))
+            if end <= at:
+                ends = [i for c in (b" ", b"\n") if (i := data.find(c, at + 1)) > 0]
+                end = min(ends, default=len(data))
+                out.append(np.array(self.tokenizer.encode(data[at:end].decode(), add_special_tokens=False).ids, np.uint32))
+            else:
+                out.append(self._slice(data[at:end])[0])
+            at = end
+        return np.concatenate(out)
+
+
+_SPACE, _STOP, _LETTER = np.zeros((3, 256), bool)
+_SPACE[[9, 10, 13, 32]], _STOP[[44, 46]], _LETTER[97:123] = True, True, True
 
 
 def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
@@ -85,8 +161,8 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenize
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             rows, place, start, length, crc, rank = [], [], [], [], [], []
-            for i, data in enumerate(ids_of.encode([t or "" for t in batch.column(1).to_pylist()])):
-                data += end
+            for i, ids in enumerate(ids_of.encode([t or "" for t in batch.column(1).to_pylist()])):
+                data = ids.astype("<u4").tobytes() + end
                 for k, at in enumerate(range(0, len(data), 4 * capacity)):
                     part = data[at : at + 4 * capacity]
                     n = len(part) // 4
