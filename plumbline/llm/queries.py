@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.llm import html_extract, langid, license_scan, near_duplicates, packing, pii, quality, url_filter
+from plumbline.llm import decontaminate, html_extract, langid, license_scan, near_duplicates, packing, pii, quality, url_filter
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_html_extract": html_extract.op5_html_extract,
     "op6_near_duplicates": near_duplicates.op6_near_duplicates,
     "op7_url_filter": url_filter.op7_url_filter,
+    "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_quality": quality.op9_quality,
     "op10_langid": langid.op10_langid,
 }
