@@ -8,7 +8,7 @@
    gives an edge from each node to its smallest, never all pairs; the
    components of these edges are candidate groups.
 3. A group's nodes, with their full shingle sets, are laid out by set size in
-   blocks of ``BLOCK``; tasks compare pairs of blocks and leave out those whose
+   blocks of about ``BLOCK`` shingles; tasks compare pairs of blocks and leave out those whose
    sizes rule the threshold out. Shared shingles of a pair of blocks are counted
    by a matrix product, so every pair of a candidate group is verified exactly
    and only counts and a spanning forest leave the task.
@@ -31,7 +31,8 @@ from plumbline.llm.components import components
 
 THRESHOLD = 0.8
 RECALL = 0.9999
-BLOCK = 128
+#: Shingles in a block; a set counts for at least LEAST of them, which bounds the sets in a block.
+BLOCK, LEAST = 1 << 17, 1 << 10
 #: Hash functions are dealt in these numbers a band.
 ROWS = range(1, 11)
 
@@ -99,7 +100,8 @@ def _tiles(members: DataFrame, threshold: float) -> DataFrame:
     large group is never sorted in one task. A block pair is left out if its
     largest small set is below the threshold times its smallest large set.
     """
-    by_size = members.groupBy("root", "size").agg(F.count(F.lit(1)).alias("n"))
+    weight = F.greatest("size", F.lit(LEAST))
+    by_size = members.groupBy("root", "size").agg((F.count(F.lit(1)) * weight).alias("n"))
     running = Window.partitionBy("root").orderBy("size")
     by_size = by_size.withColumns({"before": F.sum("n").over(running) - F.col("n")}).drop("n")
     # Within one size any order will do; a hash spreads it over salted ranks without a sort of the whole group.
@@ -111,7 +113,7 @@ def _tiles(members: DataFrame, threshold: float) -> DataFrame:
         salted.withColumn("rank", F.row_number().over(within) - 1)
         .join(per_salt, ["root", "size", "salt"])
         .join(by_size, ["root", "size"])
-        .select("node", "root", "size", "copies", F.floor((F.col("rank") + F.col("ahead") + F.col("before")) / BLOCK).cast("int").alias("block"))
+        .select("node", "root", "size", "copies", F.floor(((F.col("rank") + F.col("ahead")) * weight + F.col("before")) / BLOCK).cast("int").alias("block"))
     )
     blocks = ranked.groupBy("root", "block").agg(F.min("size").alias("low"), F.max("size").alias("high"))
     a, b = blocks.toDF("root", "block", "low", "high"), blocks.toDF("root_b", "block_b", "low_b", "high_b")
@@ -125,7 +127,7 @@ def compare_blocks(a: list[np.ndarray], b: list[np.ndarray], threshold: float) -
     """Boolean matrix: Jaccard similarity of the sets of a and b is at least the threshold."""
     size_a, size_b = np.array([len(s) for s in a]), np.array([len(s) for s in b])
     values = np.concatenate([*a, *b])
-    owner = np.repeat(np.arange(len(a) + len(b)), np.concatenate([size_a, size_b]))
+    owner = np.repeat(np.arange(len(a) + len(b), dtype=np.int32), np.concatenate([size_a, size_b]))
     order = np.argsort(values, kind="stable")
     values, owner = values[order], owner[order]
     new = np.concatenate([[True], values[1:] != values[:-1]])
