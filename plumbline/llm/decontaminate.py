@@ -300,14 +300,16 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     """The documents in which no item is found, with all their columns; null texts stay. Nothing is shuffled."""
     bound_batches(docs.sparkSession, 500)
     for _, texts in blocks(benchmark, item, item_text):
-        shared = docs.sparkSession.sparkContext.broadcast(Patterns.of(texts))
+        docs = docs.where(_clean(docs.sparkSession.sparkContext.broadcast(Patterns.of(texts)))(F.col(text)))
+    return docs
 
-        @F.pandas_udf("boolean")
-        def clean(column: pd.Series, shared=shared) -> pd.Series:
-            return pd.Series([not x for x in batch_leaks([t or "" for t in column], shared.value)])
 
-        docs = docs.where(clean(F.col(text)))
-    return docs
+def _clean(shared):
+    @F.pandas_udf("boolean")
+    def clean(column: pd.Series) -> pd.Series:
+        return pd.Series([not x for x in batch_leaks([t or "" for t in column], shared.value)], dtype=bool)
+
+    return clean
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

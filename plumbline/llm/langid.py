@@ -16,6 +16,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -155,6 +156,21 @@ def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
+def predict(texts: list[str | None], trees: ContextTrees) -> tuple[list[str], np.ndarray]:
+    known = [bool(t) and bool(trees.langs) and has_letter(t) for t in texts]
+    data = [t.encode() for t, k in zip(texts, known, strict=True) if k]
+    names, scores = ["und"] * len(texts), np.zeros(len(texts))
+    if data:
+        bits = trees.code_lengths(data)
+        n = np.array([len(t) for t in data])
+        share = np.exp2((bits.min(axis=1)[:, None] - bits) * (np.minimum(n, SCORE_BYTES) / n)[:, None])
+        at = np.nonzero(known)[0]
+        scores[at] = 1 / share.sum(axis=1)
+        for i, b in zip(at, bits.argmin(axis=1), strict=True):
+            names[i] = trees.langs[b]
+    return names, scores
+
+
 def identify(docs: DataFrame, trees: ContextTrees, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, lang_pred and score of every row.
 
@@ -167,26 +183,24 @@ def identify(docs: DataFrame, trees: ContextTrees, doc_id: str = "doc_id", text:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            known = [bool(t) and bool(trees.langs) and has_letter(t) for t in texts]
-            data = [t.encode() for t, k in zip(texts, known, strict=True) if k]
-            names: list[str] = ["und"] * len(texts)
-            scores = np.zeros(len(texts))
-            if data:
-                bits = trees.code_lengths(data)
-                best = bits.argmin(axis=1)
-                n = np.array([len(t) for t in data])
-                share = np.exp2((bits.min(axis=1)[:, None] - bits) * (np.minimum(n, SCORE_BYTES) / n)[:, None])
-                at = np.nonzero(known)[0]
-                scores[at] = 1 / share.sum(axis=1)
-                for i, b in zip(at, best, strict=True):
-                    names[i] = trees.langs[b]
+            names, scores = predict(batch.column(1).to_pylist(), trees)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores)], names=["doc_id", "lang_pred", "score"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
     return docs.select(F.col(doc_id), F.col(text)).mapInArrow(score, f"doc_id {kind}, lang_pred string, score double")
 
 
+def keep_identified(docs: DataFrame, trees: ContextTrees, text: str = "text", rejected: tuple[str, ...] = ("und",)) -> DataFrame:
+    """The rows whose predicted language isn't rejected, with all their columns; no row is shuffled."""
+    bound_batches(docs.sparkSession)
+
+    @F.pandas_udf("boolean")
+    def kept(texts: pd.Series) -> pd.Series:
+        return pd.Series([x not in rejected for x in predict(texts.to_list(), trees)[0]], dtype=bool)
+
+    return docs.where(kept(F.col(text)))
+
+
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     return identify(docs, train(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

@@ -245,5 +245,21 @@ def _shingles_of(docs: DataFrame, doc_id: str, text: str, members: DataFrame) ->
     return found.join(members.select("node"), "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
 
 
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """Of each class the row with the smallest key, with all its columns; classes of one row stay as they are.
+
+    Rows that share a key are one document: the smallest of them in the order
+    of all columns stays. Rows with a null key can't be told apart and stay.
+    """
+    classes = materialize(near_duplicate_classes(docs, doc_id, text, threshold).select(F.col("doc_id").alias("_id"), F.col("class_id").alias("_class")), docs.sparkSession)
+    extra = classes.where("_id <> _class").select("_id").distinct()
+    out = docs.join(extra, F.col(doc_id) == F.col("_id"), "left_anti")
+    shared = classes.where("_id is not null").groupBy("_id").count().where("count > 1").select("_id")
+    if shared.isEmpty():
+        return out
+    one = out.join(shared, F.col(doc_id) == F.col("_id"), "left_semi").groupBy(F.col(doc_id).alias("_id")).agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*")
+    return out.join(shared, F.col(doc_id) == F.col("_id"), "left_anti").union(one)
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_classes(table(spark, sf_dir, "documents", "doc_id", "text"))
