@@ -34,12 +34,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import shingles as sh
-from plumbline.llm.common import bound_batches, materialize, table
+from plumbline.llm.common import bound_batches, discard, materialize, table
 from plumbline.llm.deep_shallow import sort_groups
 
 LENGTH, Q = 200, 16
 SPAN = LENGTH - Q  # largest distance of a window's start from its anchor
 HOT = 4096
+#: Bytes searched at a time; at most that of the word hashes.
+SLICE = 1 << 19
 #: Contexts that a task sorts at a time, at least (an anchor stays together).
 CHUNK = 8000
 
@@ -110,16 +112,16 @@ def _scan(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]
     for i, t in enumerate(texts):
         if len(t) < LENGTH:
             continue
-        if len(t) > sh.SLICE:
+        if len(t) > SLICE:
             parts = []
-            for at in range(0, len(t) - LENGTH + 1, sh.SLICE - LENGTH):
-                x = np.frombuffer(t, np.uint8)[at : at + sh.SLICE]
-                valid = np.arange(len(x)) < min(sh.SLICE - LENGTH, len(t) - LENGTH + 1 - at)
+            for at in range(0, len(t) - LENGTH + 1, SLICE - LENGTH):
+                x = np.frombuffer(t, np.uint8)[at : at + SLICE]
+                valid = np.arange(len(x)) < min(SLICE - LENGTH, len(t) - LENGTH + 1 - at)
                 key, context, a, m, z = contexts(x, valid)
                 parts.append((key, context, (a + at << 16) | (m << 8) | z))
             out[i] = tuple(np.concatenate([p[k] for p in parts]) for k in range(3))
             continue
-        if size + len(t) > sh.SLICE:
+        if size + len(t) > SLICE:
             search()
             size = 0
         group.append(i)
@@ -291,8 +293,10 @@ def cut_texts(texts: DataFrame, marks: DataFrame) -> DataFrame:
     return texts.join(marks, "rid").select("rid", "packed", "marks").mapInArrow(cut, "rid binary, kept binary, n_removed long, n_spans long")
 
 
-def _free(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of steps that are over; they would stay until the driver happens to collect garbage."""
+def _free(spark: SparkSession, *written: DataFrame) -> None:
+    """Delete tables of steps that are over, and let Spark drop their shuffle files, which would stay until the driver happens to collect garbage."""
+    for df in written:
+        discard(df)
     spark.sparkContext._jvm.System.gc()
 
 
@@ -305,15 +309,17 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     spark = docs.sparkSession
     scanned = materialize(scan(docs, doc_id, text))
-    rows = scanned.select("doc_id", "row", "rid", "n_bytes", "whole_sha256")
+    rows = materialize(scanned.select("doc_id", "row", "rid", "n_bytes", "whole_sha256"), spark)
     every = scanned.select("row", F.explode("found").alias("o")).select("row", "o.key", "o.context", "o.at")
 
-    twice = every.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("key")
-    found = materialize(every.join(twice, "key", "left_semi"))
+    # Written first, so that both sides of the join are plain shuffles, whose hot keys the adaptive join splits.
+    twice = materialize(every.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("key"))
     _free(spark)
+    found = materialize(every.join(twice, "key", "left_semi"))
+    _free(spark, scanned, twice)
     by_context = found.groupBy("key", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "at")).alias("one"))
     by_context = materialize(by_context.select("key", "context", "n", "one.row", "one.at"))
-    by_key = by_context.groupBy("key").agg(F.count(F.lit(1)).alias("n_contexts"))
+    by_key = materialize(by_context.groupBy("key").agg(F.count(F.lit(1)).alias("n_contexts")))
     sole = by_context.join(by_key.where("n_contexts = 1").select("key"), "key", "left_semi").where("n >= 2")
     sole = sole.select("key", "context", F.lit(0).cast("long").alias("start"), (F.col("at").bitwiseAND(255) + LENGTH).alias("end"))
 
@@ -322,7 +328,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     bodies = materialize(context_texts(distinct_texts(docs, text), wanted))
     _free(spark)
     hot = by_key.where(F.col("n_contexts") > HOT).select("key")
-    parts = sole.union(sort_contexts(bodies.join(hot, "key", "left_anti"))).union(count_windows(bodies.join(hot, "key", "left_semi")))
+    parts = materialize(sole.union(sort_contexts(bodies.join(hot, "key", "left_anti"))).union(count_windows(bodies.join(hot, "key", "left_semi"))))
+    _free(spark, bodies)
 
     first_rows = rows.groupBy("rid").agg(F.min("row").alias("row"))
     marks = (
@@ -332,7 +339,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         .groupBy("rid").agg(F.collect_list(F.struct("start", "end")).alias("marks"))
     )
     marks = materialize(marks)
-    _free(spark)
+    _free(spark, found, parts)
     lost = cut_texts(distinct_texts(docs, text), marks).withColumn("kept_sha256", F.sha2("kept", 256))
     lost = materialize(lost if keep_bytes else lost.drop("kept"))
     out = rows.join(lost, "rid", "left").select(
