@@ -1 +1 @@
-
+"""Column functions: names, scores, statistics."""

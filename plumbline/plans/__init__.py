@@ -1 +1 @@
-
+"""Plans that span operators: fixtures, engine, reports, studies."""

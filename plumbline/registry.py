@@ -1,19 +1,604 @@
-"""All queries of the engine by name, with their SQL where it can express them."""
+"""All queries of the engine by name, with their SQL where it can express them.
+
+Results are rounded to six digits on both sides, as sums of floating-point
+numbers depend on their order.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from plumbline.functions import names, scores
+from plumbline.operators import graph as gr
+from plumbline.operators import history, mutate, policy
+from plumbline.operators import statistics as st
+from plumbline.operators import traversal as tr
+from plumbline.plans import engine
+from plumbline.plans import fixtures as fx
+from plumbline.sources import code, tables
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.select(*[F.round(c, digits).alias(c) if kind in ("double", "float") else F.col(c) for c, kind in df.dtypes])
+
+
+def query(name: str, sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[name] = lambda spark, sf_dir: rounded(f(spark, sf_dir))
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return QUERIES["stability"](spark, sf_dir)
+
+
+# --- graph metrics ----------------------------------------------------------------------------------------------------
+
+_PACKAGES = """p AS (SELECT id, array_to_string(string_split(id,'.')[1:2],'.') AS pkg FROM nodes),
+x AS (SELECT a.pkg ps, b.pkg pt FROM trade JOIN p a ON src=a.id JOIN p b ON tgt=b.id WHERE a.pkg<>b.pkg),
+i AS (SELECT pkg AS package, coalesce(ca,0) AS fan_in, coalesce(ce,0) AS fan_out, coalesce(coalesce(ce,0)/nullif(coalesce(ce,0)+coalesce(ca,0),0),0.5) AS instability
+FROM (SELECT DISTINCT pkg FROM p) LEFT JOIN (SELECT ps pkg, count(*) ce FROM x GROUP BY 1) USING (pkg) LEFT JOIN (SELECT pt pkg, count(*) ca FROM x GROUP BY 1) USING (pkg))"""
+_DEGREES = """d AS (SELECT id, coalesce(i,0) AS fan_in, coalesce(o,0) AS fan_out, coalesce(coalesce(o,0)/nullif(coalesce(o,0)+coalesce(i,0),0),0.5) AS instability
+FROM nodes LEFT JOIN (SELECT tgt id, count(*) i FROM {0} GROUP BY 1) USING (id) LEFT JOIN (SELECT src id, count(*) o FROM {0} GROUP BY 1) USING (id))"""
+_REACH = """r(a,b) AS (SELECT src,tgt FROM hops UNION SELECT r.a,h.tgt FROM r JOIN hops h ON r.b=h.src),
+c AS (SELECT x.a AS id, min(x.b) AS cycle, count(*) AS size FROM r x JOIN r y ON x.a=y.b AND x.b=y.a GROUP BY 1 HAVING count(*)>1)"""
+
+
+@query("stability", f"WITH {fx.TRADE}, {_PACKAGES} SELECT 'g' AS graph_id, round(CASE WHEN count(*)<=1 THEN 0.0 ELSE least(1.0, var_pop(instability)/0.25) END,6) AS stability FROM i")
+def _(spark, d):
+    return gr.stability(fx.trade(spark, d))
+
+
+@query("package_instability", f"WITH {fx.TRADE}, {_PACKAGES} SELECT 'g' AS graph_id, package, fan_in, fan_out, round(instability,6) AS instability FROM i")
+def _(spark, d):
+    return gr.package_instability(fx.trade(spark, d))
+
+
+@query("instability_variance", f"WITH {fx.TRADE}, {_DEGREES.format('trade')} SELECT 'g' AS graph_id, round(least(1.0, var_pop(instability)/0.25),6) AS instability_variance FROM d")
+def _(spark, d):
+    return gr.instability_variance(fx.trade(spark, d))
+
+
+@query("degrees", f"WITH {fx.TRADE}, {_DEGREES.format('trade')} SELECT 'g' AS graph_id, id, fan_in, fan_out FROM d")
+def _(spark, d):
+    return gr.degrees(fx.trade(spark, d))
+
+
+@query("boundary_crossing", f"WITH {fx.TRADE} SELECT 'g' AS graph_id, round(1.0-avg(CASE WHEN array_to_string(string_split(src,'.')[1:2],'.')<>array_to_string(string_split(tgt,'.')[1:2],'.') THEN 1.0 ELSE 0.0 END),6) AS boundary_crossing FROM trade")
+def _(spark, d):
+    return gr.boundary_crossing(fx.trade(spark, d))
+
+
+@query("module_summary", f"""WITH RECURSIVE {fx.HOPS}, {_DEGREES.format('hops')}, {_REACH}
+SELECT 'g' AS graph_id, count(*) AS n_modules, round(avg(fan_in),6) AS avg_fan_in, max(fan_in) AS max_fan_in, round(avg(fan_out),6) AS avg_fan_out, max(fan_out) AS max_fan_out,
+round(stddev_samp(fan_out),6) AS fan_out_std, count(c.id) AS n_in_scc, round(count(c.id)/count(*),6) AS scc_fraction FROM d LEFT JOIN c USING (id)""")
+def _(spark, d):
+    g = fx.hops(spark, d)
+    return gr.module_summary(gr.module_metrics(g, tr.cycles(g.inner_edges())))
+
+
+@query("top_modules", f"""WITH RECURSIVE {fx.HOPS}, {_DEGREES.format('hops')}, {_REACH}
+SELECT 'g' AS graph_id, id, fan_in, fan_out, round(instability,6) AS instability, cycle IS NOT NULL AS in_cycle, row_number() OVER (ORDER BY fan_out DESC, id)::INT AS place FROM d LEFT JOIN c USING (id) QUALIFY place<=50""")
+def _(spark, d):
+    g = fx.hops(spark, d)
+    return gr.top_modules(gr.module_metrics(g, tr.cycles(g.inner_edges())))
+
+
+@query("cycles", f"WITH RECURSIVE {fx.HOPS}, {_REACH} SELECT 'g' AS graph_id, id, least(id, cycle) AS cycle, size FROM c")
+def _(spark, d):
+    return tr.cycles(fx.hops(spark, d).edges)
+
+
+@query("acyclicity", f"WITH RECURSIVE {fx.HOPS}, {_REACH} SELECT 'g' AS graph_id, round(1.0-coalesce((SELECT max(size) FROM c),0)/(SELECT count(*) FROM nodes),6) AS acyclicity")
+def _(spark, d):
+    return tr.acyclicity(fx.hops(spark, d))
+
+
+@query("acyclicity_by_joins", f"WITH RECURSIVE {fx.HOPS}, {_REACH} SELECT 'g' AS graph_id, round(1.0-coalesce((SELECT max(size) FROM c),0)/(SELECT count(*) FROM nodes),6) AS acyclicity")
+def _(spark, d):
+    return tr.acyclicity(fx.hops(spark, d), small=0)
+
+
+_CCD = f"""WITH RECURSIVE {fx.HOPS}, {_REACH}, t AS (SELECT (SELECT count(*) FROM r WHERE a<>b)+count(*) AS raw, count(*) AS n FROM nodes)
+SELECT 'g' AS graph_id, raw AS ccd_raw, round(least(10.0, raw/(n*log2(n+1))),6) AS ccd_norm, round(raw/n,6) AS avg_reachable FROM t"""
+
+
+@query("cumulative_dependency", _CCD)
+def _(spark, d):
+    return tr.cumulative_dependency(fx.hops(spark, d))
+
+
+@query("cumulative_dependency_by_joins", _CCD)
+def _(spark, d):
+    return tr.cumulative_dependency(fx.hops(spark, d), small=0)
+
+
+_SIMILAR = f"""WITH {fx.HOPS}, u AS (SELECT src a, tgt w FROM hops UNION SELECT tgt, src FROM hops), k AS (SELECT a, count(*) n FROM u GROUP BY 1),
+s AS (SELECT src, tgt, (SELECT count(*) FROM u x JOIN u y ON x.w=y.w WHERE x.a=src AND y.a=tgt) AS shared, p.n+q.n AS both_n FROM hops JOIN k p ON p.a=src JOIN k q ON q.a=tgt)"""
+
+
+@query("edge_similarity", f"{_SIMILAR} SELECT 'g' AS graph_id, src, tgt, shared, round(shared/(both_n-shared),6) AS similarity FROM s")
+def _(spark, d):
+    return gr.edge_similarity(fx.hops(spark, d))
+
+
+@query("indirect_coupling", f"{_SIMILAR}, v AS (SELECT shared/(both_n-shared) x FROM s) SELECT 'g' AS graph_id, round(coalesce(avg(x),0),6) AS mean_ic, round(coalesce(max(x),0),6) AS max_ic, round(coalesce(avg(CASE WHEN x>0.5 THEN 1.0 ELSE 0.0 END),0),6) AS ic_above_05, count(*) AS n_pairs FROM v")
+def _(spark, d):
+    return gr.indirect_coupling(fx.hops(spark, d))
+
+
+_PROFILE = f"WITH {fx.HOPS}, n AS (SELECT src, count(*) n FROM hops GROUP BY 1), q AS (SELECT a.src a, b.src b, count(*) shared FROM hops a JOIN hops b ON a.tgt=b.tgt AND a.src<b.src GROUP BY 1,2), v AS (SELECT a, b, shared, shared/(x.n+y.n-shared) s FROM q JOIN n x ON x.src=a JOIN n y ON y.src=b)"
+
+
+@query("profile_similarity", f"{_PROFILE} SELECT 'g' AS graph_id, a, b, shared, round(s,6) AS similarity FROM v")
+def _(spark, d):
+    return gr.profile_similarity(fx.hops(spark, d))
+
+
+@query("profile_coupling", f"{_PROFILE} SELECT 'g' AS graph_id, round(coalesce(avg(s),0),6) AS mean_ic, round(coalesce(max(s),0),6) AS max_ic, round(coalesce(avg(CASE WHEN s>0.5 THEN 1.0 ELSE 0.0 END),0),6) AS ic_above_05, count(*) AS n_pairs FROM v")
+def _(spark, d):
+    return gr.profile_coupling(fx.hops(spark, d))
+
+
+@query("lcom4", f"WITH RECURSIVE {fx.LCOM4} SELECT lcom4, count(*) AS n FROM lcom GROUP BY 1")
+def _(spark, d):
+    return tr.lcom4(fx.classes(spark, d)).groupBy("lcom4").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("cohesion", f"WITH RECURSIVE {fx.LCOM4} SELECT 'g' AS graph_id, round(1.0-avg(least(1.0,(lcom4-1)/4.0)),6) AS cohesion FROM lcom")
+def _(spark, d):
+    return tr.cohesion(tr.lcom4(fx.classes(spark, d)))
+
+
+@query("newman_q", f"""WITH {fx.TRADE}, p AS (SELECT id, array_to_string(string_split(id,'.')[1:2],'.') AS pkg FROM nodes), e AS (SELECT a.pkg ca, b.pkg cb FROM trade JOIN p a ON a.id=src JOIN p b ON b.id=tgt),
+c AS (SELECT pkg, sum(l) l, sum(k) k FROM (SELECT ca pkg, CASE WHEN ca=cb THEN 1 ELSE 0 END l, 1 k FROM e UNION ALL SELECT cb, 0, 1 FROM e) GROUP BY 1), m AS (SELECT count(*) m FROM e)
+SELECT 'g' AS graph_id, round(sum(l/m-(k/(2.0*m))*(k/(2.0*m))),6) AS modularity_q FROM c, m""")
+def _(spark, d):
+    g = fx.trade(spark, d)
+    return gr.newman_q(g.edges, g.nodes.select("graph_id", "id", names.package(F.col("id")).alias("community")))
+
+
+@query("communities")
+def _(spark, d):
+    return tr.communities(fx.hops(spark, d).edges)
+
+
+@query("modularity")
+def _(spark, d):
+    return engine.modularity(fx.hops(spark, d))
+
+
+@query("measure")
+def _(spark, d):
+    return engine.measure(fx.hops(spark, d), tr.lcom4(fx.classes(spark, d)))
+
+
+@query("extended")
+def _(spark, d):
+    return engine.extended(fx.hops(spark, d))
+
+
+@query("package_names", f"WITH {fx.TRADE} SELECT id, string_split(id,'.')[1] AS top, array_to_string(string_split(id,'.')[1:2],'.') AS package, replace(id,'.','/') AS path FROM nodes")
+def _(spark, d):
+    c = F.col("id")
+    return fx.trade(spark, d).nodes.select("id", names.top(c).alias("top"), names.package(c).alias("package"), names.path_form(c).alias("path"))
+
+
+@query("dominant_internal", f"""WITH {fx.TRADE}, r AS (SELECT string_split(id,'.')[1] root, count(*) n FROM nodes GROUP BY 1),
+k AS (SELECT root, coalesce(sum(n) OVER (ORDER BY n DESC, root ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0)/(SELECT sum(n) FROM r) AS b FROM r)
+SELECT 'g' AS graph_id, id FROM nodes JOIN k ON string_split(id,'.')[1]=root WHERE b<0.6""")
+def _(spark, d):
+    return gr.dominant_internal(fx.trade(spark, d))
+
+
+# --- policies ---------------------------------------------------------------------------------------------------------
+
+RULES = (
+    {"name": "r1", "type": "forbidden", "from": "ASIA/*", "to": "EUROPE/*"}, {"name": "r2", "type": "forbidden", "from": "*/C1*", "to": "AMERICA/*/S?"},
+    {"name": "r3", "type": "forbidden", "from": "AFRICA/*", "to": "[!A]*"}, {"name": "r4", "type": "allowed", "from": "*", "to": "*"},
+)
+_VIOLATIONS = f"""WITH {fx.TRADE}, w AS (SELECT src, tgt, replace(src,'.','/') a, replace(tgt,'.','/') b FROM trade), v AS (
+SELECT 'g' AS graph_id, src, tgt, 'r1' AS name, 'ASIA/*' AS pattern_from, 'EUROPE/*' AS pattern_to FROM w WHERE a GLOB 'ASIA/*' AND b GLOB 'EUROPE/*'
+UNION ALL SELECT 'g', src, tgt, 'r2', '*/C1*', 'AMERICA/*/S?' FROM w WHERE a LIKE '%/C1%' AND regexp_full_match(b,'AMERICA/.*/S.')
+UNION ALL SELECT 'g', src, tgt, 'r3', 'AFRICA/*', '[!A]*' FROM w WHERE a LIKE 'AFRICA/%' AND b NOT LIKE 'A%')"""
+_VIOLATIONS = _VIOLATIONS.replace("a GLOB 'ASIA/*' AND b GLOB 'EUROPE/*'", "a LIKE 'ASIA/%' AND b LIKE 'EUROPE/%'")
+
+
+@query("violations", f"{_VIOLATIONS} SELECT * FROM v")
+def _(spark, d):
+    return policy.violations(fx.trade(spark, d).edges, policy.rules_table(spark, RULES))
+
+
+@query("constraint_score", f"{_VIOLATIONS}, e AS (SELECT count(*) n FROM trade), k AS (SELECT count(*) m FROM v) SELECT 'g' AS graph_id, n AS n_edges, m AS n_violations, round(greatest(0.0,1.0-m/n),6) AS constraint_score FROM e, k")
+def _(spark, d):
+    edges = fx.trade(spark, d).edges
+    return policy.constraint_score(edges, policy.violations(edges, policy.rules_table(spark, RULES)))
+
+
+def _nation_groups(spark: SparkSession, d: str) -> DataFrame:
+    return fx.table(spark, d, "supplier").select(F.lit("g").alias("graph_id"), F.concat(F.lit("s"), "s_suppkey").alias("id"), F.concat(F.lit("n"), F.lpad(F.col("s_nationkey").cast("string"), 2, "0")).alias("label"))
+
+
+_CROSS = f"""WITH {fx.HOPS}, m AS (SELECT 's'||s_suppkey id, 'n'||lpad(CAST(s_nationkey AS VARCHAR),2,'0') label FROM supplier),
+j AS (SELECT x.label ls, y.label lt FROM hops JOIN m x ON x.id=src JOIN m y ON y.id=tgt WHERE x.label<>y.label),
+k AS (SELECT least(ls,lt) a, greatest(ls,lt) b, count(*) FILTER (WHERE ls<lt) ab, count(*) FILTER (WHERE ls>lt) ba FROM j GROUP BY 1,2),
+l AS (SELECT DISTINCT label FROM m), c AS (SELECT x.label a, y.label b, coalesce(ab,0) a_to_b, coalesce(ba,0) b_to_a FROM l x JOIN l y ON x.label<y.label LEFT JOIN k ON k.a=x.label AND k.b=y.label)"""
+
+
+@query("cross_edges", f"{_CROSS} SELECT 'g' AS graph_id, a, b, a_to_b, b_to_a FROM c")
+def _(spark, d):
+    return policy.cross_edges(fx.hops(spark, d), _nation_groups(spark, d))
+
+
+@query("propose_rules", f"""{_CROSS}, t AS (SELECT *, CASE WHEN a_to_b+b_to_a=0 THEN 'isolated' WHEN b_to_a=0 THEN 'a_to_b' WHEN a_to_b=0 THEN 'b_to_a' WHEN greatest(a_to_b,b_to_a)*10>=(a_to_b+b_to_a)*9 THEN CASE WHEN a_to_b>b_to_a THEN 'a_to_b' ELSE 'b_to_a' END ELSE 'bidirectional' END AS direction,
+CASE WHEN a_to_b+b_to_a=0 THEN 0.9::DOUBLE WHEN a_to_b=0 OR b_to_a=0 THEN 0.85 WHEN greatest(a_to_b,b_to_a)*10>=(a_to_b+b_to_a)*9 THEN 0.6 ELSE 0.3 END AS confidence FROM c)
+SELECT 'g' AS graph_id, a||'/*' AS rule_from, b||'/*' AS rule_to, confidence, direction, a_to_b, b_to_a FROM t WHERE direction IN ('isolated','b_to_a')
+UNION ALL SELECT 'g', b||'/*', a||'/*', confidence, direction, a_to_b, b_to_a FROM t WHERE direction IN ('isolated','a_to_b')""")
+def _(spark, d):
+    return policy.propose_rules(policy.cross_edges(fx.hops(spark, d), _nation_groups(spark, d)))
+
+
+@query("label_communities", f"""WITH {fx.TRADE}, q AS (SELECT id, string_split(id,'.')[1] AS r, array_to_string(string_split(id,'.')[1:2],'.') AS p FROM nodes), n AS (SELECT r, count(*) AS size FROM q GROUP BY 1),
+t AS (SELECT r, p, count(*) AS k FROM q GROUP BY 1,2 QUALIFY row_number() OVER (PARTITION BY r ORDER BY count(*) DESC, p)=1)
+SELECT 'g' AS graph_id, r AS community, CASE WHEN size>=5 AND k/size>0.4 THEN p ELSE r END AS label, size FROM n JOIN t USING (r)""")
+def _(spark, d):
+    return policy.label_communities(fx.trade(spark, d).nodes.select("graph_id", "id", names.top(F.col("id")).alias("community")))
+
+
+@query("discover")
+def _(spark, d):
+    return policy.discover(fx.trade(spark, d))
+
+
+@query("ratchet", f"""WITH {fx.SCORES} SELECT CAST(name AS VARCHAR) AS graph_id, metric, round(value,6) AS value, round(baseline,6) AS baseline, coalesce(value>=baseline-0.01, true) AS passed FROM (
+SELECT name, 'score' AS metric, score AS value, CASE WHEN name%3>0 THEN stability END AS baseline FROM scores UNION ALL SELECT name, 'cohesion', cohesion, CASE WHEN name%3>0 THEN acyclicity END FROM scores)""")
+def _(spark, d):
+    s = fx.scores(spark, d).withColumn("graph_id", F.col("name").cast("string"))
+    return policy.ratchet(s, s.where("name % 3 > 0").select("graph_id", F.col("stability").alias("score"), F.col("acyclicity").alias("cohesion")), ["score", "cohesion"], 0.01)
+
+
+@query("gate")
+def _(spark, d):
+    s = fx.scores(spark, d).withColumn("graph_id", F.col("name").cast("string"))
+    return engine.gate(s, 0.5, s.where("name % 2 = 0").select("graph_id", F.col("stability").alias("score")), ["score"])
+
+
+# --- history ----------------------------------------------------------------------------------------------------------
+
+_GINI = "g AS (SELECT {by}, coalesce(2.0*sum(i*x)/nullif(count(*)*sum(x),0)-(count(*)+1.0)/count(*),0) AS gini FROM (SELECT {by}, {x} AS x, row_number() OVER (PARTITION BY {by} ORDER BY {x}) AS i FROM {t}) GROUP BY {by})"
+
+
+@query("churn", f"""WITH {fx.TOUCHES}, a AS (SELECT repo, avg(n) m FROM touches GROUP BY 1), s AS (SELECT repo, count(*) AS n_files, avg(n) AS mean_churn, median(n) AS median_churn, max(n) AS max_churn, avg(CASE WHEN n>2*m THEN 1.0 ELSE 0.0 END) AS hotspot_ratio FROM touches JOIN a USING (repo) GROUP BY 1),
+v AS (SELECT repo, CASE WHEN count(*)<2 THEN 0.0 ELSE stddev_pop(k)/avg(k) END AS module_cv FROM (SELECT repo, module, sum(n) k FROM touches GROUP BY 1,2) GROUP BY 1), {_GINI.format(by='repo', x='n', t='touches')}
+SELECT repo, n_files, round(mean_churn,6) AS mean_churn, round(median_churn,6) AS median_churn, max_churn, round(hotspot_ratio,6) AS hotspot_ratio, round(module_cv,6) AS module_cv, round(gini,6) AS gini FROM s JOIN v USING (repo) JOIN g USING (repo)""")
+def _(spark, d):
+    return history.churn(fx.touches(spark, d))
+
+
+@query("hottest_files", f"WITH {fx.TOUCHES} SELECT repo, path, module, n, row_number() OVER (PARTITION BY repo ORDER BY n DESC, path)::INT AS place FROM touches QUALIFY place<=5")
+def _(spark, d):
+    return history.hottest(fx.touches(spark, d)).select("repo", "path", "module", "n", "place")
+
+
+@query("file_touches", f"WITH {fx.COMMITS} SELECT repo, path, string_split(path,'/')[1] AS module, count(*) AS n FROM commits GROUP BY 1,2,3")
+def _(spark, d):
+    return history.touches(fx.commits(spark, d))
+
+
+@query("gini", f"WITH {_GINI.format(by='o_orderpriority', x='o_totalprice', t='orders')} SELECT o_orderpriority, round(gini,6) AS gini FROM g")
+def _(spark, d):
+    return history.gini(fx.table(spark, d, "orders"), "o_orderpriority", "o_totalprice")
+
+
+_SIZED = f"WITH {fx.COMMITS}, c AS (SELECT repo, sha, count(*) n, count(DISTINCT string_split(path,'/')[1]) k FROM commits GROUP BY 1,2 HAVING count(*) BETWEEN 2 AND 30)"
+
+
+@query("cochange_entropy", f"""{_SIZED}, w AS (SELECT repo, path, sum(n-1) w FROM commits JOIN c USING (repo, sha) GROUP BY 1,2), t AS (SELECT repo, sum(w) t FROM w GROUP BY 1),
+h AS (SELECT repo, count(*) AS n_files, -sum((w/t)*log2(w/t)) AS e FROM w JOIN t USING (repo) GROUP BY 1), s AS (SELECT repo, count(*) AS n_commits, avg(CASE WHEN k>1 THEN 1.0 ELSE 0.0 END) AS x, avg(n) AS f FROM c GROUP BY 1)
+SELECT repo, n_commits, n_files, round(e,6) AS entropy, round(CASE WHEN n_files>1 THEN e/log2(n_files) ELSE 0 END,6) AS entropy_norm, round(x,6) AS cross_package_ratio, round(f,6) AS files_per_commit FROM h JOIN s USING (repo)""")
+def _(spark, d):
+    return history.cochange(fx.commits(spark, d))
+
+
+@query("cochange_pairs", f"{_SIZED}, f AS (SELECT repo, sha, path FROM commits SEMI JOIN c USING (repo, sha)) SELECT a.repo, a.path AS a, b.path AS b, count(*) AS n FROM f a JOIN f b ON a.repo=b.repo AND a.sha=b.sha AND a.path<b.path GROUP BY 1,2,3")
+def _(spark, d):
+    return history.cochange_pairs(fx.commits(spark, d))
+
+
+URGENT = r"(?i)\b(urgent|high)\b"
+
+
+@query("bugfix_ratio", "SELECT o_orderstatus AS repo, count(*) AS n_commits, count(*) FILTER (WHERE regexp_matches(o_orderpriority,'(?i)\\b(urgent|high)\\b')) AS n_bugfix, round(avg(CASE WHEN regexp_matches(o_orderpriority,'(?i)\\b(urgent|high)\\b') THEN 1.0 ELSE 0.0 END),6) AS bugfix_ratio FROM orders GROUP BY 1")
+def _(spark, d):
+    return history.bugfix_ratio(fx.table(spark, d, "orders").select(F.col("o_orderstatus").alias("repo"), F.col("o_orderpriority").alias("subject")), URGENT)
+
+
+@query("blast_radius", f"""WITH {fx.COMMITS}, c AS (SELECT repo, sha, count(DISTINCT path) f, count(DISTINCT string_split(path,'/')[1]) p FROM commits WHERE regexp_matches(subject,'(?i)\\b(urgent|high)\\b') GROUP BY 1,2)
+SELECT repo, count(*) AS n_bugfix_commits, round(avg(f),6) AS mean_files, round(median(f),6) AS median_files, round(quantile_cont(f,0.9),6) AS p90_files, max(f) AS max_files, round(100*avg(CASE WHEN p>1 THEN 1.0 ELSE 0.0 END),6) AS cross_package_pct, round(100*avg(CASE WHEN f>5 THEN 1.0 ELSE 0.0 END),6) AS wide_pct FROM c GROUP BY 1""")
+def _(spark, d):
+    return history.blast_radius(fx.commits(spark, d), pattern=URGENT)
+
+
+@query("issue_stats", """WITH i AS (SELECT o_orderpriority AS repo, CASE WHEN o_orderstatus='O' THEN 'open' ELSE 'closed' END AS state, o_orderdate AS a, max(l_shipdate) AS b FROM orders LEFT JOIN lineitem ON o_orderkey=l_orderkey WHERE o_orderstatus<>'P' GROUP BY o_orderkey, 1, 2, 3),
+d AS (SELECT *, (epoch_us(b)-epoch_us(a))/86400e6 AS x FROM i)
+SELECT repo, count(*) AS n_issues, count(*) FILTER (WHERE state='open') AS n_open, count(*) FILTER (WHERE state='closed') AS n_closed, round(count(*)/50.0,6) AS issues_per_kloc, round(median(x) FILTER (WHERE x>=0),6) AS median_days_to_close FROM d GROUP BY 1""")
+def _(spark, d):
+    shipped = fx.table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.max("l_shipdate").alias("closed_at"))
+    o = fx.table(spark, d, "orders").join(shipped, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    return history.issue_stats(o.select(
+        F.col("o_orderpriority").alias("repo"), F.when(F.col("o_orderstatus") == "O", "open").otherwise("closed").alias("state"), F.col("o_orderdate").cast("timestamp").alias("created_at"),
+        F.col("closed_at").cast("timestamp").alias("closed_at"), (F.col("o_orderstatus") == "P").alias("is_pull_request"), F.lit(50_000.0).alias("ncloc"),
+    ))
+
+
+# --- statistics -------------------------------------------------------------------------------------------------------
+
+_S = f"WITH {fx.SCORES}"
+
+
+def _rank(x: str, by: str = "") -> str:
+    part = f"PARTITION BY {by} " if by else ""
+    return f"(rank() OVER ({part}ORDER BY {x}) + (count(*) OVER (PARTITION BY {by + ', ' if by else ''}{x}) - 1)/2.0)"
+
+
+def _corr(x: str, y: str) -> str:
+    return f"covar_pop({x},{y})/nullif(stddev_pop({x})*stddev_pop({y}),0)"
+
+
+@query("average_ranks", f"{_S} SELECT name, language, bugs, round({_rank('bugs', 'language')},6) AS place FROM scores")
+def _(spark, d):
+    return st.average_ranks(fx.scores(spark, d), ["language"], "bugs", "place").select("name", "language", "bugs", "place")
+
+
+@query("rank_normalize", f"{_S} SELECT name, round(CASE WHEN count(*) OVER (PARTITION BY language)>=2 THEN ({_rank('bugs', 'language')}-1)/(count(*) OVER (PARTITION BY language)-1) END,6) AS x FROM scores")
+def _(spark, d):
+    return st.rank_normalize(fx.scores(spark, d), ["language"], "bugs", "x").select("name", "x")
+
+
+@query("pearson", f"{_S} SELECT language, round(CASE WHEN count(*)>=3 THEN {_corr('score', 'churn')} END,6) AS r, count(*) AS n FROM scores GROUP BY 1")
+def _(spark, d):
+    return st.pearson(fx.scores(spark, d), ["language"], "score", "churn")
+
+
+@query("spearman", f"{_S}, k AS (SELECT language, {_rank('score', 'language')} a, {_rank('bugs', 'language')} b FROM scores) SELECT language, round(CASE WHEN count(*)>=3 THEN {_corr('a', 'b')} END,6) AS r, count(*) AS n FROM k GROUP BY 1")
+def _(spark, d):
+    return st.spearman(fx.scores(spark, d), ["language"], "score", "bugs")
+
+
+@query("spearman_squares", f"{_S}, k AS (SELECT rank() OVER (ORDER BY score) a, rank() OVER (ORDER BY bugs) b FROM scores) SELECT round(1.0-6.0*sum((a-b)*(a-b))/(count(*)*(count(*)*count(*)-1)),6) AS rho, count(*) AS n FROM k")
+def _(spark, d):
+    return st.spearman_squares(fx.scores(spark, d), "score", "bugs")
+
+
+_XS, _YS = ("modularity", "acyclicity", "stability", "cohesion", "score"), ("churn", "bugs", "nodes")
+
+
+@query("correlation_matrix", f"{_S} " + " UNION ALL ".join(f"SELECT '{x}' AS x, '{y}' AS y, round({_corr(x, y)},6) AS r, count(*) AS n FROM scores" for x in _XS for y in _YS))
+def _(spark, d):
+    return st.correlation_matrix(fx.scores(spark, d), _XS, _YS)
+
+
+@query("correlation_strength", f"{_S}, m AS (" + " UNION ALL ".join(f"SELECT '{x}' AS x, '{y}' AS y, {_corr(x, y)} AS r FROM scores" for x in _XS for y in _YS) + """), b AS (SELECT x, arg_max(y, abs(r)) AS y, arg_max(r, abs(r)) AS r FROM m GROUP BY 1)
+SELECT x, y, round(r,6) AS r, CASE WHEN r IS NULL THEN 'n/a' WHEN abs(r)>=0.7 THEN 'very strong' WHEN abs(r)>=0.5 THEN 'strong' WHEN abs(r)>=0.3 THEN 'moderate' WHEN abs(r)>=0.1 THEN 'weak' ELSE 'negligible' END AS strength FROM b""")
+def _(spark, d):
+    best = st.correlation_matrix(fx.scores(spark, d), _XS, _YS).groupBy("x").agg(F.max_by("y", F.abs("r")).alias("y"), F.max_by("r", F.abs("r")).alias("r"))
+    return best.select("x", "y", "r", st.strength(F.col("r")).alias("strength"))
+
+
+@query("correlation_p_values")
+def _(spark, d):
+    return st.with_p_value(st.correlation_matrix(fx.scores(spark, d), _XS, _YS))
+
+
+@query("mann_whitney", f"{_S}, k AS (SELECT language='Python' AS p, {_rank('score')} r FROM scores), s AS (SELECT count(*) FILTER (WHERE p) n1, count(*) FILTER (WHERE NOT p) n2, sum(r) FILTER (WHERE p) r1 FROM k), u AS (SELECT n1, n2, least(r1-n1*(n1+1)/2.0, n1*n2-(r1-n1*(n1+1)/2.0)) u FROM s) SELECT n1, n2, round(u,6) AS u, round((u-n1*n2/2.0)/sqrt(n1*n2*(n1+n2+1)/12.0),6) AS z FROM u")
+def _(spark, d):
+    return st.mann_whitney(fx.scores(spark, d), "language", "Python", "score").drop("p_value")
+
+
+@query("effect_size", f"{_S}, k AS (SELECT avg(score) FILTER (WHERE language='Python') a, avg(score) FILTER (WHERE language<>'Python') b, var_samp(score) FILTER (WHERE language='Python') va, var_samp(score) FILTER (WHERE language<>'Python') vb, count(*) FILTER (WHERE language='Python') n1, count(*) FILTER (WHERE language<>'Python') n2 FROM scores) SELECT round((a-b)/sqrt(((n1-1)*va+(n2-1)*vb)/(n1+n2-2)),6) AS d FROM k")
+def _(spark, d):
+    return st.effect_size(fx.scores(spark, d), "language", "Python", "score")
+
+
+@query("mediation", f"{_S}, k AS (SELECT count(*) n, {_corr('stability', 'churn')} a, {_corr('churn', 'bugs')} b, {_corr('stability', 'bugs')} c FROM scores) SELECT n, round(a,6) AS r_a, round(b,6) AS r_b, round(c,6) AS r_c, round(a*b,6) AS indirect, round(a*b/c,6) AS share, round(a*b/sqrt(b*b*(1-a*a)/(n-2)+a*a*(1-b*b)/(n-2)),6) AS sobel_z FROM k")
+def _(spark, d):
+    return st.mediation(fx.scores(spark, d), "stability", "churn", "bugs")
+
+
+@query("composite_ranks", f"{_S}, k AS (SELECT name, (({_rank('churn')}-1)/(count(*) OVER ()-1)+({_rank('bugs')}-1)/(count(*) OVER ()-1))/2 s FROM scores) SELECT name, round(s,6) AS defect_score, round(1-s,6) AS proxy FROM k")
+def _(spark, d):
+    return st.composite_ranks(fx.scores(spark, d), ["churn", "bugs"]).select("name", "defect_score", "proxy")
+
+
+@query("distribution", f"{_S} SELECT language, count(score) AS n, min(score) AS least, max(score) AS most, round(avg(score),6) AS mean, round(stddev_pop(score),6) AS deviation, round(max(score)-min(score),6) AS spread FROM scores GROUP BY 1")
+def _(spark, d):
+    return st.distribution(fx.scores(spark, d), ["language"], "score")
+
+
+@query("lower_percentile", f"{_S} SELECT language, list_sort(list(bugs))[CAST(floor(0.95*(count(*)-1)) AS INT)+1] AS value FROM scores GROUP BY 1")
+def _(spark, d):
+    return st.lower_percentile(fx.scores(spark, d), ["language"], "bugs")
+
+
+@query("percentiles", "SELECT l_returnflag, round(quantile_cont(l_quantity,0.9),6) AS p90, round(median(l_quantity),6) AS mid FROM lineitem GROUP BY 1")
+def _(spark, d):
+    return fx.table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.percentile("l_quantity", 0.9).alias("p90"), F.median("l_quantity").alias("mid"))
+
+
+def _versions(spark: SparkSession, d: str) -> DataFrame:
+    s = fx.scores(spark, d)
+    return s.select("name", F.lit("v1").alias("version"), F.col("stability").alias("x")).union(s.where("name % 4 > 0").select("name", F.lit("v2"), "cohesion"))
+
+
+@query("version_deltas", f"{_S} SELECT name, stability AS first, CASE WHEN name%4>0 THEN cohesion END AS last, round(CASE WHEN name%4>0 THEN cohesion-stability END,6) AS delta FROM scores")
+def _(spark, d):
+    return st.version_deltas(_versions(spark, d), "name", "version", "x", "v1", "v2")
+
+
+@query("compare_runs", f"{_S} SELECT name, CASE WHEN name%4=0 THEN 'MISSING' WHEN abs(stability-cohesion)>0.2 THEN 'DIFF' ELSE 'OK' END AS status FROM scores")
+def _(spark, d):
+    v = _versions(spark, d)
+    return st.compare_runs(v.where("version = 'v1'"), v.where("version = 'v2'"), "name", "x", 0.2)
+
+
+@query("checks", f"{_S}, k AS (SELECT max(score)-min(score) s, avg(score) m, count(DISTINCT language) l FROM scores) SELECT 'spread' AS id, s>0.05 AS passed FROM k UNION ALL SELECT 'level', m>0.9 FROM k UNION ALL SELECT 'languages', l>=4 FROM k")
+def _(spark, d):
+    return st.checks(fx.scores(spark, d), {"spread": F.max("score") - F.min("score") > 0.05, "level": F.avg("score") > 0.9, "languages": F.countDistinct("language") >= 4})
+
+
+@query("lowest_scores", f"{_S} SELECT name, score FROM scores ORDER BY score, name LIMIT 10")
+def _(spark, d):
+    return fx.scores(spark, d).select("name", "score").orderBy("score", "name").limit(10)
+
+
+@query("complement", f"{_S}, k AS (SELECT avg(score)-0.5*stddev_pop(score) t FROM scores) SELECT name, score FROM scores, k WHERE score<t AND bugs<=(SELECT median(bugs) FROM scores)")
+def _(spark, d):
+    s = fx.scores(spark, d)
+    limits = s.agg((F.avg("score") - 0.5 * F.stddev_pop("score")).alias("t"), F.median("bugs").alias("b"))
+    return s.join(F.broadcast(limits), (F.col("score") < F.col("t")) & (F.col("bugs") <= F.col("b"))).select("name", "score")  # one row
+
+
+# --- scores -----------------------------------------------------------------------------------------------------------
+
+_Z = "CASE language WHEN 'Python' THEN (score-0.7494)/0.0619 WHEN 'Java' THEN (score-0.6224)/0.0938 WHEN 'Go' THEN (score-0.8166)/0.0627 END"
+_FINGERPRINT = "CASE WHEN {a}=1.0 AND {c}>=0.95 AND {s}>0.80 THEN 'CLEAN' WHEN {a}<0.95 AND {c}<0.30 THEN 'TANGLED' WHEN {a}<0.95 THEN 'CYCLIC' WHEN {c}<0.40 THEN 'LOW_COHESION' WHEN {s}<0.30 THEN 'FLAT' WHEN {s}>0.70 AND {c}>=0.50 THEN 'LAYERED' ELSE 'MODERATE' END"
+_SEVERITY = "CASE WHEN {x}<=0 THEN 'NONE' WHEN {x}<0.01 THEN 'LOW' WHEN {x}<0.05 THEN 'MEDIUM' WHEN {x}<0.15 THEN 'HIGH' ELSE 'CRITICAL' END"
+
+
+@query("language_z", f"{_S} SELECT name, language, round({_Z},6) AS z, round(CASE WHEN nodes<10 THEN score ELSE round(least(1.0,greatest(0.0,score*ln(500)/ln(nodes))),4) END,4) AS adjusted FROM scores")
+def _(spark, d):
+    return fx.scores(spark, d).select("name", "language", scores.language_z(F.col("score"), F.col("language")).alias("z"), F.round(scores.size_adjusted(F.col("score"), F.col("nodes")), 4).alias("adjusted"))
+
+
+@query("language_percentile", f"""{_S}, z AS (SELECT name, {_Z} AS z FROM scores), t AS (SELECT name, z, 1.0/(1.0+0.3275911*abs(z)/sqrt(2.0)) t FROM z),
+h AS (SELECT name, z, 0.5*t*(0.254829592+t*(-0.284496736+t*(1.421413741+t*(-1.453152027+t*1.061405429))))*exp(-z*z/2) h FROM t)
+SELECT name, round(CASE WHEN z>=0 THEN 1-h WHEN z<0 THEN h END,5) AS p FROM h""")
+def _(spark, d):
+    return fx.scores(spark, d).select("name", F.round(scores.normal_cdf(scores.language_z(F.col("score"), F.col("language"))), 5).alias("p"))
+
+
+@query("fingerprints", f"WITH k AS (SELECT {_FINGERPRINT.format(a='(CASE WHEN l_tax<=0.04 THEN 1.0 ELSE 1.0-l_tax END)', c='(l_quantity/50)', s='(l_discount*10)')} AS f FROM lineitem) SELECT f AS fingerprint, count(*) AS n FROM k GROUP BY 1")
+def _(spark, d):
+    c = F.col
+    f = scores.fingerprint(F.lit(0.5), F.when(c("l_tax") <= 0.04, 1.0).otherwise(1.0 - c("l_tax")), c("l_discount") * 10, c("l_quantity") / 50)
+    return fx.table(spark, d, "lineitem").select(f.alias("fingerprint")).groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("cycle_severity", f"{_S} SELECT name, {_SEVERITY.format(x='round(1.0-acyclicity,6)')} AS level, round(1.0-acyclicity,6) AS ratio FROM scores")
+def _(spark, d):
+    c = scores.cycle_severity(F.col("acyclicity"))
+    return fx.scores(spark, d).select("name", c["severity_level"].alias("level"), c["severity_ratio"].alias("ratio"))
+
+
+@query("churn_risk", f"{_S}, k AS (SELECT name, greatest(0.0,least(1.0,1.0-(0.5*acyclicity+0.3*stability+0.2*modularity))) r FROM scores) SELECT name, round(r,6) AS risk, CASE WHEN r<0.1 THEN 'LOW' WHEN r<0.2 THEN 'MEDIUM' WHEN r<0.3 THEN 'HIGH' ELSE 'CRITICAL' END AS level FROM k")
+def _(spark, d):
+    c = scores.churn_risk(F.col("acyclicity"), F.col("stability"), F.col("modularity"))
+    return fx.scores(spark, d).select("name", c["churn_risk_score"].alias("risk"), c["churn_risk_level"].alias("level"))
+
+
+@query("composite_score", f"{_S} SELECT name, round(modularity*0+acyclicity*0.73/0.95+stability*0.05/0.95+cohesion*0.17/0.95,6) AS score FROM scores")
+def _(spark, d):
+    return fx.scores(spark, d).select("name", scores.composite([F.col(c) for c in ("modularity", "acyclicity", "stability", "cohesion")], (0, 73, 5, 17)).alias("score"))
+
+
+@query("enhanced")
+def _(spark, d):
+    return scores.enhance(fx.scores(spark, d)).select("name", "language", "score_z", "score_percentile", "score_size_adjusted", "fingerprint", "fingerprint_description", "cycle_severity.severity_level", "cycle_severity.message", "churn_risk.churn_risk_level")
+
+
+@query("ratings", f"{_S}, k AS (SELECT name, bugs, nodes, 1.0+4*stability AS r FROM scores) SELECT name, substr('ABCDE', CAST(round_even(r,0) AS INT), 1) AS letter, round(greatest(0.0,least(1.0,1-(r-1)/4)),6) AS quality, round(bugs/(nodes/1000.0),6) AS bugs_per_kloc FROM k")
+def _(spark, d):
+    r = 1.0 + 4 * F.col("stability")
+    return fx.scores(spark, d).select("name", scores.rating_letter(r).alias("letter"), scores.rating_quality(r).alias("quality"), scores.per_kloc(F.col("bugs"), F.col("nodes")).alias("bugs_per_kloc"))
+
+
+# --- sources ----------------------------------------------------------------------------------------------------------
+
+
+def _files(spark: SparkSession, d: str) -> DataFrame:
+    """A Python file per supplier that imports the suppliers its orders go on to."""
+    g = fx.hops(spark, d)
+    imports = g.edges.groupBy("src").agg(F.array_join(F.sort_array(F.collect_list(F.concat(F.lit("import "), "tgt"))), "\n").alias("text"))
+    return g.nodes.join(imports, F.col("id") == F.col("src"), "left").select(F.lit("g").alias("graph_id"), F.concat("id", F.lit(".py")).alias("path"), F.coalesce("text", F.lit("x = 1")).alias("text"))
+
+
+@query("scan_edges", f"WITH {fx.HOPS} SELECT 'g' AS graph_id, src, tgt FROM hops")
+def _(spark, d):
+    return engine.scan(_files(spark, d))[0].edges
+
+
+@query("detect_language", f"WITH {fx.HOPS} SELECT 'g' AS graph_id, CASE WHEN count(*)>0 THEN 'Python' END AS language FROM nodes")
+def _(spark, d):
+    return code.detect_language(_files(spark, d))
+
+
+@query("file_index", f"WITH {fx.TRADE}, a AS (SELECT id, unnest([array_to_string(string_split(id,'.')[k:],'.') FOR k IN [1,2,3]]) AS alias FROM nodes) SELECT 'g' AS graph_id, alias, min(id) AS path FROM a GROUP BY 2")
+def _(spark, d):
+    return code.file_index(fx.trade(spark, d).nodes.select("graph_id", F.col("id").alias("module"), F.col("id").alias("path")))
+
+
+@query("lines_of_code", "SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '' AND NOT starts_with(trim(x), '#')))::INT AS n FROM documents WHERE text IS NOT NULL")
+def _(spark, d):
+    return fx.table(spark, d, "documents").where("text is not null").select("doc_id", code.lines_of_code(F.col("text")).alias("n"))
+
+
+@query("page_links", "SELECT DISTINCT regexp_extract(url,'://([^/?#]*)',1) AS src, unnest(regexp_extract_all(html,'href=\"([^\"]+)\"',1)) AS tgt FROM pages")
+def _(spark, d):
+    return tables.links(fx.table(spark, d, "pages"), F.col("url"), F.col("html"))
+
+
+@query("slugs", "SELECT p_partkey, regexp_replace(p_name||' '||p_brand,'[^a-zA-Z0-9_.-]','_','g')[1:200] AS slug, 'import '||replace(p_brand,'#','.')||';' AS line FROM part")
+def _(spark, d):
+    return fx.table(spark, d, "part").select("p_partkey", names.slug(F.concat_ws(" ", "p_name", "p_brand")).alias("slug"), names.import_line(F.lit("Java"), F.translate("p_brand", "#", ".")).alias("line"))
+
+
+@query("synthetic_graph")
+def _(spark, d):
+    return tables.synthetic_graph(spark, 1000, 20_000)
+
+
+@query("graph_json")
+def _(spark, d):
+    return tables.graph_json(fx.hops(spark, d))
+
+
+# --- mutations --------------------------------------------------------------------------------------------------------
+
+
+def _mutation(kind: str):
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        g = fx.hops(spark, d) if kind == "cycles" else fx.trade(spark, d)
+        if kind == "cohesion":
+            return mutate.move_modules(g, 0.1, 1)
+        return {"cycles": mutate.inject_cycles, "layers": mutate.inject_layer_violations, "hubs": mutate.create_hubs}[kind](g, 0.5, 1)
+
+    return run
+
+
+for _kind in mutate.TYPES:
+    query(f"mutate_{_kind}")(_mutation(_kind))
+
+
+@query("mutation_study")
+def _(spark, d):
+    """How the metrics react to doses of injected cycles."""
+    g = mutate.study(fx.hops(spark, d), ("cycles", "hubs"), (0.1, 0.5), (1,))
+    return tr.acyclicity(g).join(gr.stability(g), "graph_id")

@@ -1 +1 @@
-
+"""Readers: source files, graph JSON, results, commit logs, issues, synthetic graphs."""

@@ -1 +1 @@
-
+"""The ratchet gate over a stream of measurements."""
