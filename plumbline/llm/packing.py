@@ -56,28 +56,49 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.word_end = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        self.word_end[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
         self._forget()
 
     def _forget(self) -> None:
         self.keys, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
 
+    def _store(self, ids: np.ndarray) -> int:
+        at = self.used
+        if at + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(len(self.pool) + len(ids), np.uint32)])
+        self.pool[at : at + len(ids)] = ids
+        self.used += len(ids)
+        return at
+
     def _learn(self, keys: np.ndarray, strings: list[bytes]) -> None:
-        """keys: sorted and new."""
-        sizes = []
-        for i in range(0, len(strings), 5_000):
-            for e in self.tokenizer.encode_batch_fast([s.decode() for s in strings[i : i + 5_000]], add_special_tokens=False):
-                ids = e.ids
-                if self.used + len(ids) > len(self.pool):
-                    self.pool = np.concatenate([self.pool, np.zeros(len(self.pool) + len(ids), np.uint32)])
-                self.pool[self.used : self.used + len(ids)] = ids
-                self.used += len(ids)
-                sizes.append(len(ids))
-        size = np.array(sizes, np.int64)
+        """keys: sorted and new.
+
+        A string of letters has one token with the mark of a word's end, its
+        last. Such strings are encoded as one text and told apart by that mark;
+        if the marks don't add up, and for all other strings, one by one.
+        """
+        texts = [s.decode() for s in strings]
+        at, size = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+        plain = [i for i, t in enumerate(texts) if t.isalpha()]
+        single = [i for i, t in enumerate(texts) if not t.isalpha()]
+        for k in range(0, len(plain), 2_000):
+            part = plain[k : k + 2_000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join([texts[i] for i in part])], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.nonzero(self.word_end[ids])[0] + 1
+            if len(ends) != len(part) or ends[-1] != len(ids):
+                single += part
+                continue
+            starts = np.concatenate([[0], ends[:-1]])
+            at[part], size[part] = self._store(ids) + starts, ends - starts
+        for k in range(0, len(single), 5_000):
+            part = single[k : k + 5_000]
+            for i, e in zip(part, self.tokenizer.encode_batch_fast([texts[i] for i in part], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, np.uint32)
+                at[i], size[i] = self._store(ids), len(ids)
         place = np.searchsorted(self.keys, keys)
-        self.at = np.insert(self.at, place, self.used - size.sum() + np.cumsum(size) - size)
-        self.size = np.insert(self.size, place, size)
-        self.keys = np.insert(self.keys, place, keys)
+        self.at, self.size, self.keys = np.insert(self.at, place, at), np.insert(self.size, place, size), np.insert(self.keys, place, keys)
 
     def _slice(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """ids of at most a slice, the starts of its strings, and the number of ids before each string and at the end."""
