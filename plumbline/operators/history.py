@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import names
+from plumbline.plans.ordering import running_sum
 
 #: Paths of tests, subjects of bug fixes, files that aren't source.
 TEST_PATHS = r"(?i)(^|/)(tests?|testing|conftest\.py)(/|$)|(^|/)test_[^/]*$|_test\.[a-z]+$"
@@ -39,9 +40,8 @@ def gini(values: DataFrame, by: str, x: str) -> DataFrame:
     summed before they meet.
     """
     counts = values.groupBy(by, x).agg(F.count(F.lit(1)).alias("k"))
-    order = Window.partitionBy(by).orderBy(x)
-    before = F.sum("k").over(order) - F.col("k")
-    weighted = counts.withColumn("ranks", F.col("k") * before + F.col("k") * (F.col("k") + 1) / 2.0)
+    before = F.col("upto") - F.col("k")
+    weighted = running_sum(counts, [by], x, "k", "upto").withColumn("ranks", F.col("k") * before + F.col("k") * (F.col("k") + 1) / 2.0)
     n, total = F.sum("k"), F.sum(F.col(x) * F.col("k"))
     return weighted.groupBy(by).agg(F.coalesce(F.try_divide(2.0 * F.sum(F.col("ranks") * F.col(x)), n * total) - (n + 1.0) / n, F.lit(0.0)).alias("gini"))
 

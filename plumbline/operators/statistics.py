@@ -4,21 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.pvalues import correlation_p_value, normal_tail
+from plumbline.plans.ordering import running_sum
 
 
 def average_ranks(df: DataFrame, by: Sequence[str], x: str, out: str) -> DataFrame:
     """Adds the rank of x within its group, ties sharing their mean rank; null for a null.
 
-    Ranks come from the counts of distinct values, so only those are ordered
-    in one task for a group.
+    Ranks are running sums of the counts of distinct values.
     """
     counts = df.where(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count(F.lit(1)).alias("_k"))
-    running = F.sum("_k").over(Window.partitionBy(*by).orderBy(x) if by else Window.orderBy(x))
-    ranks = counts.select(*by, x, (running - (F.col("_k") - 1) / F.lit(2.0)).alias(out))
+    ranks = running_sum(counts, by, x, "_k", "_n").select(*by, x, (F.col("_n") - (F.col("_k") - 1) / F.lit(2.0)).alias(out))
     return df.join(ranks, [*by, x], "left")
 
 
@@ -58,7 +57,7 @@ def spearman_squares(df: DataFrame, x: str, y: str) -> DataFrame:
     """1 less 6 sum d^2 over n (n^2 - 1) with the lowest rank for ties: one row of rho, n."""
     def lowest(frame: DataFrame, c: str, out: str) -> DataFrame:
         counts = frame.groupBy(c).agg(F.count(F.lit(1)).alias("_k"))
-        return frame.join(counts.select(c, (F.sum("_k").over(Window.orderBy(c)) - F.col("_k") + 1).alias(out)), c)
+        return frame.join(running_sum(counts, [], c, "_k", "_n").select(c, (F.col("_n") - F.col("_k") + 1).alias(out)), c)
 
     pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).alias("x"), F.col(y).alias("y"))
     d = lowest(lowest(pairs, "x", "rx"), "y", "ry").withColumn("d2", F.pow((F.col("rx") - F.col("ry")).cast("double"), F.lit(2)))
@@ -134,8 +133,7 @@ def distribution(df: DataFrame, by: Sequence[str], x: str) -> DataFrame:
 def lower_percentile(df: DataFrame, by: Sequence[str], x: str, share: float = 0.95) -> DataFrame:
     """The value at place floor(share (n - 1)) in order, by counts of distinct values."""
     counts = df.where(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count(F.lit(1)).alias("k"))
-    running = Window.partitionBy(*by).orderBy(x)
-    rows = counts.withColumns({"upto": F.sum("k").over(running), "all": F.sum("k").over(Window.partitionBy(*by))})
+    rows = running_sum(counts, by, x, "k", "upto").join(counts.groupBy(*by).agg(F.sum("k").alias("all")), list(by))
     return rows.where(F.col("upto") > F.floor(share * (F.col("all") - 1))).groupBy(*by).agg(F.min(x).alias("value"))
 
 

@@ -10,6 +10,7 @@ from plumbline.functions import names, pvalues, scores
 from plumbline.operators import history, statistics
 from plumbline.operators.test_suite import test_quality as quality
 from plumbline.plans import engine
+from plumbline.plans.ordering import running_sum
 from plumbline.sources import code, tables
 from plumbline.streaming import ratchet
 
@@ -189,3 +190,11 @@ def test_stream(spark, tmp_path):
     feed([("g", "2024-01-04 00:00:00", 0.76)])
     decided = sorted((r["epoch"], r["graph_id"], r["passed"]) for r in spark.read.parquet(f"{state}/decisions/epoch=0", f"{state}/decisions/epoch=1", f"{state}/decisions/epoch=2").collect())
     assert decided == [(0, "g", True), (1, "g", False), (1, "h", True), (2, "g", True)]
+
+
+def test_running_sum_in_ranges(spark):
+    df = spark.range(1000).selectExpr("if(id % 7 = 0, null, id % 3) as g", "id as x", "id % 5 + 1 as k")
+    one = running_sum(df, ["g"], "x", "k", "s")
+    many = running_sum(df, ["g"], "x", "k", "s", one_task=0)
+    assert statistics.same_rows(one, many.select(*one.columns))
+    assert statistics.same_rows(running_sum(df, [], "x", "k", "s"), running_sum(df, [], "x", "k", "s", one_task=0).select("g", "x", "k", "s"))
