@@ -29,6 +29,8 @@ SAMPLE_BYTES = 64_000
 MIN_DOCS = 5
 #: Bytes that count for the score; a longer text is no surer.
 SCORE_BYTES = 64
+#: Bytes scored at a time; slots of the table of known grams.
+SLICE, TABLE_BITS = 1 << 19, 20
 PAD = b"\n" * ORDER
 
 
@@ -46,8 +48,7 @@ class ContextTrees:
     def __init__(self, texts: dict[str, list[bytes]]):
         self.langs = sorted(texts)
         self.levels = [self._level(texts[x]) for x in self.langs]
-        self.known = np.zeros(0, np.uint32)
-        self.bits = np.zeros((0, len(self.langs)), np.float32)
+        self._forget()
 
     @staticmethod
     def _level(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -81,34 +82,61 @@ class ContextTrees:
         return out
 
     def lookup(self, g: np.ndarray) -> np.ndarray:
-        """Row numbers of the grams in ``bits``; grams not met before are added."""
-        hit, at = _find(self.known, g)
+        """Row numbers of the grams in ``bits``; grams not met before are added.
+
+        A table by hash answers for most; where two grams share a slot, or for
+        new ones, the sorted list does.
+        """
+        at = self.table[_slot(g)].astype(np.int64) if len(self.known) else np.zeros(len(g), np.int64)
+        open_ = np.nonzero(self.known[at] != g)[0] if len(self.known) else np.arange(len(g))
+        if not len(open_):
+            return at
+        rest = g[open_]
+        hit, place = _find(self.known, rest)
         if not hit.all():
             if len(self.known) > 2_000_000:
-                self.known, self.bits = self.known[:0], self.bits[:0]
-            new = np.unique(g if not len(self.known) else g[~hit])
+                self._forget()
+                return self.lookup(g)
+            new = np.unique(rest[~hit])
             keys = np.concatenate([self.known, new])
             order = np.argsort(keys, kind="stable")
             self.known, self.bits = keys[order], np.concatenate([self.bits, self.costs(new)])[order]
-            _, at = _find(self.known, g)
+            self.table[_slot(self.known)] = np.arange(len(self.known), dtype=np.int32)
+            return self.lookup(g)
+        at[open_] = place
         return at
 
+    def _forget(self) -> None:
+        self.known = np.zeros(0, np.uint32)
+        self.bits = np.zeros((0, len(self.langs)), np.float32)
+        self.table = np.zeros(1 << TABLE_BITS, np.int32)
+
     def code_lengths(self, texts: list[bytes]) -> np.ndarray:
         """Bits of each text in each language."""
         out = np.zeros((len(texts), len(self.langs)))
-        for first, last in _slices(texts, 8 << 20):
+        for first, last in _slices(texts, SLICE):
             part = texts[first:last]
+            if len(part[0]) > SLICE:  # alone in its slice
+                padded = PAD + part[0]
+                for k in range(0, len(part[0]), SLICE):
+                    at = self.lookup(grams(np.frombuffer(padded[k : k + ORDER + SLICE], np.uint8)))
+                    out[first] += self.bits[at].sum(axis=0, dtype=np.float64)
+                continue
             at = self.lookup(grams(np.frombuffer(PAD + PAD.join(part) + PAD, np.uint8)))
             ends = np.cumsum([len(t) + ORDER for t in part])
             starts = ends - [len(t) + ORDER for t in part]
             edges = np.column_stack([starts, ends - ORDER]).ravel()
-            for j in range(len(self.langs)):
-                # reduceat gives a text at the even places and the padding after it at the odd ones.
-                sums = np.add.reduceat(np.append(self.bits[at, j], 0).astype(np.float64), edges)[::2]
-                out[first:last, j] = np.where(np.diff(edges)[::2] > 0, sums, 0)
+            # reduceat gives a text at the even places and the padding after it at the odd ones.
+            bits = np.concatenate([self.bits[at], np.zeros((1, len(self.langs)), np.float32)])
+            sums = np.add.reduceat(bits, edges, axis=0, dtype=np.float64)[::2]
+            out[first:last] = np.where((np.diff(edges)[::2] > 0)[:, None], sums, 0)
         return out
 
 
+def _slot(g: np.ndarray) -> np.ndarray:
+    return (g * np.uint32(2654435769)) >> np.uint32(32 - TABLE_BITS)
+
+
 def _find(keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(keys):
         return np.zeros(len(x), bool), np.zeros(len(x), np.int64)

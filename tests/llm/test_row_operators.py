@@ -206,7 +206,9 @@ def test_language_edge_cases(spark, docs):
     assert langid.keep_identified(more, langid.train(more)).count() == more.count() - sum(v[0] == "und" for v in got.values())
 
 
-def test_code_lengths_equal_a_plain_tree():
+@pytest.mark.parametrize("slice_", [1 << 19, 4])
+def test_code_lengths_equal_a_plain_tree(slice_, monkeypatch):
+    monkeypatch.setattr(langid, "SLICE", slice_)
     texts = {"a": [b"abracadabra abracad", b"aab"], "b": [b"bobby bob"]}
     trees = langid.ContextTrees(texts)
 
