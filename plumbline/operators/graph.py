@@ -20,6 +20,8 @@ from plumbline.functions import names
 class Graph:
     nodes: DataFrame
     edges: DataFrame
+    #: All nodes are ends of edges and none is internal, so that all are in scope: known where only edges were given.
+    edges_only: bool = False
 
     @classmethod
     def of_edges(cls, edges: DataFrame, nodes: DataFrame | None = None) -> Graph:
@@ -32,18 +34,26 @@ class Graph:
             if "graph_id" not in nodes.columns:
                 nodes = nodes.withColumn("graph_id", F.lit("g"))
             named = named.union(nodes.select("graph_id", "id", F.coalesce("internal", F.lit(False))))
-        return cls(named.groupBy("graph_id", "id").agg(F.max("internal").alias("internal")), edges)
+        return cls(named.groupBy("graph_id", "id").agg(F.max("internal").alias("internal")), edges, nodes is None)
 
     def scope(self) -> DataFrame:
         """graph_id, id of the internal nodes, or of all nodes of graphs that mark none."""
+        if self.edges_only:
+            return self.nodes.select("graph_id", "id")
         marked = self.nodes.groupBy("graph_id").agg(F.max("internal").alias("marked"))
         return self.nodes.join(marked, "graph_id").where("internal or not marked").select("graph_id", "id")
 
     def inner_edges(self) -> DataFrame:
         """Edges between nodes in scope."""
+        if self.edges_only:
+            return self.edges
         inside = self.scope()
         return self.edges.join(inside.withColumnRenamed("id", "src"), ["graph_id", "src"], "left_semi").join(inside.withColumnRenamed("id", "tgt"), ["graph_id", "tgt"], "left_semi")
 
+    def scoped_edges(self) -> DataFrame:
+        """Edges from nodes in scope."""
+        return self.edges if self.edges_only else self.edges.join(self.scope().withColumnRenamed("id", "src"), ["graph_id", "src"], "left_semi")
+
     def graphs(self) -> DataFrame:
         return self.nodes.select("graph_id").distinct()
 
@@ -53,24 +63,23 @@ def instability(outgoing: Column, incoming: Column) -> Column:
     return F.coalesce(F.try_divide(outgoing, outgoing + incoming), F.lit(0.5))
 
 
-def _degrees(g: Graph, name, edges: DataFrame, out: str) -> DataFrame:
-    """Incoming and outgoing edges by a function of the node's name, in one aggregation that keeps isolated ones."""
-    parts = (
-        g.nodes.select("graph_id", name(F.col("id")).alias(out), F.lit(0).alias("o"), F.lit(0).alias("i"))
-        .union(edges.select("graph_id", name(F.col("src")), F.lit(1), F.lit(0)))
-        .union(edges.select("graph_id", name(F.col("tgt")), F.lit(0), F.lit(1)))
-    )
+def _degrees(g: Graph, name, counts: Column, out: str) -> DataFrame:
+    """Incoming and outgoing edges that count, by a function of the node's name: one aggregation, which keeps those without any."""
+    n = counts.cast("int")
+    parts = g.edges.select("graph_id", name(F.col("src")).alias(out), n.alias("o"), F.lit(0).alias("i")).union(g.edges.select("graph_id", name(F.col("tgt")), F.lit(0), n))
+    if not g.edges_only:
+        parts = parts.union(g.nodes.select("graph_id", name(F.col("id")), F.lit(0), F.lit(0)))
     return parts.groupBy("graph_id", out).agg(F.sum("i").alias("fan_in"), F.sum("o").alias("fan_out"))
 
 
 def degrees(g: Graph) -> DataFrame:
     """graph_id, id, fan_in, fan_out of every node; a loop counts once in each."""
-    return _degrees(g, lambda c: c, g.edges, "id")
+    return _degrees(g, lambda c: c, F.lit(True), "id")
 
 
 def package_instability(g: Graph) -> DataFrame:
     """graph_id, package, fan_in, fan_out (edges across packages), instability."""
-    crossing = g.edges.where(names.package(F.col("src")) != names.package(F.col("tgt")))
+    crossing = names.package(F.col("src")) != names.package(F.col("tgt"))
     return _degrees(g, names.package, crossing, "package").withColumn("instability", instability(F.col("fan_out"), F.col("fan_in")))
 
 
@@ -95,7 +104,7 @@ def package_depth(g: Graph) -> DataFrame:
 
 def boundary_crossing(g: Graph) -> DataFrame:
     """1 less the share of edges from nodes in scope that leave their package; one half without edges."""
-    sources = g.edges.join(g.scope().withColumnRenamed("id", "src"), ["graph_id", "src"], "left_semi").join(package_depth(g), "graph_id")
+    sources = g.scoped_edges().join(package_depth(g), "graph_id")
     crosses = names.package_at(F.col("src"), F.col("depth")) != names.package_at(F.col("tgt"), F.col("depth"))
     share = sources.groupBy("graph_id").agg((1.0 - F.avg(crosses.cast("double"))).alias("r"))
     return g.graphs().join(share, "graph_id", "left").select("graph_id", F.coalesce("r", F.lit(0.5)).alias("boundary_crossing"))
@@ -109,7 +118,7 @@ def edge_similarity(g: Graph) -> DataFrame:
     """
     both = g.edges.select("graph_id", "src", "tgt").union(g.edges.select("graph_id", "tgt", "src")).distinct().toDF("graph_id", "a", "w")
     count = both.groupBy("graph_id", "a").agg(F.count(F.lit(1)).alias("d"))
-    edges = g.edges.join(g.scope().withColumnRenamed("id", "src"), ["graph_id", "src"], "left_semi")
+    edges = g.scoped_edges()
     edges = edges.join(count.toDF("graph_id", "src", "ds"), ["graph_id", "src"]).join(count.toDF("graph_id", "tgt", "dt"), ["graph_id", "tgt"])
     edges = edges.withColumns({"a": F.when(F.col("ds") <= F.col("dt"), F.col("src")).otherwise(F.col("tgt")), "b": F.when(F.col("ds") <= F.col("dt"), F.col("tgt")).otherwise(F.col("src"))})
     shared = edges.select("graph_id", "src", "tgt", "a", "b").join(both, ["graph_id", "a"]).join(both.toDF("graph_id", "b", "w"), ["graph_id", "b", "w"], "left_semi").groupBy("graph_id", "src", "tgt").agg(F.count(F.lit(1)).alias("n"))
@@ -130,7 +139,7 @@ def indirect_coupling(g: Graph) -> DataFrame:
 
 def profile_similarity(g: Graph) -> DataFrame:
     """graph_id, a, b, shared, similarity of the import sets of nodes in scope that share an import, a before b."""
-    profile = g.edges.join(g.scope().withColumnRenamed("id", "src"), ["graph_id", "src"], "left_semi")
+    profile = g.scoped_edges()
     size = profile.groupBy("graph_id", "src").agg(F.count(F.lit(1)).alias("n"))
     a, b = profile.toDF("graph_id", "a", "tgt"), profile.toDF("graph_id", "b", "tgt")
     pairs = a.join(b, ["graph_id", "tgt"]).where("a < b").groupBy("graph_id", "a", "b").agg(F.count(F.lit(1)).alias("shared"))
@@ -144,7 +153,8 @@ def profile_coupling(g: Graph) -> DataFrame:
 
 def module_metrics(g: Graph, cyclic: DataFrame) -> DataFrame:
     """graph_id, id, fan_in, fan_out, instability, in_cycle of the nodes in scope. cyclic: (graph_id, id) of nodes in cycles."""
-    rows = degrees(g).join(g.scope(), ["graph_id", "id"], "left_semi").join(cyclic.select("graph_id", "id", F.lit(True).alias("c")), ["graph_id", "id"], "left")
+    rows = degrees(g) if g.edges_only else degrees(g).join(g.scope(), ["graph_id", "id"], "left_semi")
+    rows = rows.join(cyclic.select("graph_id", "id", F.lit(True).alias("c")), ["graph_id", "id"], "left")
     return rows.select("graph_id", "id", "fan_in", "fan_out", instability(F.col("fan_out"), F.col("fan_in")).alias("instability"), F.coalesce("c", F.lit(False)).alias("in_cycle"))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import names
 from plumbline.operators.graph import Graph, package_instability
+from plumbline.plans.lineage import materialize
 
 TYPES = ("cycles", "layers", "hubs", "cohesion")
 
@@ -91,6 +92,7 @@ def mutated(g: Graph, kind: str, dose: float, seed: int) -> Graph:
 
 def study(g: Graph, kinds: tuple[str, ...], doses: tuple[float, ...], seeds: tuple[int, ...]) -> Graph:
     """All combinations in one graph table: graph_id becomes ``graph/kind/dose/seed``, so any operator measures them in one pass."""
+    g = Graph(materialize(g.nodes), materialize(g.edges), g.edges_only)
     nodes, edges = None, None
     for kind in kinds:
         for dose in doses:

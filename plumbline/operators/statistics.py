@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.pvalues import correlation_p_value, normal_tail
+from plumbline.plans.lineage import ship_package
 from plumbline.plans.ordering import running_sum
 
 
@@ -66,9 +67,23 @@ def spearman_squares(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def with_p_value(df: DataFrame, r: str = "r", n: str = "n") -> DataFrame:
+    ship_package(df.sparkSession)
     return df.withColumn("p_value", correlation_p_value(F.col(r), F.col(n)))
 
 
+def with_normal_p(df: DataFrame, r: str = "r", n: str = "n") -> DataFrame:
+    """Adds p_normal, the tail of the normal distribution at the t value of r; 0 at a perfect correlation."""
+    ship_package(df.sparkSession)
+    t = F.try_divide(F.col(r) * F.sqrt((F.col(n) - 2).cast("double")), F.sqrt(1.0 - F.col(r) * F.col(r)))
+    return df.withColumn("p_normal", F.when(F.abs(r) >= 1.0, 0.0).when(F.col(n) >= 3, normal_tail(t)))
+
+
+def dose_response(df: DataFrame, by: Sequence[str], dose: str, x: str, rho: float = -0.3, p: float = 0.05) -> DataFrame:
+    """by, r, n, p_value, passed: the score falls with the dose, by Spearman's correlation and its tail probability."""
+    out = with_p_value(spearman(df, by, dose, x))
+    return out.withColumn("passed", F.coalesce((F.col("r") < rho) & (F.col("p_value") < p), F.lit(False)))
+
+
 def correlation_matrix(df: DataFrame, xs: Sequence[str], ys: Sequence[str], least: int = 3) -> DataFrame:
     """x, y, r, n for all pairs of columns, in one aggregation."""
     rows = df.select(F.array(*[F.col(c).cast("double") for c in xs]).alias("a"), F.array(*[F.col(c).cast("double") for c in ys]).alias("b"))
@@ -94,6 +109,7 @@ def mann_whitney(df: DataFrame, group: str, first: str, x: str) -> DataFrame:
     u = F.least(u1, product - u1)
     z = F.try_divide(u - product / 2.0, F.sqrt(product * (F.col("n1") + F.col("n2") + 1) / 12.0))
     out = sums.select("n1", "n2", u.alias("u"), z.alias("z"))
+    ship_package(df.sparkSession)
     return out.withColumn("p_value", normal_tail(F.col("z")))
 
 

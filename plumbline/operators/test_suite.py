@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.plans.lineage import ship_package
 from plumbline.sources.code import lines_of_code
 
 #: Words of descriptive test names, marks of isolation, names of assertions.
@@ -54,6 +55,7 @@ def scan_tests(files: DataFrame) -> DataFrame:
             found = [test_rows(t or "") for t in batch["text"]]
             yield batch[["graph_id", "path"]].assign(tests=[f[0] for f in found], names=[f[1] for f in found])
 
+    ship_package(files.sparkSession)
     tests = files.where(F.col("path").rlike(IS_TEST)).select("graph_id", "path", "text")
     return tests.mapInPandas(read, "graph_id string, path string, tests array<struct<name:string,assertions:int,isolated:boolean>>, names array<string>")
 

@@ -9,14 +9,16 @@ the same rows.
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from plumbline.operators.graph import Graph
-from plumbline.plans.lineage import materialize
+from plumbline.plans.lineage import materialize, ship_package
 
 SMALL = 500_000
 ROUNDS = 200
@@ -79,6 +81,7 @@ def _successors(group: pd.DataFrame) -> dict[str, list[str]]:
 
 
 def _per_graph(edges: DataFrame, solve: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    ship_package(edges.sparkSession)
     return edges.select("graph_id", "src", "tgt").groupBy("graph_id").applyInPandas(solve, schema)
 
 
@@ -172,6 +175,7 @@ def reach_counts(edges: DataFrame, sources: DataFrame, small: int = SMALL) -> Da
                 rows.append((key[0], start, len(seen) - 1))
         return pd.DataFrame(rows, columns=["graph_id", "id", "reached"])
 
+    ship_package(edges.sparkSession)
     # New names, as both sides may come from one table.
     left, right = few.select(F.col("graph_id").alias("g1"), "src", "tgt"), sources.select(F.col("graph_id").alias("g2"), F.col("id").alias("id"))
     out = left.groupBy("g1").cogroup(right.groupBy("g2")).applyInPandas(solve, "graph_id string, id string, reached long")
@@ -215,8 +219,15 @@ def lcom4(methods: DataFrame, merge_names: bool = True) -> DataFrame:
     null method stands for a class without methods. With ``merge_names``
     methods of one name are one node.
     """
-    def solve(group: pd.DataFrame) -> pd.DataFrame:
-        parent: dict = {}
+    ship_package(methods.sparkSession)
+    kind = methods.schema["class"].dataType.simpleString()
+    schema = f"graph_id string, class {kind}, lcom4 long"
+    arrow = to_arrow_schema(methods.sparkSession.createDataFrame([], schema).schema)
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by class: one union-find at a time."""
+        done: list[tuple] = []
+        key, parent, n = None, {}, 0
 
         def find(x):
             while parent[x] != x:
@@ -224,19 +235,34 @@ def lcom4(methods: DataFrame, merge_names: bool = True) -> DataFrame:
                 x = parent[x]
             return x
 
-        for i, (method, attrs) in enumerate(zip(group["method"], group["attrs"], strict=True)):
-            if method is None:
-                continue
-            node = ("m", method) if merge_names else ("m", i)
-            parent.setdefault(node, node)
-            for a in attrs if attrs is not None else ():
-                parent.setdefault(("a", a), ("a", a))
-                parent[find(node)] = find(("a", a))
-        roots = {find(x) for x in parent if x[0] == "m"}
-        return pd.DataFrame({"graph_id": group["graph_id"].iloc[:1], "class": group["class"].iloc[:1], "lcom4": [max(1, len(roots))]})
-
-    kind = methods.schema["class"].dataType.simpleString()
-    return methods.select("graph_id", "class", "method", "attrs").groupBy("graph_id", "class").applyInPandas(solve, f"graph_id string, class {kind}, lcom4 long")
+        def close() -> None:
+            if n:
+                done.append((*key, max(1, len({find(x) for x in parent if x[0] == "m"}))))
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in done], f.type) for i, f in enumerate(arrow)], schema=arrow)
+
+        for b in batches:
+            for graph_id, name, method, attrs in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (graph_id, name) != key:
+                    close()
+                    key, parent, n = (graph_id, name), {}, 0
+                n += 1
+                if method is None:
+                    continue
+                node = ("m", method if merge_names else n)
+                parent.setdefault(node, node)
+                for a in attrs or ():
+                    parent.setdefault(("a", a), ("a", a))
+                    parent[find(node)] = find(("a", a))
+            if len(done) > 10_000:
+                yield batch()
+                done.clear()
+        close()
+        yield batch()
+
+    rows = methods.select("graph_id", "class", "method", "attrs").repartition("graph_id", "class").sortWithinPartitions("graph_id", "class")
+    return rows.mapInArrow(solve, schema)
 
 
 def cohesion(lcom4_rows: DataFrame, graphs: DataFrame | None = None) -> DataFrame:

@@ -281,6 +281,19 @@ def _(spark, d):
     return engine.gate(s, 0.5, s.where("name % 2 = 0").select("graph_id", F.col("stability").alias("score")), ["score"])
 
 
+def _constraints(n_nodes: int, n_edges: int, n_rules: int):
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        edges = tables.synthetic_graph(spark, n_nodes, n_edges)
+        found = policy.violations(edges, policy.rules_table(spark, tables.synthetic_rules(n_rules)))
+        return policy.constraint_score(edges, found)
+
+    return run
+
+
+for _case in ((1000, 20_000, 100), (3000, 80_000, 180), (3500, 100_000, 220)):
+    query("constraints_" + "_".join(map(str, _case)))(_constraints(*_case))
+
+
 # --- history ----------------------------------------------------------------------------------------------------------
 
 _GINI = "g AS (SELECT {by}, coalesce(2.0*sum(i*x)/nullif(count(*)*sum(x),0)-(count(*)+1.0)/count(*),0) AS gini FROM (SELECT {by}, {x} AS x, row_number() OVER (PARTITION BY {by} ORDER BY {x}) AS i FROM {t}) GROUP BY {by})"
@@ -599,6 +612,7 @@ for _kind in mutate.TYPES:
 
 @query("mutation_study")
 def _(spark, d):
-    """How the metrics react to doses of injected cycles."""
-    g = mutate.study(fx.hops(spark, d), ("cycles", "hubs"), (0.1, 0.5), (1,))
-    return tr.acyclicity(g).join(gr.stability(g), "graph_id")
+    """How acyclicity reacts to doses of injected cycles and hubs."""
+    g = mutate.study(fx.hops(spark, d), ("cycles", "hubs"), (0.1, 0.5, 1.0), (1, 2))
+    part = lambda k: F.element_at(F.split("graph_id", "/"), k)
+    return st.dose_response(tr.acyclicity(g).select(part(2).alias("mutation"), part(3).cast("double").alias("dose"), "acyclicity"), ["mutation"], "dose", "acyclicity")

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.plans.lineage import ship_package
+
 EXTENSIONS = {"Python": "py", "Java": "java", "Go": "go"}
 SKIP_DIRECTORIES = r"(^|/)(\.[^/]*|target|node_modules|__pycache__)/"
 MOST_BYTES = 1_048_576
@@ -179,6 +181,7 @@ def parse(files: DataFrame, roots: DataFrame | None = None) -> DataFrame:
             found = [PARSERS[e](t or "") for e, t in zip(batch["ext"], batch["text"], strict=True)]
             yield batch[["graph_id", "path", "module"]].assign(imports=[f[0] for f in found], classes=[f[1] for f in found])
 
+    ship_package(files.sparkSession)
     return named.where(F.col("ext").isin(*PARSERS)).mapInPandas(read, f"graph_id string, path string, module string, imports array<string>, classes array<{CLASS}>")
 
 

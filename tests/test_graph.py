@@ -1,5 +1,6 @@
 """Graph metrics against worked examples and the registry's SQL."""
 
+import fnmatch
 import math
 
 import duckdb
@@ -11,8 +12,9 @@ from plumbline.functions import names
 from plumbline.operators import graph as gr
 from plumbline.operators import mutate, policy
 from plumbline.operators import traversal as tr
-from plumbline.operators.statistics import same_rows
+from plumbline.operators.statistics import dose_response, same_rows
 from plumbline.plans import engine
+from plumbline.sources import tables
 
 TABLES = "region nation customer supplier part orders lineitem events documents pages".split()
 
@@ -153,6 +155,14 @@ def test_constraints(spark):
     assert names.glob_regex("a/*") and names.literal_root("*/x") is None and names.literal_root("a/b") == "a"
 
 
+def test_constraints_equal_brute_force(spark):
+    edges = tables.synthetic_graph(spark, 60, 300)
+    rules = tables.synthetic_rules(25)
+    path = lambda x: x.replace(".", "/")
+    expected = sorted((e["src"], e["tgt"], r["name"]) for e in edges.collect() for r in rules if fnmatch.fnmatchcase(path(e["src"]), r["from"]) and fnmatch.fnmatchcase(path(e["tgt"]), r["to"]))
+    assert expected and sorted((r["src"], r["tgt"], r["name"]) for r in policy.violations(edges, policy.rules_table(spark, rules)).collect()) == expected
+
+
 def test_ratchet_and_gate(spark):
     now = spark.createDataFrame([("g", 0.7, 0.5), ("h", 0.9, None)], "graph_id string, score double, constraint_score double")
     before = spark.createDataFrame([("g", 0.75, 0.4)], "graph_id string, score double, constraint_score double")
@@ -171,6 +181,8 @@ def test_mutations_are_new_and_repeatable(spark):
         assert same_rows(mutate.mutated(g, kind, 0.5, 3).edges, mutate.mutated(g, kind, 0.5, 3).edges)
     study = mutate.study(g, ("cycles", "hubs"), (0.1, 1.0), (1,))
     assert tr.acyclicity(study).count() == 4
+    doses = spark.createDataFrame([("m", float(d), 1.0 - d / 10) for d in range(8)] + [("n", float(d), 0.5) for d in range(8)], "kind string, dose double, score double")
+    assert {r["kind"]: r["passed"] for r in dose_response(doses, ["kind"], "dose", "score").collect()} == {"m": True, "n": False}
 
 
 def test_registry_equals_sql(spark, data):
