@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-import zipfile
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import plumbline
+from plumbline.plans.lineage import shared_dir, ship_package
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -28,18 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     return df.select(*cols) if cols else df
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder below spark.checkpoint.dir, which driver and executors share.
-
-    Where the setting is absent (tests on one machine) a folder below the
-    warehouse is used.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 def materialize(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage and survives lost executors."""
     spark = spark or df.sparkSession
@@ -71,17 +55,3 @@ def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     ship_package(spark)
-
-
-def ship_package(spark: SparkSession) -> None:
-    """Send the package's sources to the executors through Spark, once per context."""
-    context = spark.sparkContext
-    if getattr(context, "_plumbline_shipped", False):
-        return
-    root = Path(plumbline.__file__).parent
-    archive = Path(tempfile.mkdtemp()) / "plumbline_sources.zip"
-    with zipfile.ZipFile(archive, "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, p.relative_to(root.parent))
-    context.addPyFile(str(archive))
-    context._plumbline_shipped = True
