@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from plumbline.llm import decontaminate, html_extract, langid, license_scan, near_duplicates, packing, pii, quality, suffix_dedup, url_filter
+from plumbline.llm.oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES"]
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -16,7 +19,3 @@ QUERIES = {
     "op9_quality": quality.op9_quality,
     "op10_langid": langid.op10_langid,
 }
-
-ORACLES = {
-    "op7_url_filter": url_filter.ORACLE_SQL,
-}

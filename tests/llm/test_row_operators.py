@@ -57,11 +57,15 @@ def test_urls_empty(spark):
     assert rows(url_filter.judge_urls(one, no_rules), "rule", "verdict") == [(None, "allow")]
 
 
-def test_url_sql(spark, data):
+@pytest.mark.parametrize("name", ["op2_license_scan", "op4_suffix_dedup", "op6_near_duplicates", "op7_url_filter", "op9_quality"])
+def test_queries_equal_sql(spark, data, name):
+    from plumbline.llm.queries import ORACLES, QUERIES
+
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{data}/pages.parquet'")
-    cols = ("page_id", "host", "path", "rule", "verdict")
-    assert rows(url_filter.op7_url_filter(spark, data), *cols) == sorted(con.sql(f"SELECT {','.join(cols)} FROM ({url_filter.ORACLE_SQL})").fetchall(), key=repr)
+    for t in ("pages", "documents"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
+    df = QUERIES[name](spark, data)
+    assert rows(df, *df.columns) == sorted(con.sql(f"SELECT {', '.join(df.columns)} FROM ({ORACLES[name]})").fetchall(), key=repr)
 
 
 def quality_of(t):
