@@ -42,17 +42,18 @@ IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
+#: Kind, pattern, and strings of which a text that matches has one, in lower case; digits stand for any digit.
 LOOSE = (
-    ("email", re.compile(r"(?<![\w.+-])[\w.+-]{1,64}(?:\s?(?:\(at\)|\[at\]|\{at\})\s?|\sat\s)[\w-]{1,63}(?:(?:\s?(?:\(dot\)|\[dot\]|\{dot\})\s?|\sdot\s|\.)[\w-]{2,63}){1,5}(?!\w)", re.I)),
-    ("phone", re.compile(r"(?<![\w+.-])(?:\(\d{3}\)\s?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\w-])", re.A)),
-    ("ssn", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", re.A)),
-    ("iban", re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?:\s?[A-Z0-9]{4}){2,7}(?:\s?[A-Z0-9]{1,3})?(?!\w)", re.A)),
-    ("secret", re.compile(r"(?<!\w)(?:AKIA[A-Z0-9]{16}|ghp_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64})(?!\w)", re.A)),
-    ("secret", re.compile(r"(?<!\w)(?:password|passwd|pwd|secret|token|api[_-]?key)\s?[=:]\s?[\"']?([^\s\"']{8,200})", re.I)),
-    ("name", re.compile(r"(?:(?i:my name is|name:|signed,|contact)|\b(?:Mr|Mrs|Ms|Dr)\.)\s([A-Z][a-z]{1,20}(?: [A-Z][a-z]{1,20})?)")),
+    ("email", re.compile(r"(?<![\w.+-])[\w.+-]{1,64}(?:[ \n]?(?:\(at\)|\[at\]|\{at\})[ \n]?|[ \n]at[ \n])[\w-]{1,63}(?:(?:[ \n]?(?:\(dot\)|\[dot\]|\{dot\})[ \n]?|[ \n]dot[ \n]|\.)[\w-]{2,63}){1,5}(?!\w)", re.I), ("(at)", "[at]", "{at}", " at ", "\nat ", " at\n", "\nat\n")),
+    ("phone", re.compile(r"(?<![\w+.-])(?:\(\d{3}\)\s?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\w-])", re.A), ("0",)),
+    ("ssn", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", re.A), ("0",)),
+    ("iban", re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?:\s?[A-Z0-9]{4}){2,7}(?:\s?[A-Z0-9]{1,3})?(?!\w)", re.A), ("0",)),
+    ("secret", re.compile(r"(?<!\w)(?:AKIA[A-Z0-9]{16}|ghp_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64})(?!\w)", re.A), ("akia", "ghp_", "sk-")),
+    ("secret", re.compile(r"(?<!\w)(?:password|passwd|pwd|secret|token|api[_-]?key)\s?[=:]\s?[\"']?([^\s\"']{8,200})", re.I), ("password", "passwd", "pwd", "secret", "token", "api")),
+    ("name", re.compile(r"(?:(?i:my name is|name:|signed,|contact)|\b(?:Mr|Mrs|Ms|Dr)\.)\s([A-Z][a-z]{1,20}(?: [A-Z][a-z]{1,20})?)"), ("my name is", "name:", "signed,", "contact", "mr.", "mrs.", "ms.", "dr.")),
 )
-#: A text without any of these has no span of the loose patterns.
-HINTS = re.compile(r"(?:\bat\b|[(\[{]at[)\]}])|AKIA|ghp_|sk-|[=:]|name is|signed,|contact|(?:Mr|Mrs|Ms|Dr)\.", re.I)
+#: What follows the sign of an obfuscated address: cheaper to look for than the whole.
+_AT = re.compile(r"(?:[(\[{]at[)\]}]|[ \n]at[ \n])[ \n]?[\w-]{1,63}(?:[ \n]?[(\[{]dot|[ \n]dot[ \n]|\.[\w-])", re.I)
 
 #: The gazetteers.
 FIRST_NAMES = frozenset("james mary robert patricia john jennifer michael linda david elizabeth william barbara richard susan joseph jessica thomas sarah anna maria peter paul hans julia sofia carlos jean pierre marie claire luis juan ana".split())
@@ -109,13 +110,13 @@ _DIGIT = re.compile("[0-9]")
 
 def loose_spans(text: str) -> list[tuple[int, int, int]]:
     digit = bool(_DIGIT.search(text))
-    if not digit and not HINTS.search(text):
-        return []
+    lower = text.lower()
     out = set()
-    for kind, pattern in LOOSE:
-        if digit or kind in ("email", "secret", "name"):
-            for m in pattern.finditer(text):
-                out.add((m.start(pattern.groups), KINDS.index(kind), m.end(pattern.groups)))
+    for kind, pattern, hints in LOOSE:
+        if not (digit if hints == ("0",) else any(h in lower for h in hints)) or kind == "email" and not _AT.search(text):
+            continue
+        for m in pattern.finditer(text):
+            out.add((m.start(pattern.groups), KINDS.index(kind), m.end(pattern.groups)))
     return sorted(out)
 
 
