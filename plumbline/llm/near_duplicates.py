@@ -11,7 +11,9 @@
    blocks of about ``BLOCK`` shingles; tasks compare pairs of blocks and leave out those whose
    sizes rule the threshold out. Shared shingles of a pair of blocks are counted
    by a matrix product, so every pair of a candidate group is verified exactly
-   and only counts and a spanning forest leave the task.
+   and only counts and a spanning forest leave the task. In a group of more than
+   ``GROUP`` nodes the pairs of each bucket are compared instead, and a pair
+   counts in the first bucket that it shares.
 4. The components of the verified links are the classes.
 """
 
@@ -33,6 +35,8 @@ THRESHOLD = 0.8
 RECALL = 0.9999
 #: Shingles in a block; a set counts for at least LEAST of them, which bounds the sets in a block.
 BLOCK, LEAST = 1 << 17, 1 << 10
+#: Nodes of a candidate group of which all pairs are compared; in a larger one, which unlike texts may have chained, the pairs of each bucket.
+GROUP = 20_000
 #: Hash functions are dealt in these numbers a band.
 ROWS = range(1, 11)
 
@@ -93,10 +97,17 @@ def _bucket_edges(nodes: DataFrame) -> DataFrame:
     return keyed.join(buckets, "key").where("node <> root").select("node", "root").distinct()
 
 
+def _by_bucket(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The members once for each bucket they share with another: root is the bucket's key, band its number, keys all of a node's keys."""
+    keyed = members.join(nodes.select("node", "keys"), "node").select("node", "size", "copies", "keys", F.posexplode("keys").alias("band", "key"))
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    return keyed.join(shared, "key", "left_semi").select("node", F.unhex(F.lpad(F.hex("key"), 16, "0")).alias("root"), "size", "copies", "band", "keys")
+
+
 def _tiles(members: DataFrame, threshold: float) -> DataFrame:
     """Deal the members of each group, in order of set size, into blocks, and each block to the pairs of blocks it is in.
 
-    members: node, root, size, copies. Ranks come from counts by size, so a
+    members: node, root, size, copies, and others that stay. Ranks come from counts by size, so a
     large group is never sorted in one task. A block pair is left out if its
     largest small set is below the threshold times its smallest large set.
     """
@@ -113,7 +124,7 @@ def _tiles(members: DataFrame, threshold: float) -> DataFrame:
         salted.withColumn("rank", F.row_number().over(within) - 1)
         .join(per_salt, ["root", "size", "salt"])
         .join(by_size, ["root", "size"])
-        .select("node", "root", "size", "copies", F.floor(((F.col("rank") + F.col("ahead")) * weight + F.col("before")) / BLOCK).cast("int").alias("block"))
+        .select(*members.columns, F.floor(((F.col("rank") + F.col("ahead")) * weight + F.col("before")) / BLOCK).cast("int").alias("block"))
     )
     blocks = ranked.groupBy("root", "block").agg(F.min("size").alias("low"), F.max("size").alias("high"))
     a, b = blocks.toDF("root", "block", "low", "high"), blocks.toDF("root_b", "block_b", "low_b", "high_b")
@@ -168,6 +179,10 @@ def _verify(threshold: float):
                 n = len(sets[0])
                 links[:n, n:] = compare_blocks(sets[0], sets[1], threshold)
                 links[n:, :n] = links[:n, n:].T
+        if (band := int(group["band"].iloc[0])) >= 0:  # a pair meets in each bucket it shares; it counts in the first
+            keys = np.array([list(k) for s in side for k in s["keys"]], np.int64).reshape(len(nodes), -1)
+            a, b = np.nonzero(links)
+            links[a, b] = (keys[a] == keys[b]).argmax(axis=1) == band
         root = np.arange(len(nodes))
         for x in range(len(nodes)):
             if root[x] == x:  # flood from the first node not reached yet
@@ -217,10 +232,17 @@ def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str =
 
     # The texts of the members come by the key of one document of each node, where keys are there, and are cut to shingles before the shuffle.
     sets = _shingles_of(docs, doc_id, text, members)
-    tiles = _tiles(members.select("node", "root", "size", "copies"), threshold)
+    plain = members.select("node", "root", "size", "copies")
+    large = members.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP).select("root")
+    none = F.array().cast("array<bigint>")
+    if large.isEmpty():
+        tiles = _tiles(plain.withColumns({"band": F.lit(-1), "keys": none}), threshold)
+    else:
+        few = plain.join(large, "root", "left_anti").select(*plain.columns).withColumns({"band": F.lit(-1), "keys": none})
+        tiles = _tiles(few, threshold).unionByName(_tiles(_by_bucket(plain.join(large, "root", "left_semi"), nodes), threshold))
     bound_batches(spark, 200)
     verified = materialize(
-        tiles.join(sets, "node").groupBy(F.col("root").alias("_r"), F.col("i").alias("_i"), F.col("j").alias("_j")).applyInPandas(_verify(threshold), "node binary, root binary, links long, linked long"),
+        tiles.join(sets, "node").groupBy(F.col("root").alias("_r"), F.col("band").alias("_b"), F.col("i").alias("_i"), F.col("j").alias("_j")).applyInPandas(_verify(threshold), "node binary, root binary, links long, linked long"),
         spark,
     )
     links = verified.groupBy("node").agg(F.sum("links").alias("links"), F.sum("linked").alias("linked"))

@@ -246,9 +246,10 @@ def near_cases():
     return rows
 
 
-@pytest.mark.parametrize("block", [1 << 17, 3000])
-def test_classes_equal_brute_force(spark, data, block, monkeypatch):
+@pytest.mark.parametrize(("block", "group"), [(1 << 17, 20_000), (3000, 20_000), (3000, 4)])
+def test_classes_equal_brute_force(spark, data, block, group, monkeypatch):
     monkeypatch.setattr(near_duplicates, "BLOCK", block)
+    monkeypatch.setattr(near_duplicates, "GROUP", group)
     docs = frame(spark, near_cases()).select("doc_id", "text", "class_id").union(spark.read.parquet(f"{data}/documents.parquet").selectExpr("doc_id + 5000", "text", "'x'"))
     expected = brute_classes([tuple(r) for r in docs.select("doc_id", "text").collect()])
     got = [tuple(r) for r in near_duplicates.near_duplicate_classes(docs).select("doc_id", "class_id", "n_links").collect()]
