@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import names, scores
 from plumbline.operators import graph as gr
-from plumbline.operators import history, mutate, policy
+from plumbline.operators import history, mutate, policy, test_suite
 from plumbline.operators import statistics as st
 from plumbline.operators import traversal as tr
 from plumbline.plans import engine
@@ -209,6 +209,13 @@ def _(spark, d):
     return gr.dominant_internal(fx.trade(spark, d))
 
 
+@query("internal_with_targets", f"""WITH {fx.TRADE}, w AS (SELECT id FROM nodes WHERE id LIKE 'ASIA.%' UNION SELECT tgt FROM trade WHERE src LIKE 'ASIA.%')
+SELECT 'g' AS graph_id, src, tgt FROM trade WHERE src IN (SELECT id FROM w) AND tgt IN (SELECT id FROM w)""")
+def _(spark, d):
+    g = fx.trade(spark, d)
+    return gr.internal_with_targets(gr.Graph(g.nodes.withColumn("internal", F.col("id").startswith("ASIA.")), g.edges)).edges
+
+
 # --- policies ---------------------------------------------------------------------------------------------------------
 
 RULES = (
@@ -558,6 +565,39 @@ def _(spark, d):
     return engine.scan(_files(spark, d))[0].edges
 
 
+def _as_language(spark: SparkSession, d: str, ending: str, before: str, imported: str, empty: str) -> DataFrame:
+    g = fx.hops(spark, d)
+    imports = g.edges.groupBy("src").agg(F.array_join(F.sort_array(F.collect_list(F.format_string(imported, "tgt"))), "\n").alias("text"))
+    text = F.concat(F.lit(before), F.coalesce("text", F.lit("")), F.lit(empty))
+    return g.nodes.join(imports, F.col("id") == F.col("src"), "left").select(F.lit("g").alias("graph_id"), F.concat("id", F.lit(ending)).alias("path"), text.alias("text"))
+
+
+@query("scan_java", f"WITH {fx.HOPS} SELECT 'g' AS graph_id, 'app.'||src AS src, 'app.'||tgt AS tgt FROM hops")
+def _(spark, d):
+    return engine.scan(_as_language(spark, d, ".java", "package app;\n", "import app.%s;", "\nclass X { int a; int get() { return this.a; } }"))[0].edges
+
+
+@query("scan_go", f"WITH {fx.HOPS} SELECT 'g' AS graph_id, src, tgt FROM hops")
+def _(spark, d):
+    return engine.scan(_as_language(spark, d, ".go", "package app\nimport (\n", '  "%s"', "\n)\ntype X struct {}\n"))[0].edges
+
+
+@query("scan_lcom4", f"WITH {fx.HOPS} SELECT lcom4, count(*) AS n FROM (SELECT 1 AS lcom4 FROM nodes) GROUP BY 1")
+def _(spark, d):
+    lcom4 = engine.scan(_as_language(spark, d, ".java", "package app;\n", "import app.%s;", "\nclass X { int a; int get() { return this.a; } void set(int v) { this.a = v; } }"))[1]
+    return lcom4.groupBy("lcom4").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("test_quality", """WITH k AS (SELECT s_suppkey k FROM supplier), m AS (SELECT least(avg(k%4)/3.0,1.0) a, least(sum(2+k%4)/sum(1),1.0) r, avg(CASE WHEN k%2=0 THEN 1.0 ELSE 0.0 END) d, avg(CASE WHEN k%5=0 THEN 1.0 ELSE 0.0 END) i, count(*) n FROM k)
+SELECT 'g' AS graph_id, round(a,6) AS assertion_density, round(r,6) AS test_to_code_ratio, round(d,6) AS naming_quality, round(i,6) AS isolation_score, 1.0::DOUBLE AS coverage_potential, n AS n_test_files, n AS n_test_functions, round((a+r+d+i+1)/5,6) AS test_score FROM m""")
+def _(spark, d):
+    k = F.col("s_suppkey")
+    text = F.concat(F.when(k % 2 == 0, "def test_should_y(").otherwise("def test_x_y("), F.when(k % 5 == 0, "mocker").otherwise(""), F.lit("):\n"), F.repeat(F.lit("    assert 1\n"), (k % 4).cast("int")), F.lit("    pass"))
+    rows = fx.table(spark, d, "supplier")
+    tests = rows.select(F.lit("g").alias("graph_id"), F.concat(F.lit("tests/test_s"), k, F.lit(".py")).alias("path"), text.alias("text"))
+    return test_suite.test_quality(tests.union(rows.select(F.lit("g"), F.concat(F.lit("app/s"), k, F.lit(".py")), F.lit("x = 1"))))
+
+
 @query("detect_language", f"WITH {fx.HOPS} SELECT 'g' AS graph_id, CASE WHEN count(*)>0 THEN 'Python' END AS language FROM nodes")
 def _(spark, d):
     return code.detect_language(_files(spark, d))
