@@ -247,15 +247,15 @@ def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str =
     )
     links = verified.groupBy("node").agg(F.sum("links").alias("links"), F.sum("linked").alias("linked"))
     classes = components(verified.select("node", "root").where("node <> root"))
-    out = (
-        signed.select("doc_id", "node")
-        .join(nodes.select("node", "copies"), "node", "left")
-        .join(links, "node", "left")
-        .join(classes, "node", "left")
-        .select("doc_id", F.coalesce("root", "node").alias("root"), (F.coalesce("linked", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))).alias("n_links"), F.coalesce("links", F.lit(0)).alias("n_text_links"))
+    # All that is known of a node, written, so that the joins with hot classes and copies are of two plain shuffles, which the adaptive join splits.
+    known = nodes.select("node", "doc", "copies").join(links, "node", "left").join(classes, "node", "left")
+    known = materialize(known.select("node", "doc", "copies", "links", "linked", F.coalesce("root", "node").alias("root")), spark)
+    least = materialize(known.groupBy("root").agg(F.min("doc").alias("class_id")), spark)
+    known = materialize(known.join(least, "root").select("node", "copies", "links", "linked", "class_id"), spark)
+    return signed.select("doc_id", "node").join(known, "node", "left").select(
+        "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"),
+        (F.coalesce("linked", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))).alias("n_links"), F.coalesce("links", F.lit(0)).alias("n_text_links"),
     )
-    least = nodes.join(classes, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("doc").alias("class_id"))
-    return out.join(least, "root", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), "n_links", "n_text_links")
 
 
 def _shingles_of(docs: DataFrame, doc_id: str, text: str, members: DataFrame) -> DataFrame:
@@ -273,14 +273,14 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresh
     Rows that share a key are one document: the smallest of them in the order
     of all columns stays. Rows with a null key can't be told apart and stay.
     """
-    classes = materialize(near_duplicate_classes(docs, doc_id, text, threshold).select(F.col("doc_id").alias("_id"), F.col("class_id").alias("_class")), docs.sparkSession)
-    extra = classes.where("_id <> _class").select("_id").distinct()
-    out = docs.join(extra, F.col(doc_id) == F.col("_id"), "left_anti")
-    shared = classes.where("_id is not null").groupBy("_id").count().where("count > 1").select("_id")
+    classes = materialize(near_duplicate_classes(docs, doc_id, text, threshold).select(F.col("doc_id").alias("__id"), F.col("class_id").alias("__class")), docs.sparkSession)
+    extra = classes.where("__id <> __class").select("__id").distinct()
+    out = docs.join(extra, F.col(doc_id) == F.col("__id"), "left_anti")
+    shared = classes.where("__id is not null").groupBy("__id").count().where("count > 1").select("__id")
     if shared.isEmpty():
         return out
-    one = out.join(shared, F.col(doc_id) == F.col("_id"), "left_semi").groupBy(F.col(doc_id).alias("_id")).agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*")
-    return out.join(shared, F.col(doc_id) == F.col("_id"), "left_anti").union(one)
+    one = out.join(shared, F.col(doc_id) == F.col("__id"), "left_semi").groupBy(F.col(doc_id).alias("__id")).agg(F.min(F.struct(*docs.columns)).alias("__row")).select("__row.*")
+    return out.join(shared, F.col(doc_id) == F.col("__id"), "left_anti").union(one)
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
