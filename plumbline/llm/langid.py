@@ -219,11 +219,16 @@ def identify(docs: DataFrame, trees: ContextTrees, doc_id: str = "doc_id", text:
 
 
 def keep_identified(docs: DataFrame, trees: ContextTrees, text: str = "text", rejected: tuple[str, ...] = ("und",)) -> DataFrame:
-    """The rows whose predicted language isn't rejected, with all their columns; no row is shuffled."""
+    """The rows whose predicted language isn't rejected, with all their columns; no row is shuffled.
+
+    If no language was learned, only texts that are null or have no letter go.
+    """
     bound_batches(docs.sparkSession)
 
     @F.pandas_udf("boolean")
     def kept(texts: pd.Series) -> pd.Series:
+        if not trees.langs:
+            return pd.Series([bool(t) and has_letter(t) for t in texts], dtype=bool)
         return pd.Series([x not in rejected for x in predict(texts.to_list(), trees)[0]], dtype=bool)
 
     return docs.where(kept(F.col(text)))

@@ -120,17 +120,17 @@ def quality_features(docs: DataFrame, text: str = "text", common: list[str] | No
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "char_hist", "word_hist"]
     out = docs.drop(*[c for c in names if c != text])
     out = out.withColumns({
-        "_words": made,
+        "__words": made,
         "char_hist": _class_counts(t),
         "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
     })
     return out.withColumns({
-        "n_words": F.col("_words.n_words"),
-        "n_repeat_words": F.col("_words.n_repeat_words"),
-        "word_hist": F.col("_words.word_hist"),
+        "n_words": F.col("__words.n_words"),
+        "n_repeat_words": F.col("__words.n_repeat_words"),
+        "word_hist": F.col("__words.word_hist"),
         "n_symbols": F.get("char_hist", F.lit(classes.index("symbol"))),
         "word_chars": F.aggregate("char_hist", F.lit(0).cast("long"), lambda a, x: a + x) - F.get("char_hist", F.lit(classes.index("space"))),
-    }).drop("_words")
+    }).drop("__words")
 
 
 def all_common() -> list[str]:

@@ -18,7 +18,7 @@ SCHEMA = "doc_id long, text string"
 
 
 def frame(spark, rows):
-    return spark.createDataFrame(rows, SCHEMA).withColumns({"lang": F.lit("en"), "offset": F.lit("clash"), "class_id": F.lit("clash"), "n_removed": F.lit("clash")})
+    return spark.createDataFrame(rows, SCHEMA).withColumns({"lang": F.lit("en"), "offset": F.lit("clash"), "class_id": F.lit("clash"), "n_removed": F.lit("clash"), "_id": F.lit("clash"), "node": F.lit(1), "row": F.lit(2)})
 
 
 # --- packing ----------------------------------------------------------------------------------------------------------
@@ -390,3 +390,33 @@ def test_pipeline_equals_brute_force(spark, data):
     for r in packed:
         lengths[r["doc_id"]] += r["length"]
     assert lengths == {k: len(x) + 1 for k, x in zip(masked, true_ids(list(masked.values())), strict=True)}
+
+
+@pytest.mark.parametrize("kind", ["empty", "odd"])
+def test_pipeline_on_odd_tables(spark, data, tmp_path, kind):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _id string"
+    rows = [
+        (1, None, None, None, None, "x"), (2, "", "en", "s", 0, "x"), (3, "12 34", None, "s", 5, None), (4, "same words in a row here", "en", None, None, "x"), (4, "same words in a row here", "en", None, None, "x"),
+        (5, "same words in a row here", "xx", "s", 1, "y"), (None, "null key with a few words", "en", "s", 2, "z"), (7, "mail me at a.b@c.org " + "long text " * 20_000, "en", "s", 3, "w"),
+    ]
+    spark.createDataFrame(rows if kind == "odd" else [], schema).write.parquet(f"{tmp_path}/documents.parquet")
+    bench = spark.read.parquet(f"{data}/benchmark.parquet").select("item_id", "text")
+    bench.union(spark.createDataFrame([(None, None), (999, "")], bench.schema)).limit(1000 if kind == "odd" else 0).write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == [c for c, *_ in (x.split() for x in schema.split(", "))]
+    out = pipeline.run(spark, str(tmp_path)).collect()
+    # Too few labelled documents to learn a language from: texts with a letter stay.
+    assert {r["doc_id"] for r in out} == ({4, None, 7} if kind == "odd" else set())
+
+
+def test_stages_without_a_language(spark, data):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs = frame(spark, [(1, "One two three four five six."), (2, "one two, three four five six"), (None, None), (3, ""), (4, "call +1 (269) 555-3296 now")]).withColumn("n_chars", F.lit(None).cast("long"))
+    near = {r["doc_id"] for r in pipeline.remove_near_duplicates(spark, docs, data).collect()}
+    assert near == {1, None, 3, 4}
+    masked = {r["doc_id"]: (r["text"], r["n_chars"]) for r in pipeline.mask_personal_data(spark, docs, data).collect()}
+    assert masked[4] == ("call [PHONE] now", 16) and masked[None] == (None, None) and masked[3] == ("", 0)
+    assert {r["doc_id"] for r in pipeline.pack_sequences(spark, docs, data).collect()} == {1, 2, None, 3, 4}

@@ -33,7 +33,7 @@ def test_urls_equal_brute_force(spark):
     rnd = random.Random(1)
     urls = [None, "", "no scheme", "http://", "http://ORG/", "x://a.example.org/es/1", "http://example.org/en/1", "http://aorg/", "http://a.org?x", "http://a.org#/x", "http://é.com/fr/", "a://b://com/fr/"]
     urls += [rnd.choice(["http", "HTTPS"]) + "://" + ".".join(rnd.choice(["www", "example", "Org", "org", "com", "net", ""]) for _ in range(rnd.randint(1, 4))) + rnd.choice(["", "/", "/es/", "/es", "/en/1", "/en/12", "/fr/x", "/de/", "?q", "#h"]) for _ in range(300)]
-    pages = spark.createDataFrame([(i // 2, u, "old", "clash") for i, u in enumerate(urls)], "page_id long, url string, host string, verdict string")
+    pages = spark.createDataFrame([(i // 2, u, "old", "clash") for i, u in enumerate(urls)], "page_id long, url string, host string, verdict string").withColumns({"m_host": F.lit(1), "digest": F.lit(2), "rest": F.lit(3), "_host": F.lit(4)})
     lower = str.maketrans(url_filter.UPPER, url_filter.LOWER)
 
     def expected(u):
@@ -250,7 +250,7 @@ PAGE = "<html><body><nav><a>menu</a></nav><div class='cookie-notice'>We use cook
 def test_pages(spark):
     n = 12
     pages = [(i, f"http://h{i % 2}.example.com/{i}", PAGE.format(i)) for i in range(n)] + [(20, None, None), (21, "http://x/", ""), (22, "http://x/", "<p>cut <b>of"), (22, "http://x/", "<p>cut <b>of")]
-    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumns({"text": F.lit("clash"), "_host": F.lit("clash"), "wrapper": F.lit(1), "pages": F.lit(2)})
     got = rows(html_extract.extract(df), "page_id", "text", "n_chars")
     text = "{0} title\n\n{0} one & two three\n\nfour five six"
     expected = [(i, t := text.format(i), len(t)) for i in range(n)] + [(20, "", 0), (21, "", 0), (22, "cut of", 6), (22, "cut of", 6)]
