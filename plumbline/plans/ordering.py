@@ -14,7 +14,7 @@ ONE_TASK = 64 << 20
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's estimate, an upper bound for scans, filters and aggregates."""
+    """The optimizer's estimate: for scans, filters and aggregates at least the size of the files, so the real size is within their compression of it."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
