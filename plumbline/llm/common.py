@@ -41,7 +41,7 @@ def discard(df: DataFrame) -> None:
 
 
 def plan_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate, an upper bound for file scans and local tables."""
+    """The optimizer's size estimate: for a scan the size of its files, so the real size is within their compression of it."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 

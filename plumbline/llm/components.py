@@ -46,13 +46,15 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
 
     Large: each node links its larger neighbours to the smallest of its
     neighbours and itself. Small: it links its smaller neighbours and itself.
+    The smallest are written before the join, whose sides are then plain
+    shuffles, so that the adaptive join can split a hub.
     """
     if large:
         both = edges.union(edges.select("v", "u")).toDF("u", "v")
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         out = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
+        least = materialize(edges.groupBy("u").agg(F.min("v").alias("m")))
         joined = edges.join(least, "u")
         out = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
     return out.where("u <> v").distinct()
@@ -71,7 +73,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     edges = materialize(edges.mapInArrow(_contract, f"u {kind}, v {kind}").distinct())
     state = None
     for _ in range(most_rounds):
-        edges = materialize(_stars(_stars(edges, True), False))
+        edges = materialize(_stars(materialize(_stars(edges, True)), False))
         new = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if new == state:
             return edges.toDF("node", "root")
