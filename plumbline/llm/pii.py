@@ -48,8 +48,8 @@ LOOSE = (
     ("phone", re.compile(r"(?<![\w+.-])(?:\(\d{3}\)\s?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\w-])", re.A), ("0",)),
     ("ssn", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", re.A), ("0",)),
     ("iban", re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?:\s?[A-Z0-9]{4}){2,7}(?:\s?[A-Z0-9]{1,3})?(?!\w)", re.A), ("0",)),
-    ("secret", re.compile(r"(?<!\w)(?:AKIA[A-Z0-9]{16}|ghp_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64})(?!\w)", re.A), ("akia", "ghp_", "sk-")),
-    ("secret", re.compile(r"(?<!\w)(?:password|passwd|pwd|secret|token|api[_-]?key)\s?[=:]\s?[\"']?([^\s\"']{8,200})", re.I), ("password", "passwd", "pwd", "secret", "token", "api")),
+    ("secret", re.compile(r"(?<!\w)(?:AKIA[A-Z0-9]{16}|ghp_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_-]{20,})(?!\w)", re.A), ("akia", "ghp_", "sk-")),
+    ("secret", re.compile(r"(?<!\w)(?:password|passwd|pwd|secret|token|api[_-]?key)\s?[=:]\s?[\"']?([^\s\"']{8,})", re.I), ("password", "passwd", "pwd", "secret", "token", "api")),
     ("name", re.compile(r"(?:(?i:my name is|name:|signed,|contact)|\b(?:Mr|Mrs|Ms|Dr)\.)\s([A-Z][a-z]{1,20}(?: [A-Z][a-z]{1,20})?)"), ("my name is", "name:", "signed,", "contact", "mr.", "mrs.", "ms.", "dr.")),
 )
 #: What follows the sign of an obfuscated address: cheaper to look for than the whole.
@@ -120,6 +120,12 @@ def loose_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def beyond_base(spans: list[tuple[int, int, int]], base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The spans that overlap no base span, and the secrets that no base span covers, so that the rest of a credential with an address in it is found."""
+    secret = KINDS.index("secret")
+    return [s for s in spans if not any(s[0] < b[2] and b[0] < s[2] and not (s[1] == secret and (s[0] < b[0] or b[2] < s[2])) for b in base)]
+
+
 def votes(text: str, kind: str, start: int, end: int, base: bool) -> tuple[int, ...]:
     """The labelers' votes, then the features, of one span."""
     span = text[start:end]
@@ -165,8 +171,7 @@ def propose(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
             for t in batch.column(1).to_pylist():
                 t = t or ""
                 base = base_spans(t)
-                taken = set(base)
-                more = [s for s in loose_spans(t) if s not in taken and not any(s[0] < b[2] and b[0] < s[2] for b in base)]
+                more = beyond_base(loose_spans(t), base)
                 found = sorted([(*s, True) for s in base] + [(*s, False) for s in more])
                 rows.append([{"start": s, "kind": k, "end": e, "base": b, "pattern": ",".join(map(str, (k, *votes(t, KINDS[k], s, e, b))))} for s, k, e, b in found])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(span))], names=["doc_id", "found"])
@@ -281,11 +286,10 @@ def mask(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold:
 def mask_text(text: str, known: dict[str, float], threshold: float) -> str:
     base = base_spans(text)
     spans = [s for s in base]
-    for s, k, e in loose_spans(text):
-        if not any(s < b[2] and b[0] < e for b in base):
-            pattern = ",".join(map(str, (k, *votes(text, KINDS[k], s, e, False))))
-            if known.get(pattern, 0.0) >= threshold:
-                spans.append((s, k, e))
+    for s, k, e in beyond_base(loose_spans(text), base):
+        pattern = ",".join(map(str, (k, *votes(text, KINDS[k], s, e, False))))
+        if known.get(pattern, 0.0) >= threshold:
+            spans.append((s, k, e))
     out, done = [], 0
     for s, k, e in sorted(spans):
         if s >= done:

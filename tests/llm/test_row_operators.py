@@ -180,6 +180,19 @@ def test_pii_digest(spark, data):
         assert [r[f"n_{k}"] for k in pii.BASE_KINDS] == [sum(x[1] == i for x in base) for i in range(4)]
 
 
+def test_secrets_are_taken_to_their_end(spark):
+    jwt = "eyJ" + "aB3dE6gH9_" * 60 + "." + "x9" * 90
+    secrets = [jwt, "sk-" + "a1B2" * 30, "sk-proj-" + "a1B2_c3-" * 12, jwt[:220] + ":me@a.example.com:" + jwt, "s3cr3tValue@a.example.com:" + jwt]
+    texts = [f"{a}{s} after" for s in secrets for a in ([""] if s.startswith("sk-") else ["token: ", "password="])]
+    for t in texts:
+        assert any(t[a:b] in secrets and k == pii.KINDS.index("secret") for a, k, b in pii.loose_spans(t)), t
+    found = pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert all(any(s["kind"] == "secret" and texts[r["doc_id"]][s["start"] : s["end"]] in secrets for s in r["spans"]) for r in found)
+    masked = {r[0]: r[1] for r in pii.mask(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert not any(piece in m for m in masked.values() for piece in ("aB3d", "x9x9", "a1B2", "s3cr3t"))
+    assert pii.loose_spans("password=me@x.com") and not pii.beyond_base(pii.loose_spans("password=me@x.com"), pii.base_spans("password=me@x.com"))
+
+
 def test_em_finds_unreliable_labelers():
     import numpy as np
 
