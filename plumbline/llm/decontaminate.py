@@ -1,6 +1,7 @@
 """Benchmark decontamination by q-gram lemma filtering.
 
-Benchmark items are cut into overlapping patterns. A text region within k
+Benchmark items are cut into overlapping patterns, long ones and, for passages
+of an item, short ones at a small stride. A text region within k
 edits of a pattern of m characters shares at least m + 1 - q(k + 1) of its
 q-grams with it, on diagonals that differ by k at most. So the shared q-grams
 of a text and all patterns are counted in overlapping bands of diagonals; a
@@ -8,7 +9,8 @@ band that reaches the bound is a region to verify, by banded alignment.
 
 The patterns' q-grams go to the tasks as sorted arrays; the benchmark is cut
 into blocks of a bounded size for that, each compared with all documents. No
-document is shuffled.
+document is shuffled. Items too short for patterns are searched exactly, as
+whole words.
 
 Characters are compared after lower-casing, with white space as one kind of
 character; positions are code points of the original text.
@@ -30,10 +32,12 @@ from plumbline.llm.common import bound_batches, table
 Q = 12
 #: Pattern length, step between patterns of an item, and edits allowed for a full pattern.
 PATTERN, STEP, EDIT_RATE = 100, 50, 0.06
-#: Items shorter than this (after trimming) are no evidence of a leak and have no patterns.
+#: The same of the short patterns, which find passages of an item.
+SHORT_PATTERN, SHORT_STEP = 50, 10
+#: Items shorter than this (after trimming) have no patterns and are searched exactly, between word boundaries.
 LEAST = 24
 #: Characters of the benchmark in a block; of the text in a slice.
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 1_500_000
 SLICE = 1 << 17
 TABLE_BITS = 20
 
@@ -48,17 +52,27 @@ def _lower_table() -> np.ndarray:
     return out
 
 
+def _word_table() -> np.ndarray:
+    return np.array([not 0xD800 <= i < 0xE000 and chr(i).isalnum() for i in range(1 << 16)])
+
+
 _tables: dict[str, np.ndarray] = {}
 
 
 def normal(text: str) -> np.ndarray:
     """One 16-bit character for each code point."""
-    if not _tables:
+    if "lower" not in _tables:
         _tables["lower"] = _lower_table()
     code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     return _tables["lower"][np.minimum(code, 0xFFFF) if len(code) and code.max() > 0xFFFF else code]
 
 
+def word_characters(x: np.ndarray) -> np.ndarray:
+    if "word" not in _tables:
+        _tables["word"] = _word_table()
+    return _tables["word"][x]
+
+
 def qgrams(x: np.ndarray) -> np.ndarray:
     """A hash of the Q = 12 characters from each place on, by way of 8-bit classes."""
     c = (x ^ (x >> np.uint16(8))).astype(np.uint8)
@@ -81,17 +95,20 @@ class Patterns:
     owner: np.ndarray  # postings: pattern and place in it
     place: np.ndarray
     seen: np.ndarray  # one flag for each hash of TABLE_BITS
+    short: list[tuple[np.ndarray, np.ndarray, np.ndarray]]  # for each length below LEAST: sorted hashes, items, their characters
 
     @classmethod
     def of(cls, texts: list[str]) -> Patterns:
         item, start, chars, edits = [], [], [], []
+        short: dict[int, list] = {}
         for k, text in enumerate(texts):
             x = normal(text.strip())
             if len(x) < LEAST:
+                if word_characters(x).any():
+                    short.setdefault(len(x), []).append((k, x))
                 continue
-            last = max(0, len(x) - PATTERN)
-            for s in sorted({*range(0, last, STEP), last}):
-                part = x[s : s + PATTERN]
+            for s, e in _places(len(x)):
+                part = x[s:e]
                 item.append(k), start.append(s), chars.append(part)
                 edits.append(min(int(EDIT_RATE * len(part)), (len(part) - Q) // Q))
         edits_ = np.array(edits, np.int64)
@@ -104,7 +121,57 @@ class Patterns:
         keys, first = np.unique(every[order], return_index=True)
         seen = np.zeros(1 << TABLE_BITS, bool)
         seen[_short(keys)] = True
-        return cls(np.array(item, np.int64), np.array(start, np.int64), chars, edits_, sizes + 1 - Q * (edits_ + 1), keys, np.append(first, len(order)), owner[order], place[order], seen)
+        return cls(np.array(item, np.int64), np.array(start, np.int64), chars, edits_, sizes + 1 - Q * (edits_ + 1), keys, np.append(first, len(order)), owner[order], place[order], seen, [_by_hash(short[n]) for n in sorted(short)])
+
+
+def _places(n: int) -> list[tuple[int, int]]:
+    """Start and end of the patterns of an item of n characters."""
+    out = set()
+    for size, step in ((PATTERN, STEP), (SHORT_PATTERN, SHORT_STEP)):
+        last = max(0, n - size)
+        out |= {(s, min(n, s + size)) for s in (*range(0, last, step), last)}
+    return sorted(out)
+
+
+def _by_hash(items: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Items of one length in the order of their hashes: hashes, numbers, characters."""
+    chars = np.stack([x for _, x in items])
+    hashes = _hashes(chars.ravel(), chars.shape[1])[:: chars.shape[1]]
+    order = np.argsort(hashes, kind="stable")
+    return hashes[order], np.array([k for k, _ in items], np.int64)[order], chars[order]
+
+
+def _hashes(x: np.ndarray, n: int) -> np.ndarray:
+    """A hash of the n characters from each place on."""
+    out = np.zeros(len(x) - n + 1, np.uint64)
+    for k in range(n):
+        out = (out ^ x[k : k + len(out)]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(32)
+    return out
+
+
+def short_items(x: np.ndarray, p: Patterns, first: bool, last: bool) -> Iterator[tuple[int, int, int]]:
+    """(item, start, end) of each whole-word occurrence in x of an item below LEAST characters.
+
+    ``first`` and ``last``: x begins and ends its text; else what touches that
+    end is left to the neighbouring slice, which overlaps.
+    """
+    word = word_characters(x) if p.short else None
+    for hashes, items, chars in p.short:
+        n = chars.shape[1]
+        if len(x) < n:
+            continue
+        g = _hashes(x, n)
+        left, right = np.searchsorted(hashes, g, side="left"), np.searchsorted(hashes, g, side="right")
+        for at in np.nonzero(right > left)[0].tolist():
+            end = at + n
+            if at == 0 and not first or end == len(x) and not last:
+                continue
+            if at and word[at - 1] and word[at] or end < len(x) and word[end - 1] and word[end]:
+                continue
+            for k in range(left[at], right[at]):
+                if np.array_equal(chars[k], x[at:end]):
+                    yield int(items[k]), at, end
 
 
 def _short(grams: np.ndarray) -> np.ndarray:
@@ -217,7 +284,12 @@ def batch_leaks(texts: list[str], p: Patterns) -> list[list[tuple[int, int, int,
                     o[3].add(j)
         waiting.clear()
 
-    def search(x: np.ndarray, members: list[int], edges: np.ndarray, shift: int) -> None:
+    def search(x: np.ndarray, members: list[int], edges: np.ndarray, shift: int, last: bool) -> None:
+        for item, s, e in short_items(x, p, not shift, last):
+            k = int(np.searchsorted(edges, s, side="right")) - 1
+            at = shift - int(edges[k])
+            o = found[members[k]].setdefault(item, [s + at, e + at, 0, {-1}])
+            o[0], o[1] = min(o[0], s + at), max(o[1], e + at)
         regions = candidate_regions(x, p)
         for i in range(0, len(regions), 5000):
             part = regions[i : i + 5000]
@@ -232,15 +304,15 @@ def batch_leaks(texts: list[str], p: Patterns) -> list[list[tuple[int, int, int,
         if t is not None and len(t) > SLICE:
             for at in range(0, len(t), SLICE):
                 first = max(0, at - 2 * PATTERN)
-                search(normal(t[first : at + SLICE]), [i], np.zeros(1, np.int64), first)
+                search(normal(t[first : at + SLICE]), [i], np.zeros(1, np.int64), first, at + SLICE >= len(t))
             continue
         if group and (t is None or size + len(t) > SLICE):
             edges = np.cumsum([0] + [len(texts[k]) + 1 for k in group])
             x = normal("\0".join(texts[k] for k in group)).copy()
             x[edges[1:-1] - 1] = 0
-            search(x, group, edges, 0)
+            search(x, group, edges, 0, True)
             group, size = [], 0
-        if t is not None and len(t) >= LEAST - 2:
+        if t is not None and len(t) >= (1 if p.short else LEAST - 2):
             group.append(i)
             size += len(t) + 1
     verify()
@@ -263,8 +335,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
     """One row per document and item found in it: doc_id, item_id, start, end, edits, patterns.
 
     start and end hold all of the item's patterns found in the text. Null and
-    empty texts have no rows, nor have items below LEAST characters; repeated
-    rows give repeated rows; an empty table on either side gives none.
+    empty texts have no rows, nor have items without a letter or digit; items
+    below LEAST characters are found exactly, as whole words, with no edits and
+    one pattern. Repeated rows give repeated rows; an empty table on either
+    side gives none.
     """
     spark = docs.sparkSession
     bound_batches(spark, 500)

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -341,6 +342,25 @@ def test_leaks_equal_brute_force(spark, data, slice_, monkeypatch):
             assert 0 <= s < e <= len(text)
 
 
+@pytest.mark.parametrize("slice_", [1 << 17, 500])
+def test_passages_and_short_items_are_found(spark, data, slice_, monkeypatch):
+    monkeypatch.setattr(decontaminate, "SLICE", slice_)
+    item = max((r[0] for r in spark.read.parquet(f"{data}/benchmark.parquet").select("text").collect()), key=len).strip()
+    p = decontaminate.Patterns.of([item, "Pi is 3.14", "cat", "...", "Paris", "the capital of Peru"])
+    texts = [f"{'zq ' * k}{item[k : k + 60]} zq zq" for k in range(len(item) - 60)]
+    assert len(texts) > 50 and all({f[0] for f in found} == {0} for found in decontaminate.batch_leaks(texts, p))
+    rnd = random.Random(5)
+    words = ["pi is 3.14", "Cat", "concat", "cats", "paris", "x", "the capital\nof peru", "..."]
+    texts = [" ".join(rnd.choice(words) for _ in range(rnd.randint(0, 200))) for _ in range(60)] + ["cat", "", "x" * 498 + " cat", "x" * 500 + "cat" + " y" * 400, "concat" * 300]
+    items = {1: "pi is 3.14", 2: "cat", 4: "paris", 5: "the capital of peru"}
+    for text, found in zip(texts, decontaminate.batch_leaks(texts, p), strict=True):
+        expected = []
+        for k, t in items.items():
+            at = [m.start() for m in re.finditer(rf"(?<![^\W_]){re.escape(t)}(?![^\W_])", text.lower().replace("\n", " "))]
+            expected += [(k, at[0], at[-1] + len(t), 0, 1)] if at else []
+        assert found == expected
+
+
 def test_leak_queries(spark, data):
     benchmark = spark.read.parquet(f"{data}/benchmark.parquet").select("item_id", "text")
     item = benchmark.first()
