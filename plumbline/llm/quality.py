@@ -3,7 +3,8 @@
 A document's character classes and common words are compared with those of
 each language by the Jensen-Shannon distance (square root of the base-2
 divergence, 0 to 1). The references are sums over all documents of a language,
-so they need one aggregation with a row per language. Everything is a chain of
+so they need one aggregation with a row per language, and go to the documents
+as one broadcast row. Everything is a chain of
 built-in functions within a row: no document row is ever shuffled.
 """
 
@@ -137,27 +138,24 @@ def all_common() -> list[str]:
     return list(dict.fromkeys(w for ws in COMMON_WORDS.values() for w in ws))
 
 
-def language_references(features: DataFrame, lang: str = "lang", min_docs: int = 20) -> dict[str, tuple[list[float], list[float]]]:
-    """Shares of character classes and common words of each language, over all labelled documents.
+def language_references(features: DataFrame, lang: str = "lang", min_docs: int = 20) -> DataFrame:
+    """lang, c and w: shares of character classes and common words of each language, over all labelled documents.
 
-    Languages below ``min_docs`` or one part in five hundred of the documents
-    give no reference, so at most 500 rows reach the driver.
+    Languages below ``min_docs`` documents give no reference, whatever their share.
     """
     n_char, n_word = len(CHARACTER_CLASSES) + 1, len(all_common()) + 1
     sums = features.groupBy(F.col(lang).alias("lang")).agg(
         F.count(F.lit(1)).alias("n"),
         F.array(*[F.sum(F.get("char_hist", F.lit(k))) for k in range(n_char)]).alias("c"),
         F.array(*[F.sum(F.get("word_hist", F.lit(k))) for k in range(n_word)]).alias("w"),
-    )
-    total = sums.agg(F.sum("n")).alias("t")
-    sums = sums.join(F.broadcast(total.toDF("total")), F.col("n") * 500 >= F.col("total")).where(F.col("lang").isNotNull() & (F.col("n") >= min_docs))
-    share = lambda x: [v / max(1, sum(x)) for v in x]
-    return {r["lang"]: (share(r["c"]), share(r["w"])) for r in sums.collect()}
+    ).where(F.col("lang").isNotNull() & (F.col("n") >= min_docs))
+    share = lambda x: let(F.aggregate(x, F.lit(0).cast("long"), lambda a, v: a + v), lambda n: F.transform(x, lambda v: v / F.greatest(F.lit(1), n)))
+    return sums.select("lang", share(F.col("c")).alias("c"), share(F.col("w")).alias("w"))
 
 
-def js_distance(counts: Column, reference: list[float]) -> Column:
-    """Jensen-Shannon distance of a count array from fixed shares; 1 if there is nothing to compare."""
-    ref = F.array(*[F.lit(float(x)) for x in reference])
+def js_distance(counts: Column, reference: list[float] | Column) -> Column:
+    """Jensen-Shannon distance of a count array from fixed shares or an array of them; 1 if there is nothing to compare."""
+    ref = reference if isinstance(reference, Column) else F.array(*[F.lit(float(x)) for x in reference])
     total = F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x)
     part = lambda a, m: F.when(a > 0, a * F.log2(a / m)).otherwise(0.0)
     return let(total, lambda n: F.when(n > 0, F.sqrt(F.greatest(F.lit(0.0), F.aggregate(
@@ -181,13 +179,18 @@ def judge_quality(docs: DataFrame, rules: QualityRules = QualityRules(), text: s
     """
     features = quality_features(docs, text)
     features = features if keep_text else materialize(features.drop(text))
-    refs = references if references is not None else language_references(features, lang, rules.min_reference_docs)
-    def nearest(hist: str, k: int) -> Column:
-        ds = [js_distance(F.col(hist), refs[x][k]) for x in sorted(refs)]
-        return F.least(*ds) if len(ds) > 1 else ds[0] if ds else F.lit(0.0)
+    if references is not None:
+        refs = docs.sparkSession.createDataFrame([(k, *map(list, references[k])) for k in sorted(references)], "lang string, c array<double>, w array<double>")
+    else:
+        refs = language_references(features, lang, rules.min_reference_docs)
+    # An aggregation without keys: one row, also of no languages.
+    features = features.crossJoin(F.broadcast(refs.agg(F.collect_list("c").alias("__c"), F.collect_list("w").alias("__w"))))
+
+    def nearest(hist: str, refs: str) -> Column:
+        return F.coalesce(F.array_min(F.transform(refs, lambda r: js_distance(F.col(hist), r))), F.lit(0.0))
 
     failed = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))
-    out = features.withColumns({"base_failed": failed, "char_distance": nearest("char_hist", 0), "word_distance": nearest("word_hist", 1)})
+    out = features.withColumns({"base_failed": failed, "char_distance": nearest("char_hist", "__c"), "word_distance": nearest("word_hist", "__w")}).drop("__c", "__w")
     far = ((F.col("word_chars") >= rules.char_guard) & (F.col("char_distance") > rules.max_char_distance)) | (
         (F.col("n_words") >= rules.word_guard) & (F.col("word_distance") > rules.max_word_distance)
     )

@@ -99,6 +99,17 @@ def test_quality_empty(spark):
     assert quality.judge_quality(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_rare_languages_give_references(spark):
+    # 20 of 12,020 documents: below one part in 500.
+    rare = "ett två tre fyra fem sex sju åtta nio tio elva tolv " + " ".join(f"ord{i}" for i in range(110))
+    plain = "the of and to in a is that for on with as was by this be are or it an at from not he " * 4
+    docs = spark.range(12_020).selectExpr("id AS doc_id", f"CASE WHEN id < 20 THEN '{rare}' ELSE '{plain}' END AS text", "CASE WHEN id < 20 THEN 'sv' ELSE 'en' END AS lang")
+    got = quality.judge_quality(docs).where("lang = 'sv'").select("kept", "char_distance", "word_distance").collect()
+    assert len(got) == 20 and all(r[0] and r[1] < 1e-6 and r[2] < 1e-6 for r in got)
+    few = quality.judge_quality(docs.where("doc_id > 0")).where("lang = 'sv'").select("kept").collect()
+    assert len(few) == 19 and not any(r[0] for r in few)
+
+
 def test_js_distance(spark):
     df = spark.createDataFrame([([1, 0],), ([0, 3],), ([1, 1],), ([0, 0],)], "h array<long>")
     got = [r[0] for r in df.select(quality.js_distance(F.col("h"), [1.0, 0.0])).collect()]
