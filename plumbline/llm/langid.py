@@ -7,8 +7,9 @@ symbols over counts plus distinct symbols), and below order 0 all 256 bytes
 are equal. The language with the shortest code for the whole text wins.
 
 The trees are trained on a bounded sample of labelled documents
-(``SAMPLE_DOCS`` a language on average, none above ``SAMPLE_BYTES``), drawn by
-a hash of the key; every document is scored over its whole text.
+(``SAMPLE_DOCS`` a language on average, fewer where there are over 1000
+languages; of documents no longer than ``SAMPLE_BYTES``, or the first bytes of
+longer ones where a language has no others), drawn by a hash of the key; every document is scored over its whole text.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ ORDER = 3
 SAMPLE_DOCS = 400
 SAMPLE_BYTES = 64_000
 MIN_DOCS = 5
+#: Documents in the whole sample, in expectation, as long as that leaves MIN_DOCS a language.
+ALL_SAMPLE_DOCS = 1000 * SAMPLE_DOCS
 #: Bytes that count for the score; a longer text is no surer.
 SCORE_BYTES = 64
 #: Bytes scored at a time; slots of the table of known grams.
@@ -163,20 +166,21 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> ContextTrees:
     """Context trees of the languages with at least MIN_DOCS labelled documents outside the held-out fold.
 
-    Languages with less than one part in a thousand of them are left out, so
-    the sample has at most 1000 times SAMPLE_DOCS documents in expectation.
+    The share of a language doesn't matter. A language with MIN_DOCS documents
+    up to SAMPLE_BYTES is learned from these, another from the first
+    SAMPLE_BYTES bytes of all of its documents.
     """
-    labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(doc_id)).where(F.octet_length(text) <= SAMPLE_BYTES)
-    sizes = dict(labelled.groupBy(lang).count().where(F.col("count") >= MIN_DOCS).orderBy(F.desc("count"), lang).limit(1000).collect())
-    least = sum(sizes.values()) / 1000
-    sizes = {k: n for k, n in sizes.items() if n >= least}
-    texts: dict[str, list[bytes]] = {k: [] for k in sizes}
-    draw = F.pmod(F.xxhash64(F.col(doc_id).cast("string"), F.lit("sample")), F.lit(1_000_000))
-    wanted = F.lit(False)
-    for k, n in sizes.items():
-        wanted = wanted | ((F.col(lang) == k) & (draw < min(1.0, SAMPLE_DOCS / n) * 1_000_000))
-    for r in labelled.where(wanted).select(lang, text).toLocalIterator():
-        texts[r[0]].append(r[1].encode())
+    labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(doc_id))
+    labelled = labelled.select(F.col(lang).alias("lang"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), (F.octet_length(text) <= SAMPLE_BYTES).alias("fits"))
+    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if("fits").alias("n_fit")).where(F.col("n") >= MIN_DOCS).orderBy("lang").collect()
+    each = max(MIN_DOCS, min(SAMPLE_DOCS, ALL_SAMPLE_DOCS // max(1, len(sizes))))
+    rates = [(r["lang"], r["n_fit"] < MIN_DOCS, min(1.0, each / (r["n"] if r["n_fit"] < MIN_DOCS else r["n_fit"])) * 1_000_000) for r in sizes]
+    limits = docs.sparkSession.createDataFrame(rates, "_lang string, cut boolean, rate double")
+    draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")), F.lit(1_000_000))
+    drawn = labelled.join(F.broadcast(limits) if len(rates) <= 100_000 else limits, F.col("lang") == F.col("_lang")).where((F.col("fits") | F.col("cut")) & (draw < F.col("rate")))
+    texts: dict[str, list[bytes]] = {r["lang"]: [] for r in sizes}
+    for r in drawn.select("lang", F.substring("text", 1, SAMPLE_BYTES)).toLocalIterator():
+        texts[r[0]].append(r[1].encode()[:SAMPLE_BYTES])
     return ContextTrees({k: v for k, v in texts.items() if v})
 
 

@@ -224,6 +224,15 @@ def test_language_held_out_accuracy(spark):
     assert all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_rare_and_long_languages_are_learned(spark):
+    # 12 of 20,000 documents, and ten documents above SAMPLE_BYTES.
+    rare, long_ = "och det att inte jag på är för ", "nie jest się że do na to w "
+    docs = spark.range(20_000).selectExpr("id AS doc_id", f"CASE WHEN id < 12 THEN '{rare}' WHEN id < 22 THEN repeat('{long_}', 3000) ELSE 'the cat and the dog of the house' END AS text", "CASE WHEN id < 12 THEN 'sv' WHEN id < 22 THEN 'pl' ELSE 'en' END AS lang")
+    trees = langid.train(docs)
+    assert trees.langs == ["en", "pl", "sv"]
+    assert langid.predict([rare, long_, "the house of the dog"], trees)[0] == ["sv", "pl", "en"]
+
+
 def test_language_edge_cases(spark, docs):
     more = docs.union(spark.createDataFrame([(20 + i, "the cat and the dog of the house " * 3, "en") for i in range(30)] + [(60 + i, "le chat et la maison de la rue " * 3, "fr") for i in range(30)] + [(99, "12 34 !?", "en")], SCHEMA)).withColumn("score", F.lit(2))
     got = {r[0]: r[1:] for r in map(tuple, langid.identify(more, langid.train(more)).collect())}
