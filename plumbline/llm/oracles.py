@@ -98,14 +98,15 @@ def repeats_sql() -> str:
     return f"""
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
 w AS (SELECT doc_id, p, md5(substr(h, 2*p+1, {2 * n})) AS k FROM (SELECT doc_id, h, unnest(range(0, length(h)//2 - {n - 1})) AS p FROM d WHERE length(h) >= {2 * n})),
-r AS (SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY k) AS n FROM w) WHERE n > 1),
+r AS (SELECT doc_id, p, shared FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY k) AS n, min(doc_id) OVER (PARTITION BY k) < max(doc_id) OVER (PARTITION BY k) AS shared FROM w) WHERE n > 1),
+o AS (SELECT doc_id, sum(least({n}, coalesce(next - p, {n}))) AS n_shared FROM (SELECT doc_id, p, lead(p) OVER (PARTITION BY doc_id ORDER BY p) AS next FROM r WHERE shared) GROUP BY doc_id),
 g AS (SELECT doc_id, p, sum(CASE WHEN p > before + {n} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS island FROM (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM r)),
 s AS (SELECT doc_id, min(p) AS a, max(p) + {n} AS b FROM g GROUP BY doc_id, island),
 x AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS y, a AS z FROM s UNION ALL SELECT doc_id, max(b), NULL FROM s GROUP BY doc_id),
 k AS (SELECT doc_id, string_agg(substr(h, 2*y+1, CASE WHEN z IS NULL THEN length(h) ELSE 2*(z-y) END), '' ORDER BY y) AS kept FROM x JOIN d USING (doc_id) GROUP BY doc_id),
 c AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id)
-SELECT doc_id, length(h)//2 AS n_bytes, (length(h) - length(coalesce(kept, h)))//2 AS n_removed, coalesce(n, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
-FROM d LEFT JOIN k USING (doc_id) LEFT JOIN c USING (doc_id)"""
+SELECT doc_id, length(h)//2 AS n_bytes, (length(h) - length(coalesce(kept, h)))//2 AS n_removed, coalesce(n, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256, CAST(coalesce(n_shared, 0) AS BIGINT) AS n_shared
+FROM d LEFT JOIN k USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN o USING (doc_id)"""
 
 
 ORACLES = {

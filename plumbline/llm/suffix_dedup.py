@@ -16,6 +16,10 @@
    one, by a 128-bit digest, with partial sums before the shuffle.
 4. The intervals found go back to the contexts' texts, and texts lose them.
 
+Contexts carry the first and last row that have them, so each repeated window
+is known to be in one row only or in several, which tells passages that rows
+share from lines that one text repeats.
+
 Texts are known by a 128-bit digest; equal texts are treated once and each of
 their rows counts as a place. Texts cross the network twice, compressed, for
 steps 2 and 4.
@@ -171,7 +175,7 @@ def distinct_texts(docs: DataFrame, text: str) -> DataFrame:
 
 
 def context_texts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Text of the wanted contexts: key, context, n, before (anchor less start), last, body."""
+    """Text of the wanted contexts: key, context, n, low and high (rows), before (anchor less start), last, body."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
@@ -180,15 +184,23 @@ def context_texts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
                 data = unpack.decompress(packed.as_py())
                 for w in want.as_py():
                     a, m, z = w["at"] >> 16, (w["at"] >> 8) & 255, w["at"] & 255
-                    rows.append((w["key"], w["context"], w["n"], m, z, data[a : a + z + LENGTH]))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in range(6)], names=["key", "context", "n", "before", "last", "body"])
+                    rows.append((w["key"], w["context"], w["n"], w["low"], w["high"], m, z, data[a : a + z + LENGTH]))
+            kinds = (*[pa.int64()] * 5, pa.int32(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in range(8)], names=["key", "context", "n", "low", "high", "before", "last", "body"])
+
+    return texts.join(wanted, "rid").select("packed", "want").mapInArrow(cut, "key long, context long, n long, low long, high long, before int, last int, body binary")
+
 
-    return texts.join(wanted, "rid").select("packed", "want").mapInArrow(cut, "key long, context long, n long, before int, last int, body binary")
+def _runs(flags: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context number, start, end) under the runs of flagged windows; flags by distance of window and anchor."""
+    edge = np.diff(np.vstack([np.zeros((1, flags.shape[1]), np.int8), flags.astype(np.int8)]), axis=0).T
+    c, near = np.nonzero(edge == 1)
+    _, far = np.nonzero(edge == -1)
+    return c, before[c] - (far - 1), before[c] - near + LENGTH
 
 
-def repeated_windows(key: np.ndarray, n: np.ndarray, before: np.ndarray, last: np.ndarray, bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(context number, start, end) of the parts of contexts under windows that occur twice or more among their anchor's."""
+def repeated_windows(key: np.ndarray, n: np.ndarray, low: np.ndarray, high: np.ndarray, before: np.ndarray, last: np.ndarray, bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(context number, start, end, shared) of the parts of contexts under windows that occur twice or more among their anchor's; those in several rows once more, as shared."""
     size = len(bodies)
     length = np.array([len(b) for b in bodies], np.int64)
     flat = np.frombuffer(b"".join(bodies), np.uint8)
@@ -204,7 +216,7 @@ def repeated_windows(key: np.ndarray, n: np.ndarray, before: np.ndarray, last: n
     for side in (right, left):
         order, common = sort_groups(side, group)
         places.append((order, common))
-    repeated = np.zeros((SPAN + 2, size), bool)
+    repeated, shared = np.zeros((SPAN + 2, size), bool), np.zeros((SPAN + 2, size), bool)
     tie_right, tie_left = np.zeros(size, np.int64), np.zeros(size, np.int64)
     for d in range(int(before.max(initial=-1)) + 1):
         # Windows that start d before the anchor: d bytes on the left and the rest on the right must tie.
@@ -215,14 +227,17 @@ def repeated_windows(key: np.ndarray, n: np.ndarray, before: np.ndarray, last: n
         tie_left[places[1][0]] = np.cumsum(places[1][1] < d)
         _, which = np.unique(tie_right[here] * (size + 1) + tie_left[here], return_inverse=True)
         repeated[d, here] = np.bincount(which, n[here])[which] >= 2
-    edge = np.diff(np.vstack([np.zeros((1, size), np.int8), repeated.astype(np.int8)]), axis=0).T
-    c1, near = np.nonzero(edge == 1)
-    c2, far = np.nonzero(edge == -1)
-    return c1, before[c1] - (far - 1), before[c1] - near + LENGTH
+        first, final = np.full(len(here), np.iinfo(np.int64).max), np.full(len(here), -1, np.int64)
+        np.minimum.at(first, which, low[here])
+        np.maximum.at(final, which, high[here])
+        shared[d, here] = (first < final)[which]
+    parts = [_runs(flags, before) for flags in (repeated, shared)]
+    kind = np.repeat([False, True], [len(p[0]) for p in parts])
+    return *(np.concatenate([p[k] for p in parts]) for k in range(3)), kind
 
 
 def sort_contexts(bodies: DataFrame) -> DataFrame:
-    """key, context, start, end of the repeated parts; each anchor's contexts are in one partition."""
+    """key, context, start, end, shared of the repeated parts; each anchor's contexts are in one partition."""
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[pa.Table] = []
         rows = 0
@@ -232,8 +247,8 @@ def sort_contexts(bodies: DataFrame) -> DataFrame:
             one = np.unique(np.stack([key, context]), axis=1, return_index=True)[1]  # copies of a text send its contexts again
             t = t.take(pa.array(one))
             key, context = key[one], context[one]
-            c, start, end = repeated_windows(key, t["n"].to_numpy(), t["before"].to_numpy().astype(np.int64), t["last"].to_numpy().astype(np.int64), t["body"].to_pylist())
-            return pa.RecordBatch.from_arrays([pa.array(key[c]), pa.array(context[c]), pa.array(start, pa.int64()), pa.array(end, pa.int64())], names=["key", "context", "start", "end"])
+            c, start, end, shared = repeated_windows(key, t["n"].to_numpy(), t["low"].to_numpy(), t["high"].to_numpy(), t["before"].to_numpy().astype(np.int64), t["last"].to_numpy().astype(np.int64), t["body"].to_pylist())
+            return pa.RecordBatch.from_arrays([pa.array(key[c]), pa.array(context[c]), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(shared, pa.bool_())], names=["key", "context", "start", "end", "shared"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -250,7 +265,7 @@ def sort_contexts(bodies: DataFrame) -> DataFrame:
         if rows:
             yield done(pa.concat_tables(waiting))
 
-    return bodies.repartition("key").sortWithinPartitions("key").mapInArrow(sort, "key long, context long, start long, end long")
+    return bodies.repartition("key").sortWithinPartitions("key").mapInArrow(sort, "key long, context long, start long, end long, shared boolean")
 
 
 def count_windows(bodies: DataFrame) -> DataFrame:
@@ -261,36 +276,43 @@ def count_windows(bodies: DataFrame) -> DataFrame:
                 r = batch.slice(one, 1).to_pylist()[0]
                 many = r["last"] + 1
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([r["key"]] * many, pa.int64()), pa.array([r["context"]] * many, pa.int64()), pa.array([r["n"]] * many, pa.int64()), pa.array(range(many), pa.int64()), pa.array([hashlib.blake2b(r["body"][i : i + LENGTH], digest_size=16).digest() for i in range(many)], pa.binary())],
-                    names=["key", "context", "n", "start", "window"],
+                    [*(pa.array([r[k]] * many, pa.int64()) for k in ("key", "context", "n", "low", "high")), pa.array(range(many), pa.int64()), pa.array([hashlib.blake2b(r["body"][i : i + LENGTH], digest_size=16).digest() for i in range(many)], pa.binary())],
+                    names=["key", "context", "n", "low", "high", "start", "window"],
                 )
 
-    windows = materialize(bodies.mapInArrow(explode, "key long, context long, n long, start long, window binary").dropDuplicates(["key", "context", "start"]))
-    often = windows.groupBy("window").agg(F.sum("n").alias("times")).where("times >= 2").select("window")
-    return windows.join(often, "window", "left_semi").select("key", "context", "start", (F.col("start") + LENGTH).alias("end"))
+    windows = materialize(bodies.mapInArrow(explode, "key long, context long, n long, low long, high long, start long, window binary").dropDuplicates(["key", "context", "start"]))
+    often = windows.groupBy("window").agg(F.sum("n").alias("times"), (F.min("low") < F.max("high")).alias("shared")).where("times >= 2").select("window", "shared")
+    found = windows.join(often, "window").select("key", "context", "start", (F.col("start") + LENGTH).alias("end"), "shared")
+    return found.withColumn("shared", F.explode(F.when(F.col("shared"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
 
 
 def cut_texts(texts: DataFrame, marks: DataFrame) -> DataFrame:
-    """rid, kept (the remaining bytes), n_removed and n_spans of the texts that lose something."""
+    """rid, kept (the remaining bytes), n_removed, n_spans and n_shared of the texts that lose something."""
+    def joined(marks: list[tuple[int, int]]) -> list[list[int]]:
+        ends: list[list[int]] = []
+        for m in sorted(marks):
+            if ends and m[0] <= ends[-1][1]:
+                ends[-1][1] = max(ends[-1][1], m[1])
+            else:
+                ends.append(list(m))
+        return ends
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
-            kept, removed, spans = [], [], []
+            kept, removed, spans, shared = [], [], [], []
             for packed, marks_ in zip(batch.column(1), batch.column(2), strict=True):
                 data = unpack.decompress(packed.as_py())
-                ends: list[list[int]] = []
-                for m in sorted((m["start"], m["end"]) for m in marks_.as_py()):
-                    if ends and m[0] <= ends[-1][1]:
-                        ends[-1][1] = max(ends[-1][1], m[1])
-                    else:
-                        ends.append(list(m))
+                found = marks_.as_py()
+                ends = joined([(m["start"], m["end"]) for m in found])
                 stops = [0, *(x for e in ends for x in e), len(data)]
                 kept.append(b"".join(data[stops[i] : stops[i + 1]] for i in range(0, len(stops), 2)))
                 removed.append(len(data) - len(kept[-1]))
                 spans.append(len(ends))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64())], names=["rid", "kept", "n_removed", "n_spans"])
+                shared.append(sum(e[1] - e[0] for e in joined([(m["start"], m["end"]) for m in found if m["shared"]])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary()), *(pa.array(x, pa.int64()) for x in (removed, spans, shared))], names=["rid", "kept", "n_removed", "n_spans", "n_shared"])
 
-    return texts.join(marks, "rid").select("rid", "packed", "marks").mapInArrow(cut, "rid binary, kept binary, n_removed long, n_spans long")
+    return texts.join(marks, "rid").select("rid", "packed", "marks").mapInArrow(cut, "rid binary, kept binary, n_removed long, n_spans long, n_shared long")
 
 
 def _free(spark: SparkSession, *written: DataFrame) -> None:
@@ -301,7 +323,10 @@ def _free(spark: SparkSession, *written: DataFrame) -> None:
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep_bytes: bool = False) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with ``keep_bytes`` kept (binary).
+    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_shared, and with ``keep_bytes`` kept (binary).
+
+    n_shared: those of the removed bytes that are under a string which another
+    row has as well; the others repeat only within their own text.
 
     A null text is empty. Rows with equal texts repeat one another, whatever
     their keys, so such texts of LENGTH bytes or more lose everything. Shorter
@@ -317,14 +342,14 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     _free(spark)
     found = materialize(every.join(twice, "key", "left_semi"))
     _free(spark, scanned, twice)
-    by_context = found.groupBy("key", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "at")).alias("one"))
-    by_context = materialize(by_context.select("key", "context", "n", "one.row", "one.at"))
+    by_context = found.groupBy("key", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "at")).alias("one"), F.max("row").alias("high"))
+    by_context = materialize(by_context.select("key", "context", "n", "one.row", "one.at", F.col("one.row").alias("low"), "high"))
     by_key = materialize(by_context.groupBy("key").agg(F.count(F.lit(1)).alias("n_contexts")))
     sole = by_context.join(by_key.where("n_contexts = 1").select("key"), "key", "left_semi").where("n >= 2")
-    sole = sole.select("key", "context", F.lit(0).cast("long").alias("start"), (F.col("at").bitwiseAND(255) + LENGTH).alias("end"))
+    sole = sole.select("key", "context", F.lit(0).cast("long").alias("start"), (F.col("at").bitwiseAND(255) + LENGTH).alias("end"), F.explode(F.when(F.col("low") < F.col("high"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))).alias("shared"))
 
     several = by_context.join(by_key.where("n_contexts > 1"), "key").join(rows.select("row", "rid"), "row")
-    wanted = several.groupBy("rid").agg(F.collect_list(F.struct("key", "context", "n", "at")).alias("want"))
+    wanted = several.groupBy("rid").agg(F.collect_list(F.struct("key", "context", "n", "low", "high", "at")).alias("want"))
     bodies = materialize(context_texts(distinct_texts(docs, text), wanted))
     _free(spark)
     hot = by_key.where(F.col("n_contexts") > HOT).select("key")
@@ -334,9 +359,9 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     first_rows = rows.groupBy("rid").agg(F.min("row").alias("row"))
     marks = (
         found.join(parts, ["key", "context"])
-        .select("row", (F.shiftright("at", 16) + F.col("start")).alias("start"), (F.shiftright("at", 16) + F.col("end")).alias("end"))
+        .select("row", (F.shiftright("at", 16) + F.col("start")).alias("start"), (F.shiftright("at", 16) + F.col("end")).alias("end"), "shared")
         .join(first_rows, "row")
-        .groupBy("rid").agg(F.collect_list(F.struct("start", "end")).alias("marks"))
+        .groupBy("rid").agg(F.collect_list(F.struct("start", "end", "shared")).alias("marks"))
     )
     marks = materialize(marks)
     _free(spark, found, parts)
@@ -344,7 +369,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     lost = materialize(lost if keep_bytes else lost.drop("kept"))
     out = rows.join(lost, "rid", "left").select(
         "doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"),
-        F.coalesce("kept_sha256", "whole_sha256").alias("kept_sha256"), *(["kept"] if keep_bytes else []),
+        F.coalesce("kept_sha256", "whole_sha256").alias("kept_sha256"), F.coalesce("n_shared", F.lit(0)).cast("long").alias("n_shared"), *(["kept"] if keep_bytes else []),
     )
     return out
 

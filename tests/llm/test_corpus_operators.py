@@ -117,6 +117,7 @@ def test_pack_empty(spark):
 
 def brute_repeats(texts, length):
     count = collections.Counter(t[p : p + length] for t in texts for p in range(len(t) - length + 1))
+    rows = collections.Counter(w for t in texts for w in {t[p : p + length] for p in range(len(t) - length + 1)})
     out = []
     for t in texts:
         spans = []
@@ -128,7 +129,8 @@ def brute_repeats(texts, length):
                     spans.append([p, p + length])
         stops = [0, *(x for s in spans for x in s), len(t)]
         kept = b"".join(t[stops[i] : stops[i + 1]] for i in range(0, len(stops), 2))
-        out.append((len(t), len(t) - len(kept), len(spans), hashlib.sha256(kept).hexdigest()))
+        shared = {p + i for p in range(len(t) - length + 1) if rows[t[p : p + length]] > 1 for i in range(length)}
+        out.append((len(t), len(t) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), len(shared)))
     return out
 
 
@@ -158,7 +160,7 @@ def test_repeats_equal_brute_force(spark, data, hot, monkeypatch):
         docs = docs.select("doc_id", "text", "n_removed").union(spark.read.parquet(f"{data}/documents.parquet").selectExpr("doc_id + 1000", "text", "'x'"))
     rows = docs.select("doc_id", "text").collect()
     expected = [(r[0], *x) for r, x in zip(rows, brute_repeats([(r[1] or "").encode() for r in rows], 200), strict=True)]
-    got = [tuple(r) for r in suffix_dedup.remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()]
+    got = [tuple(r) for r in suffix_dedup.remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared").collect()]
     assert sorted(got, key=repr) == sorted(expected, key=repr)
 
 
