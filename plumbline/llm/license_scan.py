@@ -1,15 +1,18 @@
 """License scans: phrases in place, and an exact containment join of text blocks with license templates.
 
-Join: the tokens of the templates are ordered by their frequency over all
-blocks, rarest first. A block holds a template at threshold t if it has at
-least ceil(t * size) of its tokens, so it must have one of the template's
-size - ceil(t * size) + 1 rarest: the prefix. Blocks are expanded by prefix
-tokens only and joined by equality; the length filter and the positional
-filter drop pairs that cannot reach the overlap, and the rest is counted.
-Tokens outside the templates cannot count, so blocks are cut to the templates'
-vocabulary first, which loses nothing.
-
-Only built-in functions are used; no text is shuffled.
+Blocks are all runs of as many words as the longest template has, wherever
+lines break. The tokens of the templates are ordered by their frequency over
+all texts, rarest first. A block holds a template at threshold t if it has at
+least ceil(t * size) of its distinct tokens, so it must have one of the
+template's size - ceil(t * size) + 1 rarest: the prefix. Each place of a prefix
+token is joined by equality with the templates that have it there. If it is the
+rarest token that block and template share, the shared ones come from it on in
+that order: the length filter counts these near the place, the positional
+filter only those that one run with the place in it can reach, and what passes
+is counted run by run.
+
+Texts are split into words once; what goes on are the places of the templates'
+words. Only built-in functions are used; no text is shuffled.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import broadcast_if_small, let, table
+from plumbline.llm.common import broadcast_if_small, let, materialize, table
 
 WORD_BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -76,66 +79,71 @@ def _starts(words: Column, joined: Column, phrase: str) -> Column:
     return F.when(joined.contains(f" {' '.join(parts)} "), F.filter(F.sequence(F.lit(0), n), here)).otherwise(F.array().cast("array<int>"))
 
 
-def phrase_places(text: Column, phrases: Sequence[tuple[str, str]]) -> Column:
-    """Struct of n_words, n_base, first_word, last_word and base_list for one text."""
-    def of(w: Column) -> Column:
-        return let(F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" ")), lambda j: let(
-            F.array(*[_starts(w, j, p) for _, p in phrases]),
-            lambda found: F.struct(
-                F.size(w).cast("long").alias("n_words"),
-                F.aggregate(found, F.lit(0).cast("long"), lambda a, x: a + F.size(x)).alias("n_base"),
-                F.array_min(F.flatten(found)).cast("long").alias("first_word"),
-                F.array_max(F.flatten(found)).cast("long").alias("last_word"),
-                F.array_sort(F.array_distinct(F.filter(F.array(*[F.when(F.size(F.get(found, F.lit(k))) > 0, F.lit(label)) for k, (label, _) in enumerate(phrases)]), lambda x: x.isNotNull()))).alias("base_list"),
-            ),
-        ))
+def _phrase_places(w: Column, phrases: Sequence[tuple[str, str]]) -> Column:
+    """Struct of n_words, n_base, first_word, last_word and base_list for the words of one text."""
+    return let(F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" ")), lambda j: let(
+        F.array(*[_starts(w, j, p) for _, p in phrases]),
+        lambda found: F.struct(
+            F.size(w).cast("long").alias("n_words"),
+            F.aggregate(found, F.lit(0).cast("long"), lambda a, x: a + F.size(x)).alias("n_base"),
+            F.array_min(F.flatten(found)).cast("long").alias("first_word"),
+            F.array_max(F.flatten(found)).cast("long").alias("last_word"),
+            F.array_sort(F.array_distinct(F.filter(F.array(*[F.when(F.size(F.get(found, F.lit(k))) > 0, F.lit(label)) for k, (label, _) in enumerate(phrases)]), lambda x: x.isNotNull()))).alias("base_list"),
+        ),
+    ))
 
-    return let(words_of(lower_ascii(text)), of)
 
+def read_words(docs: DataFrame, key: str, text: str, phrases: Sequence[tuple[str, str]], vocabulary: Sequence[str]) -> DataFrame:
+    """key, p (struct of the phrases' places) and hits: places and words of the text that are in the vocabulary, in order."""
+    def of(w: Column) -> Column:
+        at = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.get(w, i).isin(*vocabulary))
+        hits = F.when(F.size(w) > 0, F.transform(at, lambda i: F.struct(i.alias("i"), F.get(w, i).alias("w"))))
+        return F.struct(_phrase_places(w, phrases).alias("p"), F.coalesce(hits, F.array().cast("array<struct<i:int,w:string>>")).alias("hits"))
 
-def _blocks(docs: DataFrame, key: str, text: str, vocabulary: list[str]) -> DataFrame:
-    """One row per line that has a token of the templates: key, block, tokens (distinct, of the templates)."""
-    lines = F.split(lower_ascii(F.coalesce(F.col(text), F.lit(""))), "\n", -1)
-    return docs.select(F.col(key), F.posexplode(lines).alias("block", "line")).select(
-        key, "block", F.array_distinct(F.filter(F.split("line", WORD_BREAK, -1), lambda w: w.isin(*vocabulary))).alias("tokens")
-    ).where(F.size("tokens") > 0)
+    read = let(words_of(lower_ascii(F.coalesce(F.col(text), F.lit("")))), of)
+    return docs.select(F.col(key), read.alias("r")).select(key, "r.p", "r.hits")
 
 
-def containment_join(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """All (key, block, template, label, containment) with containment of the template in the line at least ``threshold``.
+def containment_join(words: DataFrame, key: str, templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """(key, template, label, first_word, containment) of the templates that some block of a text holds to ``threshold``, with the best block and its first shared word.
 
-    ``block`` is the number of the line, ``template`` that of the template.
-    Null and empty texts have no blocks. Repeated keys give repeated pairs.
+    ``words`` come from ``read_words`` with the templates' vocabulary;
+    ``template`` is its number. Texts without words have no blocks. Rows that
+    share a key count as one.
     """
-    spark = docs.sparkSession
+    spark = words.sparkSession
     sets = [(k, label, sorted(set(_tokens(body)))) for k, (label, body) in enumerate(templates)]
+    run = max((len(_tokens(body)) for _, body in templates), default=0)
     vocabulary = sorted({w for _, _, s in sets for w in s})
-    blocks = _blocks(docs, key, text, vocabulary)
     # One row per token of the templates: bounded by their vocabulary.
-    frequency = dict(blocks.select(F.explode("tokens").alias("t")).groupBy("t").count().collect())
-    order = sorted(vocabulary, key=lambda w: (frequency.get(w, 0), w))
-    rank = {w: i for i, w in enumerate(order)}
+    frequency = dict(words.select(F.explode("hits.w").alias("t")).groupBy("t").count().collect())
+    order = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (frequency.get(w, 0), w)))}
     rows = []
     for k, label, s in sets:
-        ranks = sorted(rank[w] for w in s)
+        ranked = sorted(s, key=order.get)
         need = -(-round(threshold * len(s) * 1_000_000) // 1_000_000)
-        rows += [(k, label, ranks, need, i, ranks[i]) for i in range(len(s) - need + 1)]
-    index = spark.createDataFrame(rows, "template int, label string, t_ranks array<int>, need int, t_at int, token int")
-    prefix = sorted({order[r[5]] for r in rows})
-    ranked = F.sort_array(F.transform("tokens", lambda w: (F.array_position(F.array(*[F.lit(w) for w in order]), w) - 1).cast("int")))
-    candidates = blocks.where(F.exists("tokens", lambda w: w.isin(*prefix))).select(key, "block", ranked.alias("ranks"))
-    pairs = (
-        candidates.select("*", F.explode(F.filter("ranks", lambda r: r.isin(*[rank[w] for w in prefix]))).alias("token"))
-        .join(broadcast_if_small(index), "token")
-        .where(F.size("ranks") >= F.col("need"))
-        # At the first shared token nothing is matched yet: what is left of both must reach the overlap. Later tokens of a pair don't count.
-        .where(F.least(F.size("t_ranks") - F.col("t_at"), F.size("ranks") - F.array_position("ranks", F.col("token")) + 1) >= F.col("need"))
-        .withColumn("overlap", F.size(F.array_intersect("ranks", "t_ranks")))
-        .where("overlap >= need")
-        # A pair meets at each shared prefix token; it counts at the first.
-        .where(F.col("token") == F.get(F.array_intersect("t_ranks", "ranks"), F.lit(0)))
+        rows += [(k, label, ranked[i:], need, len(s), ranked[i]) for i in range(len(s) - need + 1)]
+    index = spark.createDataFrame(rows, "template int, label string, rest array<string>, need int, size int, token string")
+    prefix = sorted({r[-1] for r in rows})
+    # Each hit is a word of its own, so a block's hits are at most ``run`` hits away.
+    place = F.filter(F.sequence(F.lit(0), F.size("hits") - 1), lambda j: F.get("hits", j)["w"].isin(*prefix))
+    anchors = words.where(F.exists("hits", lambda h: h["w"].isin(*prefix))).select(key, "hits", F.explode(place).alias("j")).select(
+        key, F.get("hits", F.col("j"))["w"].alias("token"), F.get("hits", F.col("j"))["i"].alias("at"), F.slice("hits", F.greatest(F.lit(1), F.col("j") + 2 - run), F.lit(2 * run - 1)).alias("near")
+    )
+    near = F.filter("near", lambda h: F.array_contains("rest", h["w"]) & (F.abs(h["i"] - F.col("at")) < run))
+    blocks = (
+        anchors.join(broadcast_if_small(index), "token")
+        .where(F.size("near") >= F.col("need"))
+        .select(key, "template", "label", "need", "size", "at", near.alias("near"))
+        .where(F.size(F.array_distinct("near.w")) >= F.col("need"))
+    )
+    # A run may begin at a shared word: the first at or before the place.
+    starts = F.filter("near", lambda h: h["i"] <= F.col("at"))
+    shared = F.transform(starts, lambda s: F.struct(F.size(F.array_distinct(F.transform(F.filter("near", lambda h: (h["i"] >= s["i"]) & (h["i"] < s["i"] + run)), lambda h: h["w"]))).alias("n"), (-s["i"]).alias("start")))
+    best = blocks.select(key, "template", "label", "need", "size", F.array_max(shared).alias("best")).where(F.col("best.n") >= F.col("need"))
+    return best.groupBy(key, "template", "label", "size").agg(F.max("best").alias("best")).select(
+        key, "template", "label", (-F.col("best.start")).cast("long").alias("first_word"), (F.col("best.n") / F.col("size")).alias("containment")
     )
-    return pairs.select(key, "block", "template", "label", (F.col("overlap") / F.size("t_ranks")).alias("containment"))
 
 
 def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", phrases: Sequence[tuple[str, str]] = PHRASES, templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -146,11 +154,12 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", phra
     rows give equal rows; rows that share a key share the template labels of
     all of them. Extra columns are left out.
     """
-    base = docs.select(F.col(key), phrase_places(F.coalesce(F.col(text), F.lit("")), phrases).alias("p"))
-    found = containment_join(docs, key, text, templates, threshold).groupBy(key).agg(F.collect_set("label").alias("more"), F.max("containment").alias("most"))
-    found = found.withColumnRenamed(key, "_key")
-    return base.join(found, F.col(key).eqNullSafe(F.col("_key")), "left").select(
-        key, "p.n_words", "p.n_base", "p.first_word", "p.last_word",
+    vocabulary = sorted({w for _, body in templates for w in _tokens(body)})
+    words = materialize(read_words(docs, key, text, phrases, vocabulary).withColumnRenamed(key, "key"))
+    found = containment_join(words, "key", templates, threshold).groupBy("key").agg(F.collect_set("label").alias("more"), F.max("containment").alias("most"))
+    base, found = words.select("key", "p").alias("b"), found.alias("f")
+    return base.join(found, F.col("b.key").eqNullSafe(F.col("f.key")), "left").select(
+        F.col("b.key").alias(key), "p.n_words", "p.n_base", "p.first_word", "p.last_word",
         F.array_join("p.base_list", ",").alias("base_labels"),
         F.array_join(F.sort_array(F.array_union("p.base_list", F.coalesce("more", F.array().cast("array<string>")))), ",").alias("labels"),
         F.when(F.col("p.n_base") > 0, 1.0).otherwise(F.coalesce("most", F.lit(0.0))).alias("score"),

@@ -24,17 +24,19 @@ def license_sql() -> str:
         found = f"[i for i in range(0, greatest(0, len(w) - {len(p) - 1})) if {here}]"
         places.append(found)
         labels.append(f"CASE WHEN len({found}) > 0 THEN '{label}' END")
-    hits = []
-    for label, body in ls.TEMPLATES:
+    rows = []
+    for k, (label, body) in enumerate(ls.TEMPLATES):
         t = sorted(set(ls._tokens(body)))
-        need = math.ceil(ls.THRESHOLD * len(t) - 1e-9)
-        hits.append(f"SELECT doc_id, '{label}' AS label, len(list_intersect(s, {_quoted(t)})) / {len(t)}.0 AS c FROM lines WHERE len(list_intersect(s, {_quoted(t)})) >= {need}")
+        rows += [f"({k}, '{label}', {len(t)}, {math.ceil(ls.THRESHOLD * len(t) - 1e-9)}, '{w}')" for w in t]
+    run = max(len(ls._tokens(body)) for _, body in ls.TEMPLATES)
     return f"""
 WITH d AS (SELECT doc_id, translate(coalesce(text, ''), '{ls.UPPER}', '{ls.LOWER}') AS t FROM documents),
 x AS (SELECT doc_id, regexp_extract_all(t, '{word}') AS w FROM d),
 p AS (SELECT doc_id, len(w) AS n_words, flatten([{", ".join(places)}]) AS pos, list_filter([{", ".join(labels)}], lambda l: l IS NOT NULL) AS base FROM x),
-lines AS (SELECT doc_id, list_distinct(regexp_extract_all(line, '{word}')) AS s FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d)),
-hits AS ({" UNION ALL ".join(hits)}),
+v AS (SELECT * FROM (VALUES {", ".join(rows)}) AS v(template, label, size, need, word)),
+o AS (SELECT doc_id, unnest(range(len(w))) AS i, unnest(w) AS word FROM x),
+b AS (SELECT doc_id, label, size, need, count(DISTINCT word) OVER (PARTITION BY doc_id, template ORDER BY i RANGE BETWEEN CURRENT ROW AND {run - 1} FOLLOWING) AS n FROM o JOIN v USING (word)),
+hits AS (SELECT doc_id, label, max(n / size) AS c FROM b WHERE n >= need GROUP BY doc_id, label),
 m AS (SELECT doc_id, list(label) AS more, max(c) AS most FROM hits GROUP BY doc_id)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(len(pos) AS BIGINT) AS n_base, CAST(list_min(pos) AS BIGINT) AS first_word, CAST(list_max(pos) AS BIGINT) AS last_word,
   array_to_string(list_sort(list_distinct(base)), ',') AS base_labels, array_to_string(list_sort(list_distinct(list_concat(base, coalesce(more, [])))), ',') AS labels,
@@ -66,7 +68,7 @@ h AS (SELECT doc_id, map(list(i), list(n)) AS m, sum(n) AS s FROM k GROUP BY 1),
 f AS (SELECT w.*, list_append([coalesce(m[i], 0) for i in range(1, {n_word})], len(w) - coalesce(s, 0)) AS v, coalesce(r.n, 0) AS n_repeat FROM w LEFT JOIN h USING (doc_id) LEFT JOIN r USING (doc_id)),
 a AS (SELECT lang, count(*) AS n, {", ".join(f"sum(c[{i}]) AS c{i}" for i in range(1, n_char + 1))}, {", ".join(f"sum(v[{i}]) AS v{i}" for i in range(1, n_word + 1))} FROM f GROUP BY 1),
 refs AS (SELECT [x / list_sum(cs) for x in cs] AS rc, [x / list_sum(vs) for x in vs] AS rv FROM (SELECT [{", ".join(f"c{i}" for i in range(1, n_char + 1))}] AS cs, [{", ".join(f"v{i}" for i in range(1, n_word + 1))}] AS vs FROM a
-  WHERE lang IS NOT NULL AND n >= {rules.min_reference_docs} AND n * 500 >= (SELECT sum(n) FROM a))),
+  WHERE lang IS NOT NULL AND n >= {rules.min_reference_docs})),
 e AS (SELECT doc_id, min({distance.format(h="c", r="rc", n=n_char)}) AS dc, min({distance.format(h="v", r="rv", n=n_word)}) AS dv FROM f, refs GROUP BY doc_id),
 q AS (SELECT f.doc_id, len(w) AS n_words, list_sum(c) - c[1] AS word_chars, c[3] AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines, n_repeat AS n_repeat_words, dc, dv FROM f JOIN e USING (doc_id)),
 b AS (SELECT *, n_words < {rules.min_words} OR 100 * n_repeat_words > {rules.max_repeat_percent} * n_words AS base_failed FROM q)
