@@ -117,6 +117,15 @@ def test_js_distance(spark):
     assert got == pytest.approx([0, 1, m, 1])
 
 
+#: Notices as they stand in files: wrapped at line ends, with marks of comments.
+WRAPPED = (
+    "// Redistribution and use in source and binary forms, with or without\n// modification, are permitted provided that the following conditions\n// are met:",
+    "Permission is hereby granted, free of charge, to any person obtaining\na copy of this software and associated documentation files (the",
+    "under the terms of the GNU General Public\nLicense as published by the Free Software\nFoundation; either version 2",
+    " * Licensed under the Apache License,\n * Version 2.0 (the \"License\"); you may not use this file except in\n * compliance with the License.",
+)
+
+
 def license_of(t):
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     t = (t or "").translate(str.maketrans(license_scan.UPPER, license_scan.LOWER))
@@ -126,10 +135,11 @@ def license_of(t):
         here = [i for i in range(len(w) - len(p) + 1) if w[i : i + len(p)] == p]
         at += here
         base |= {label} if here else set()
-    for line in t.split("\n"):
-        s = set(word.findall(line))
-        for label, body in license_scan.TEMPLATES:
-            x = set(word.findall(body.lower()))
+    notices = [(label, set(word.findall(body.lower()))) for label, body in license_scan.TEMPLATES]
+    run = max(len(word.findall(body)) for _, body in license_scan.TEMPLATES)
+    for i in range(len(w)):
+        s = set(w[i : i + run])
+        for label, x in notices:
             if len(s & x) >= math.ceil(license_scan.THRESHOLD * len(x) - 1e-9):
                 labels.add(label)
                 best = max(best, len(s & x) / len(x))
@@ -138,12 +148,13 @@ def license_of(t):
 
 def test_licenses_equal_brute_force(spark, data):
     more = [(None, None), (1, "Under the MIT license under the mit LICENSE"), (2, "cc by nc by nc cc\nby-nc"), (3, "mıt Kelvin K under the mit license"), (3, ""),
-            (4, "this work is licensed under the GNU general public license version 3 " * 3), (5, "public license version 3 general gnu the under licensed is work"), (6, "x" * 100_000 + " cc by nc")]
+            (4, "this work is licensed under the GNU general public license version 3 " * 3), (5, "public license version 3 general gnu the under licensed is work"), (6, "x" * 100_000 + " cc by nc"), (7, "word " * 3000 + WRAPPED[0] + " word" * 3000 + WRAPPED[1]), *[(10 + k, x) for k, x in enumerate(WRAPPED)]]
     docs = spark.createDataFrame(more, "doc_id long, text string").withColumn("labels", F.lit(1)).union(spark.read.parquet(f"{data}/documents.parquet").selectExpr("doc_id + 100", "text", "1"))
     docs = docs.where("doc_id is null or doc_id <> 3").withColumn("score", F.lit(0))
     expected = [(r[0], *license_of(r[1])) for r in docs.select("doc_id", "text").collect()]
     got = rows(license_scan.scan_licenses(docs), "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
     assert got == sorted(expected, key=repr)
+    assert [license_of(x)[5] for x in WRAPPED] == ["bsd", "mit", "gpl", "apache-2"]
     assert license_scan.scan_licenses(docs.limit(0)).count() == 0
 
 
@@ -298,9 +309,10 @@ def test_wrapper_finds_groups_slots_and_templates():
         page = f"<body><div>All about us</div><article><h1>{i}</h1>{extra}{'<p>x</p>' * (i + 1)}</article></body>"
         new = html_extract.page_wrapper(html_extract.blocks_of(page))
         terms, n = (html_extract.align(terms, n, new, 1), n + 1) if n else (new, 1)
-    assert html_extract.expression(terms) == "(body>div) (body>article>h1 #) (body>article>h2)? (body>article>p #)+"
-    assert html_extract.template(terms, n) == ["body>div\nAll about us"]
-    assert html_extract.template(html_extract.page_wrapper(html_extract.blocks_of(page)), 9) == []
+    assert html_extract.expression(terms) == "(body>div) (body>*article>h1 #) (body>*article>h2)? (body>*article>p #)+"
+    said = html_extract.decide(terms, n)
+    assert said["constant"] == [html_extract.stamp("body>div", "All about us")] and said["regions"][0] == "body>*article"
+    assert html_extract.decide(html_extract.page_wrapper(html_extract.blocks_of(page)), 9)["constant"] == []
 
 
 @pytest.mark.parametrize(
@@ -312,4 +324,75 @@ def test_wrapper_finds_groups_slots_and_templates():
     ],
 )
 def test_main_text(page, text):
-    assert html_extract.main_text(page, frozenset()) == text
+    assert html_extract.main_text(page) == text
+
+
+def prose(rnd, n):
+    return " ".join("".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 9))) for _ in range(n))
+
+
+def meaningless(rnd, k):
+    """A layout whose names say nothing: links, a constant notice, heading, article, and short remarks of readers."""
+    heading, body = prose(rnd, 6), [prose(rnd, rnd.randint(25, 60)) for _ in range(rnd.randint(2, 6))]
+    remarks = "".join(f"<div class=q7><p>{prose(rnd, 4)}</p></div>" for _ in range(rnd.randint(0, 2)))
+    links = "".join(f"<p><a href=/{i}>{prose(rnd, 3)}</a></p>" for i in range(4))
+    page = f"<html><body><div class=q1>{links}</div><div class=q2><p>All rights are with us, read the rules</p></div><div class=q3><h1>{heading}</h1><div class=q4><p>{'</p><p>'.join(body)}</p><div class=q5>Read on at our site</div></div></div><div class=q6>{remarks}</div></body></html>"
+    return page, "\n\n".join([heading, *body])
+
+
+def test_wrappers_decide_where_names_say_nothing(spark):
+    rnd = random.Random(3)
+    cases = [meaningless(rnd, k) for k in range(60)]
+    df = spark.createDataFrame([(k, f"http://plain.example/{k}", page) for k, (page, _) in enumerate(cases)], "page_id long, url string, html string")
+    got = dict(rows(html_extract.extract(df.repartition(7)), "page_id", "text"))
+    assert [got[k] for k in range(60)] == [text for _, text in cases]
+    none = spark.createDataFrame([], "host string, pages long, wrapper string")
+    assert {r[0] for r in rows(html_extract.extract(df, wrappers=none), "text")} == {""}
+
+
+def test_wrapper_overrules_a_word():
+    rnd = random.Random(4)
+    terms, n, pages = [], 0, []
+    for _ in range(12):
+        pages.append((f"<body class=x><div class='has sidebar'><p>{prose(rnd, 30)}</p><p>{prose(rnd, 20)}</p></div><div class=ad>{prose(rnd, 3)}</div></body>"))
+        new = html_extract.page_wrapper(html_extract.blocks_of(pages[-1]))
+        terms, n = (html_extract.align(terms, n, new, 1), n + 1) if n else (new, 1)
+    said = html_extract.decide(terms, n)
+    assert said["cleared"] == ["body.x>!div.has"]
+    assert html_extract.main_text(pages[0], said).count("\n\n") == 1
+
+
+def test_late_terms_are_counted():
+    # A block that stands on all pages but the first 200 is kept, in a wrapper that is full.
+    full = [[f"p{i}", False, True, None, 150, 0, 10, 0] for i in range(html_extract.WRAPPER_TERMS)]
+    terms, n = full, 200
+    for _ in range(1800):
+        terms, n = html_extract.align(terms, n, [["late", False, False, "x", 1, 0, 1, 0]], 1), n + 1
+    late = [t for t in terms if t[0] == "late"]
+    assert sum(t[4] for t in late) == 1800
+
+
+def brute_texts(pages):
+    """Wrappers folded page by page, without Spark."""
+    wrappers = {}
+    for host, page in pages:
+        new = html_extract.page_wrapper(html_extract.blocks_of(page or ""))
+        n, old = wrappers.get(host, (0, []))
+        wrappers[host] = (n + 1, html_extract.align(old, n, new, 1) if n else new)
+    return [html_extract.main_text(page or "", html_extract.decide(*wrappers[host][::-1])) for host, page in pages]
+
+
+def test_pages_equal_brute_force(spark, data):
+    df = spark.read.parquet(f"{data}/pages.parquet").select("page_id", "url", "html")
+    rnd = random.Random(9)
+    more = [(10_000 + k, f"http://plain{k % 2}.example/{k}", meaningless(rnd, k)[0]) for k in range(40)] + [(20_000, "http://long.example/", "<div>" * 500 + "<p>" + prose(rnd, 200_000) + "</p>")]
+    df = df.union(spark.createDataFrame(more, df.schema)).repartition(5)
+    pages = sorted(map(tuple, df.collect()))
+    texts = brute_texts([(re.match(r"[^/?#]*", u.split("://", 1)[1])[0].lower() if u and "://" in u else "", h) for _, u, h in pages])
+    got = rows(html_extract.extract(df), "page_id", "text")
+    assert sorted(got) == sorted((p[0], t) for p, t in zip(pages, texts, strict=True))
+    # The article of every page of the table, by its element alone.
+    for (_, u, h), t in zip(pages, texts, strict=True):
+        if h and "<article>" in h:
+            inner = h[h.index("<article>") : h.index("</article>")]
+            assert t == html_extract.main_text(inner, {"constant": [], "cleared": [], "regions": ["*article"]})
