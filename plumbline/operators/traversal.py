@@ -2,8 +2,8 @@
 
 Graphs whose edges fit a task's memory (``SMALL`` edges, counted first) are
 solved one per group by a linear algorithm; any larger graph goes through
-joins, a round at a time, with the state kept in the shared folder. Both give
-the same rows.
+joins, a round at a time, with the state kept in the shared folder, until
+nothing changes. Both give the same rows.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -21,7 +22,8 @@ from plumbline.operators.graph import Graph
 from plumbline.plans.lineage import materialize, ship_package
 
 SMALL = 500_000
-ROUNDS = 200
+#: Sources whose reach is counted in one pass over a graph, a bit each.
+SOURCES = 2048
 
 
 def split_by_size(edges: DataFrame, small: int = SMALL) -> tuple[DataFrame, DataFrame | None]:
@@ -99,32 +101,32 @@ def cycles(edges: DataFrame, small: int = SMALL) -> DataFrame:
 
 def _trim(edges: DataFrame) -> DataFrame:
     """Drop edges from nodes that nothing reaches and to nodes that reach nothing, until none is left."""
-    for _ in range(ROUNDS):
+    n = edges.count()
+    while True:
         kept = edges.join(edges.select("graph_id", F.col("tgt").alias("src")).distinct(), ["graph_id", "src"], "left_semi")
         kept = materialize(kept.join(edges.select("graph_id", F.col("src").alias("tgt")).distinct(), ["graph_id", "tgt"], "left_semi").select("graph_id", "src", "tgt"))
-        if kept.count() == edges.count():
+        left = kept.count()
+        if left == n:
             return kept
-        edges = kept
-    raise RuntimeError("trimming did not end")
+        edges, n = kept, left
 
 
 def _spread(labels: DataFrame, edges: DataFrame) -> DataFrame:
     """Smallest label that reaches each node along the edges: labels (graph_id, id, label)."""
     state = None
-    for _ in range(ROUNDS):
+    while True:
         moved = edges.join(labels.withColumnRenamed("id", "src"), ["graph_id", "src"]).select("graph_id", F.col("tgt").alias("id"), "label")
         labels = materialize(labels.union(moved).groupBy("graph_id", "id").agg(F.min("label").alias("label")))
         new = labels.agg(F.sum(F.xxhash64("graph_id", "id", "label").cast("decimal(38,0)"))).first()
         if new == state:
             return labels
         state = new
-    raise RuntimeError("labels did not settle")
 
 
 def _cycles_by_joins(edges: DataFrame) -> DataFrame:
     """Each round colours nodes by the smallest node that reaches them; what goes back to a colour's node within the colour is its component."""
     spark, found = edges.sparkSession, []
-    for _ in range(ROUNDS):
+    while True:
         edges = _trim(edges)
         if edges.isEmpty():
             break
@@ -132,13 +134,13 @@ def _cycles_by_joins(edges: DataFrame) -> DataFrame:
         colour = _spread(nodes.withColumn("label", F.col("id")), edges)
         inner = edges.join(colour.toDF("graph_id", "src", "cs"), ["graph_id", "src"]).join(colour.toDF("graph_id", "tgt", "ct"), ["graph_id", "tgt"]).where("cs = ct")
         inner = materialize(inner.select("graph_id", "src", "tgt", F.col("cs").alias("c")))
-        reach = colour.where("id = label")
-        for _ in range(ROUNDS):
-            back = inner.join(reach.select("graph_id", F.col("id").alias("tgt"), F.col("label").alias("c")), ["graph_id", "tgt", "c"]).select("graph_id", F.col("src").alias("id"), F.col("c").alias("label"))
-            wider = materialize(reach.union(back).distinct())
-            if wider.count() == reach.count():
+        front = reach = colour.where("id = label")
+        while True:
+            back = inner.join(front.select("graph_id", F.col("id").alias("tgt"), F.col("label").alias("c")), ["graph_id", "tgt", "c"]).select("graph_id", F.col("src").alias("id"), F.col("c").alias("label"))
+            front = materialize(back.distinct().join(reach, ["graph_id", "id", "label"], "left_anti"))
+            if front.isEmpty():
                 break
-            reach = wider
+            reach = reach.union(front)
         found.append(reach.withColumnRenamed("label", "cycle"))
         done = reach.select("graph_id", "id")
         edges = edges.join(done.withColumnRenamed("id", "src"), ["graph_id", "src"], "left_anti").join(done.withColumnRenamed("id", "tgt"), ["graph_id", "tgt"], "left_anti")
@@ -162,17 +164,23 @@ def reach_counts(edges: DataFrame, sources: DataFrame, small: int = SMALL) -> Da
     few, many = split_by_size(edges, small)
 
     def solve(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        successors = _successors(left)
+        successors, starts = _successors(left), sorted(right["id"])
+        parts = strong_components_of(successors)  # each before those that it reaches
+        place = {x: i for i, part in enumerate(parts) for x in part}
+        onward = [{place[t] for x in part for t in successors.get(x, ())} - {i} for i, part in enumerate(parts)]
         rows = []
-        for start in sorted(right["id"]):
-            seen, stack = {start}, [start]
-            while stack:
-                for t in successors.get(stack.pop(), ()):
-                    if t not in seen:
-                        seen.add(t)
-                        stack.append(t)
-            if len(seen) > 1:
-                rows.append((key[0], start, len(seen) - 1))
+        for at in range(0, len(starts), SOURCES):
+            some = [x for x in starts[at : at + SOURCES] if x in place]
+            reached_by = [0] * len(parts)  # a bit for each source
+            for bit, x in enumerate(some):
+                reached_by[place[x]] |= 1 << bit
+            total = np.zeros(len(some), np.int64)
+            for i, part in enumerate(parts):
+                if bits := reached_by[i]:
+                    for j in onward[i]:
+                        reached_by[j] |= bits
+                    total += len(part) * np.unpackbits(np.frombuffer(bits.to_bytes(-(-len(some) // 8), "little"), np.uint8), bitorder="little")[: len(some)]
+            rows += [(key[0], x, int(n) - 1) for x, n in zip(some, total, strict=True) if n > 1]
         return pd.DataFrame(rows, columns=["graph_id", "id", "reached"])
 
     ship_package(edges.sparkSession)
@@ -183,7 +191,7 @@ def reach_counts(edges: DataFrame, sources: DataFrame, small: int = SMALL) -> Da
         return out
     reached = materialize(many.join(sources.withColumnRenamed("id", "src"), ["graph_id", "src"], "left_semi").where("src <> tgt").select("graph_id", "src", F.col("tgt").alias("id")).distinct())
     front = reached
-    for _ in range(ROUNDS):
+    while True:
         step = front.join(many.select("graph_id", F.col("src").alias("id"), "tgt"), ["graph_id", "id"]).select("graph_id", "src", F.col("tgt").alias("id")).where("src <> id").distinct()
         front = materialize(step.join(reached, ["graph_id", "src", "id"], "left_anti"))
         if front.isEmpty():
