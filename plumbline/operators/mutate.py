@@ -16,8 +16,12 @@ from plumbline.plans.lineage import materialize
 TYPES = ("cycles", "layers", "hubs", "cohesion")
 
 
+def _hash(seed: int, *cols: str) -> Column:
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *cols))
+
+
 def _order(seed: int, *cols: str) -> list[Column]:
-    return [F.xxhash64(F.lit(seed), *cols), *[F.col(c) for c in cols]]
+    return [_hash(seed, *cols), *[F.col(c) for c in cols]]
 
 
 def _take(df: DataFrame, n: Column, seed: int, *cols: str, by: tuple[str, ...] = ("graph_id",)) -> DataFrame:
@@ -42,10 +46,15 @@ def inject_cycles(g: Graph, dose: float, seed: int) -> DataFrame:
 
 
 def inject_layer_violations(g: Graph, dose: float, seed: int, low: float = 0.4, high: float = 0.6) -> DataFrame:
-    """New edges from stable packages (lowest third of instability, below ``low``) to unstable ones (highest third, above ``high``)."""
+    """New edges from stable packages (lowest third of instability, below ``low``) to unstable ones (highest third, above ``high``).
+
+    Graphs with fewer than four nodes in scope or three packages get none.
+    """
     w = Window.partitionBy("graph_id")
     ranked = package_instability(Graph(g.nodes.join(g.scope(), ["graph_id", "id"], "left_semi"), g.inner_edges()))
     ranked = ranked.withColumns({"n": F.count(F.lit(1)).over(w), "k": F.row_number().over(w.orderBy("instability", "package"))})
+    enough = g.scope().groupBy("graph_id").agg(F.count(F.lit(1)).alias("_n")).where("_n >= 4")
+    ranked = ranked.where("n >= 3").join(enough.select("graph_id"), "graph_id", "left_semi")
     third = F.greatest(F.lit(1), F.floor(F.col("n") / 3))
     member = g.scope().groupBy("graph_id", names.package(F.col("id")).alias("package")).agg(F.min("id").alias("id"))
     ranked = ranked.join(member, ["graph_id", "package"])
@@ -56,8 +65,12 @@ def inject_layer_violations(g: Graph, dose: float, seed: int, low: float = 0.4,
 
 
 def create_hubs(g: Graph, dose: float, seed: int) -> DataFrame:
-    """New edges: a few nodes (at least 1, dose times 5 % of them) that import nodes of other packages (3 to dose times 20)."""
-    nodes = g.scope()
+    """New edges: a few nodes (at least 1, dose times 5 % of them) that import nodes of other packages (3 to dose times 20).
+
+    Graphs with fewer than ten nodes in scope get none.
+    """
+    enough = g.scope().groupBy("graph_id").agg(F.count(F.lit(1)).alias("_n")).where("_n >= 10")
+    nodes = g.scope().join(enough.select("graph_id"), "graph_id", "left_semi")
     hubs = _take(nodes, F.greatest(F.lit(1), F.floor(F.col("total") * dose * 0.05)), seed, "id").select("graph_id", F.col("id").alias("src"))
     targets = _take(nodes, F.lit(40), seed + 1, "id").select("graph_id", F.col("id").alias("tgt"))
     foreign = hubs.join(targets, "graph_id").where(names.package(F.col("src")) != names.package(F.col("tgt")))
@@ -72,7 +85,7 @@ def move_modules(g: Graph, dose: float, seed: int) -> DataFrame:
     w = Window.partitionBy("graph_id")
     hosts = hosts.withColumns({"slot": F.row_number().over(w.orderBy("host")) - 1, "n": F.count(F.lit(1)).over(w)})
     sizes = hosts.select("graph_id", "n").distinct()
-    slot = F.pmod(F.xxhash64(F.lit(seed), "id"), F.col("n")).cast("int")
+    slot = (F.conv(F.substring(_hash(seed, "id"), 1, 8), 16, 10).cast("long") % F.col("n")).cast("int")
     leaf = F.element_at(F.split("id", r"\."), -1)
     return taken.join(sizes, "graph_id").withColumn("slot", slot).drop("n").join(hosts.drop("n"), ["graph_id", "slot"]).where(names.package(F.col("id")) != F.col("host")).select("graph_id", "id", F.concat_ws(".", "host", leaf).alias("moved"))
 

@@ -69,7 +69,7 @@ def read_issues(spark: SparkSession, path: str) -> DataFrame:
 def synthetic_graph(spark: SparkSession, n_nodes: int, n_edges: int, seed: int = 42, packages: tuple[str, ...] = ("api", "core", "db", "ui", "auth", "jobs", "util", "web")) -> DataFrame:
     """Distinct edges without loops between modules ``package.m<i>``, from hashes of the row number."""
     name = lambda k: F.concat(F.element_at(F.array(*[F.lit(p) for p in packages]), (F.pmod(k, F.lit(len(packages))) + 1).cast("int")), F.lit(".m"), k)
-    node = lambda salt: F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), "id"), F.lit(n_nodes))
+    node = lambda salt: F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}{salt}"), "id")), 1, 8), 16, 10).cast("long") % n_nodes
     rows = spark.range(n_edges * 2).select("id", name(node("s")).alias("src"), name(node("t")).alias("tgt")).where("src <> tgt")
     return rows.groupBy("src", "tgt").agg(F.min("id").alias("id")).orderBy("id").limit(n_edges).select(F.lit("g").alias("graph_id"), "src", "tgt")
 
