@@ -19,26 +19,34 @@ from plumbline.sources import code
 CALIBRATED = (0.0, 0.7304, 0.05, 0.174)
 
 
-def modularity(g: gr.Graph) -> DataFrame:
-    """Newman's Q of the found communities, from 0 to 1; 1 for a graph without edges or with one node, one half below ten nodes."""
+#: Fixed value: the Q that counts as fully modular.
+FULL_Q = 0.75
+
+
+def modularity(g: gr.Graph, membership: DataFrame | None = None) -> DataFrame:
+    """Newman's Q over 0.75, from 0 to 1; 1 for a graph without edges or with one node, one half below ten nodes.
+
+    membership: graph_id, id, community; without it the communities are found.
+    """
     size = g.nodes.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n"))
     edges = g.edges.where("src <> tgt")
-    q = gr.newman_q(edges, tr.communities(edges))
+    q = gr.newman_q(edges, tr.communities(edges) if membership is None else membership)
     n = F.col("n")
-    value = F.when((n <= 1) | F.col("modularity_q").isNull(), 1.0).when(n < 10, 0.5).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("modularity_q"))))
+    value = F.when((n <= 1) | F.col("modularity_q").isNull(), 1.0).when(n < 10, 0.5).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("modularity_q")) / FULL_Q))
     return size.join(q, "graph_id", "left").select("graph_id", value.alias("modularity"))
 
 
-def measure(g: gr.Graph, lcom4: DataFrame | None = None, languages: DataFrame | None = None, weights: tuple[float, float, float, float] = (0.25, 0.25, 0.25, 0.25)) -> DataFrame:
+def measure(g: gr.Graph, lcom4: DataFrame | None = None, languages: DataFrame | None = None, weights: tuple[float, float, float, float] = (0.25, 0.25, 0.25, 0.25), membership: DataFrame | None = None) -> DataFrame:
     """One row per graph: the four metrics, their composite score, nodes, edges and language.
 
     lcom4: graph_id, lcom4 of classes; without it cohesion is 1. languages:
-    graph_id, language; without it the language is null.
+    graph_id, language; without it the language is null. membership: communities
+    that are known already.
     """
     sizes = g.nodes.groupBy("graph_id").agg(F.count(F.lit(1)).alias("nodes"))
     edges = g.edges.groupBy("graph_id").agg(F.count(F.lit(1)).alias("edges"))
     out = sizes.join(edges, "graph_id", "left").fillna(0, ["edges"])
-    for part in (modularity(g), tr.acyclicity(g), gr.stability(g)):
+    for part in (modularity(g, membership), tr.acyclicity(g), gr.stability(g)):
         out = out.join(part, "graph_id", "left")
     out = out.join(tr.cohesion(lcom4), "graph_id", "left") if lcom4 is not None else out.withColumn("cohesion", F.lit(None).cast("double"))
     out = out.withColumn("cohesion", F.coalesce("cohesion", F.lit(1.0)))

@@ -7,10 +7,6 @@ from pyspark.sql import functions as F
 
 from plumbline.operators.graph import Graph
 
-#: Orders that follow one another at two suppliers at least so often are an edge.
-SUPPORT = 11
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -38,18 +34,17 @@ JOIN supplier ON l_suppkey=s_suppkey JOIN nation sn ON s_nationkey=sn.n_nationke
 nodes AS (SELECT src AS id FROM trade UNION SELECT tgt FROM trade)"""
 
 
-def hops(spark: SparkSession, sf_dir: str, support: int = SUPPORT) -> Graph:
-    """A supplier depends on the next one in an order, where that happens ``support`` times or more."""
+def hops(spark: SparkSession, sf_dir: str) -> Graph:
+    """A supplier depends on the next one in each order."""
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
     steps = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("a"), F.lead("l_suppkey").over(w).alias("b")).where("b is not null and b <> a")
-    edges = steps.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= support)
-    return Graph.of_edges(edges.select(F.concat(F.lit("s"), "a").alias("src"), F.concat(F.lit("s"), "b").alias("tgt")))
+    return Graph.of_edges(steps.distinct().select(F.concat(F.lit("s"), "a").alias("src"), F.concat(F.lit("s"), "b").alias("tgt")))
 
 
-HOPS = f"""hops AS (
-SELECT 's'||a AS src, 's'||b AS tgt FROM (
+HOPS = """hops AS (
+SELECT DISTINCT 's'||a AS src, 's'||b AS tgt FROM (
 SELECT l_suppkey a, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber,l_partkey,l_suppkey) b FROM lineitem)
-WHERE b IS NOT NULL AND b<>a GROUP BY a, b HAVING count(*)>={SUPPORT}),
+WHERE b IS NOT NULL AND b<>a),
 nodes AS (SELECT src AS id FROM hops UNION SELECT tgt FROM hops)"""
 
 

@@ -18,6 +18,7 @@ from plumbline.operators import statistics as st
 from plumbline.operators import traversal as tr
 from plumbline.plans import engine
 from plumbline.plans import fixtures as fx
+from plumbline.plans.lineage import materialize, shared_dir
 from plumbline.sources import code, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -186,12 +187,31 @@ def _(spark, d):
     return engine.modularity(fx.hops(spark, d))
 
 
-@query("measure")
+def _by_package(g: gr.Graph) -> DataFrame:
+    return g.nodes.select("graph_id", "id", names.package(F.col("id")).alias("community"))
+
+
+_Q = f"""WITH {fx.TRADE}, p AS (SELECT id, array_to_string(string_split(id,'.')[1:2],'.') AS pkg FROM nodes), e AS (SELECT a.pkg ca, b.pkg cb FROM trade JOIN p a ON a.id=src JOIN p b ON b.id=tgt),
+c AS (SELECT pkg, sum(l) l, sum(k) k FROM (SELECT ca pkg, CASE WHEN ca=cb THEN 1 ELSE 0 END l, 1 k FROM e UNION ALL SELECT cb, 0, 1 FROM e) GROUP BY 1), m AS (SELECT count(*) m FROM e)
+SELECT 'g' AS graph_id, least(1.0, greatest(0.0, sum(l/m-(k/(2.0*m))*(k/(2.0*m))))/0.75) AS modularity FROM c, m"""
+
+
+@query("modularity_of_packages", f"SELECT graph_id, round(modularity,6) AS modularity FROM ({_Q})")
 def _(spark, d):
-    return engine.measure(fx.hops(spark, d), tr.lcom4(fx.classes(spark, d)))
+    g = fx.trade(spark, d)
+    return engine.modularity(g, _by_package(g))
 
 
-@query("extended")
+@query("measure", f"""SELECT graph_id, nodes, edges, round(modularity,6) AS modularity, 1.0::DOUBLE AS acyclicity, round(stability,6) AS stability, round(cohesion,6) AS cohesion, NULL::VARCHAR AS language, round((modularity+1.0+stability+cohesion)/4,6) AS score
+FROM ({_Q}) JOIN (WITH {fx.TRADE}, {_PACKAGES} SELECT 'g' AS graph_id, (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM trade) AS edges, least(1.0, var_pop(instability)/0.25) AS stability FROM i) USING (graph_id)
+JOIN (WITH RECURSIVE {fx.LCOM4} SELECT 'g' AS graph_id, 1.0-avg(least(1.0,(lcom4-1)/4.0)) AS cohesion FROM lcom) USING (graph_id)""")
+def _(spark, d):
+    g = fx.trade(spark, d)
+    return engine.measure(g, tr.lcom4(fx.classes(spark, d)), membership=_by_package(g))
+
+
+@query("extended", f"""SELECT * FROM ({_CCD}) JOIN ({_SIMILAR}, v AS (SELECT shared/(both_n-shared) x FROM s) SELECT 'g' AS graph_id, round(coalesce(avg(x),0),6) AS mean_ic, round(coalesce(max(x),0),6) AS max_ic, round(coalesce(avg(CASE WHEN x>0.5 THEN 1.0 ELSE 0.0 END),0),6) AS ic_above_05, count(*) AS n_pairs FROM v) USING (graph_id)
+JOIN ({ORACLES['module_summary']}) USING (graph_id) JOIN (WITH {fx.HOPS} SELECT 'g' AS graph_id, round(1.0-avg(CASE WHEN src<>tgt THEN 1.0 ELSE 0.0 END),6) AS boundary_crossing FROM hops) USING (graph_id)""")
 def _(spark, d):
     return engine.extended(fx.hops(spark, d))
 
@@ -282,15 +302,33 @@ def _(spark, d):
     return policy.ratchet(s, s.where("name % 3 > 0").select("graph_id", F.col("stability").alias("score"), F.col("acyclicity").alias("cohesion")), ["score", "cohesion"], 0.01)
 
 
-@query("gate")
+@query("gate", f"""WITH {fx.SCORES}, k AS (SELECT CAST(name AS VARCHAR) AS graph_id, score>=0.5 AS a, coalesce(score>=CASE WHEN name%2=0 THEN stability END, true) AS b FROM scores)
+SELECT graph_id, a AND b AS passed, CAST(CASE WHEN a THEN 0 ELSE 1 END + CASE WHEN b THEN 0 ELSE 1 END AS INT) AS n_failures FROM k""")
 def _(spark, d):
     s = fx.scores(spark, d).withColumn("graph_id", F.col("name").cast("string"))
-    return engine.gate(s, 0.5, s.where("name % 2 = 0").select("graph_id", F.col("stability").alias("score")), ["score"])
+    out = engine.gate(s, 0.5, s.where("name % 2 = 0").select("graph_id", F.col("stability").alias("score")), ["score"])
+    return out.select("graph_id", "passed", F.size("failures").alias("n_failures"))
+
+
+_NODE = "['api','core','db','ui','auth','jobs','util','web'][{0}%8+1]||'.m'||{0}"
+
+
+def _synthetic_sql(n_nodes: int, n_edges: int) -> str:
+    number = lambda salt: f"CAST('0x'||substr(md5('42{salt}'||id),1,8) AS BIGINT)%{n_nodes}"
+    return f"""k AS (SELECT id, {number('s')} AS s, {number('t')} AS t FROM range({2 * n_edges}) AS r(id)),
+edges AS (SELECT {_NODE.format('s')} AS src, {_NODE.format('t')} AS tgt, min(id) AS id FROM k WHERE s<>t GROUP BY 1, 2 ORDER BY 3 LIMIT {n_edges})"""
+
+
+def _constraints_sql(n_nodes: int, n_edges: int, n_rules: int) -> str:
+    rules = ", ".join(f"('{r['from']}','{r['to']}')" for r in tables.synthetic_rules(n_rules))
+    return f"""WITH {_synthetic_sql(n_nodes, n_edges)}, rules AS (SELECT * FROM (VALUES {rules}) AS r(a, b)),
+v AS (SELECT count(*) AS m FROM edges JOIN rules ON replace(src,'.','/') GLOB a AND replace(tgt,'.','/') GLOB b), n AS (SELECT count(*) AS n FROM edges)
+SELECT 'g' AS graph_id, n AS n_edges, m AS n_violations, round(greatest(0.0,1.0-m/n),6) AS constraint_score FROM n, v"""
 
 
 def _constraints(n_nodes: int, n_edges: int, n_rules: int):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        edges = tables.synthetic_graph(spark, n_nodes, n_edges)
+        edges = materialize(tables.synthetic_graph(spark, n_nodes, n_edges))
         found = policy.violations(edges, policy.rules_table(spark, tables.synthetic_rules(n_rules)))
         return policy.constraint_score(edges, found)
 
@@ -298,7 +336,7 @@ def _constraints(n_nodes: int, n_edges: int, n_rules: int):
 
 
 for _case in ((1000, 20_000, 100), (3000, 80_000, 180), (3500, 100_000, 220)):
-    query("constraints_" + "_".join(map(str, _case)))(_constraints(*_case))
+    query("constraints_" + "_".join(map(str, _case)), _constraints_sql(*_case))(_constraints(*_case))
 
 
 # --- history ----------------------------------------------------------------------------------------------------------
@@ -539,7 +577,13 @@ def _(spark, d):
     return fx.scores(spark, d).select("name", scores.composite([F.col(c) for c in ("modularity", "acyclicity", "stability", "cohesion")], (0, 73, 5, 17)).alias("score"))
 
 
-@query("enhanced")
+_DESCRIBED = "CASE fingerprint " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in scores.DESCRIPTIONS.items()) + " END"
+
+
+@query("enhanced", f"""{_S}, z AS (SELECT *, {_Z} AS z, {_FINGERPRINT.format(a='acyclicity', c='cohesion', s='stability')} AS fingerprint, round(1.0-acyclicity,12) AS share, round(greatest(0.0,least(1.0,1.0-(0.5*acyclicity+0.3*stability+0.2*modularity))),12) AS r FROM scores),
+t AS (SELECT *, 1.0/(1.0+0.3275911*abs(z)/sqrt(2.0)) AS t FROM z), h AS (SELECT *, 0.5*t*(0.254829592+t*(-0.284496736+t*(1.421413741+t*(-1.453152027+t*1.061405429))))*exp(-z*z/2) AS h FROM t)
+SELECT name, language, round(z,6) AS score_z, round(100*CASE WHEN z>=0 THEN 1-h WHEN z<0 THEN h END,1) AS score_percentile, CASE WHEN nodes<10 THEN score ELSE round(least(1.0,greatest(0.0,score*ln(500)/ln(nodes))),4) END AS score_size_adjusted, fingerprint, {_DESCRIBED} AS fingerprint_description,
+{_SEVERITY.format(x='share')} AS severity_level, CASE WHEN share=0 THEN 'no cyclic dependencies' ELSE format('{{:.1f}}% of modules in the largest cycle', (1.0-acyclicity)*100) END AS message, CASE WHEN r<0.1 THEN 'LOW' WHEN r<0.2 THEN 'MEDIUM' WHEN r<0.3 THEN 'HIGH' ELSE 'CRITICAL' END AS churn_risk_level FROM h""")
 def _(spark, d):
     return scores.enhance(fx.scores(spark, d)).select("name", "language", "score_z", "score_percentile", "score_size_adjusted", "fingerprint", "fingerprint_description", "cycle_severity.severity_level", "cycle_severity.message", "churn_risk.churn_risk_level")
 
@@ -582,10 +626,114 @@ def _(spark, d):
     return engine.scan(_as_language(spark, d, ".go", "package app\nimport (\n", '  "%s"', "\n)\ntype X struct {}\n"))[0].edges
 
 
-@query("scan_lcom4", f"WITH {fx.HOPS} SELECT lcom4, count(*) AS n FROM (SELECT 1 AS lcom4 FROM nodes) GROUP BY 1")
+def _classes(spark: SparkSession, d: str, ending: str, head: str, method: str, tail: str) -> DataFrame:
+    """A file with one class per supplier; it has six methods that share attributes by their number modulo 1, 2 or 3."""
+    k = F.col("s_suppkey")
+    methods = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: F.format_string(method, i, i % (k % 3 + 1))), "\n")
+    return fx.table(spark, d, "supplier").select(F.lit("g").alias("graph_id"), F.concat(F.lit("app/s"), k, F.lit(ending)).alias("path"), F.concat(F.lit(head), methods, F.lit(tail)).alias("text"))
+
+
+_LCOM4_OF_FILES = "SELECT s_suppkey%3+1 AS lcom4, count(*) AS n FROM supplier GROUP BY 1"
+
+
+@query("scan_lcom4", _LCOM4_OF_FILES)
+def _(spark, d):
+    files = _classes(spark, d, ".java", "package app;\nclass X {\n int a0; int a1; int a2;\n", " int get%d() { return this.a%d; }", "\n}\n")
+    return engine.scan(files)[1].groupBy("lcom4").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("scan_lcom4_python", _LCOM4_OF_FILES)
+def _(spark, d):
+    files = _classes(spark, d, ".py", "class X:\n", "    def get%d(self):\n        return self.a%d", "\n")
+    return engine.scan(files)[1].groupBy("lcom4").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _paths(spark: SparkSession, d: str) -> DataFrame:
+    """A source file per part, in folders and of kinds by its numbers; the brand is the project."""
+    k = F.col("p_partkey")
+    folder = F.element_at(F.array(*[F.lit(x) for x in ("src/main/java/a", "src/pkg", ".git", "a/target", "a/node_modules/b", "src/test/c", "deep/er/and/er", "docs", "tests", "__pycache__")]), (k % 10 + 1).cast("int"))
+    name = F.element_at(F.array(*[F.lit(x) for x in ("__init__.py", "m.py", "Test.java", "x.go", "README.md", "test_m.py", "M.PY")]), (k % 7 + 1).cast("int"))
+    return fx.table(spark, d, "part").select(F.col("p_brand").alias("graph_id"), F.concat_ws("/", folder, name).alias("path"), F.col("p_name").alias("text"))
+
+
+_PATHS = """paths AS (SELECT p_brand AS graph_id, ['src/main/java/a','src/pkg','.git','a/target','a/node_modules/b','src/test/c','deep/er/and/er','docs','tests','__pycache__'][p_partkey%10+1]||'/'||['__init__.py','m.py','Test.java','x.go','README.md','test_m.py','M.PY'][p_partkey%7+1] AS path, p_name AS text FROM part),
+e AS (SELECT *, lower(regexp_extract(path,'\\.([A-Za-z0-9]+)$',1)) AS ending FROM paths)"""
+
+
+@query("kept_sources", f"WITH {_PATHS} SELECT graph_id, path, count(*) AS n FROM e WHERE NOT regexp_matches(path,'(^|/)(\\.[^/]*|target|node_modules|__pycache__)/') AND path NOT LIKE '%/__init__.py' AND NOT (ending='java' AND regexp_matches(path,'(^|/)(src/)?test/')) GROUP BY 1, 2")
+def _(spark, d):
+    return code.keep_sources(_paths(spark, d)).groupBy("graph_id", "path").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("within_depth", f"WITH {_PATHS} SELECT path, count(*) AS n FROM paths WHERE length(path)-length(replace(path,'/',''))<=2 GROUP BY 1")
+def _(spark, d):
+    return code.within_depth(_paths(spark, d), 3).groupBy("path").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("languages_of_projects", f"""WITH {_PATHS}, n AS (SELECT graph_id, count(*) FILTER (WHERE ending='py') p, count(*) FILTER (WHERE ending='java') j, count(*) FILTER (WHERE ending='go') g FROM e WHERE graph_id LIKE '%1' OR ending<>'go' GROUP BY 1)
+SELECT graph_id, CASE WHEN g>0 AND g*4>=p AND g>=j THEN 'Go' WHEN j>0 AND j*4>=p THEN 'Java' WHEN p>0 THEN 'Python' END AS language, CASE WHEN greatest(p,j,g)=0 THEN 'Python' WHEN p>=greatest(j,g) THEN 'Python' WHEN j>=g THEN 'Java' ELSE 'Go' END AS common FROM n""")
+def _(spark, d):
+    files = _paths(spark, d).where((code.extension(F.col("path")) != "go") | F.col("graph_id").endswith("1"))
+    return code.detect_language(files).join(code.common_language(files).withColumnRenamed("language", "common"), "graph_id")
+
+
+@query("source_roots", f"""WITH {_PATHS}, k AS (SELECT graph_id, path FROM paths WHERE (graph_id LIKE '%1' OR path NOT LIKE 'src/main/%') AND (graph_id NOT LIKE '%2' OR path NOT LIKE 'src/%')),
+r AS (SELECT graph_id, bool_or(path LIKE 'src/main/java/%') m, bool_or(path LIKE 'src/%') s, list(DISTINCT regexp_extract(path,'^src/([^/]+)/__init__\\.py$',1)) FILTER (WHERE regexp_matches(path,'^src/[^/]+/__init__\\.py$')) ps, min(regexp_extract(path,'^([^/]+)/__init__\\.py$',1)) FILTER (WHERE regexp_matches(path,'^[^/]+/__init__\\.py$') AND NOT regexp_matches(path,'^tests?/')) t FROM k GROUP BY 1)
+SELECT graph_id, CASE WHEN m THEN 'src/main/java' WHEN len(ps)=1 THEN 'src/'||ps[1] WHEN s THEN 'src' ELSE coalesce(t,'') END AS root FROM r""")
+def _(spark, d):
+    files = _paths(spark, d).where((F.col("graph_id").endswith("1") | ~F.col("path").startswith("src/main/")) & (~F.col("graph_id").endswith("2") | ~F.col("path").startswith("src/")))
+    return code.source_root(files)
+
+
+@query("source_paths", f"""WITH {_PATHS} SELECT path, count(*) AS n, regexp_matches(path,'(?i)(^|/)(tests?|testing|conftest\\.py)(/|$)|(^|/)test_[^/]*$|_test\\.[a-z]+$') AS is_test,
+NOT (path LIKE '%README.md' OR ending IN ('md','rst','txt','lock') OR path LIKE 'docs/%') AS is_source FROM e GROUP BY 1, ending""")
+def _(spark, d):
+    p = F.col("path")
+    return _paths(spark, d).groupBy("path").agg(F.count(F.lit(1)).alias("n")).select("path", "n", p.rlike(history.TEST_PATHS).alias("is_test"), history.is_source(p).alias("is_source"))
+
+
+_SUBJECT = "['Fix a crash','prefix only','hotfix: x','Add patch','debug','a BUG','tissue','Closes issue 3'][p_partkey%8+1]"
+
+
+@query("bugfix_subjects", f"SELECT p_brand AS repo, count(*) AS n_commits, count(*) FILTER (WHERE p_partkey%8 IN (0,2,3,5,7)) AS n_bugfix, round(avg(CASE WHEN p_partkey%8 IN (0,2,3,5,7) THEN 1.0 ELSE 0.0 END),6) AS bugfix_ratio FROM part GROUP BY 1")
+def _(spark, d):
+    subject = F.element_at(F.array(*[F.lit(x) for x in ("Fix a crash", "prefix only", "hotfix: x", "Add patch", "debug", "a BUG", "tissue", "Closes issue 3")]), (F.col("p_partkey") % 8 + 1).cast("int"))
+    return history.bugfix_ratio(fx.table(spark, d, "part").select(F.col("p_brand").alias("repo"), subject.alias("subject")))
+
+
+@query("finite_numbers", "SELECT l_orderkey, l_linenumber, CASE l_linenumber WHEN 1 THEN l_quantity::DOUBLE WHEN 4 THEN 1.5::DOUBLE END AS x FROM lineitem")
+def _(spark, d):
+    n = F.col("l_linenumber")
+    text = F.when(n == 1, F.col("l_quantity").cast("double").cast("string")).when(n == 2, "NaN").when(n == 3, "Infinity").when(n == 4, "1.5").when(n == 5, "-Infinity").when(n == 6, "none")
+    return fx.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", scores.finite(text).alias("x"))
+
+
+def _written(df: DataFrame, column: str) -> str:
+    """The documents of a column as files, one a partition."""
+    path = shared_dir(df.sparkSession)
+    df.select(column).coalesce(1).write.text(path)
+    return path
+
+
+@query("repositories", "SELECT 's'||s_suppkey AS name, 'https://example.com/'||s_nationkey||'/s'||s_suppkey AS url FROM supplier")
+def _(spark, d):
+    k = F.col("s_suppkey")
+    rows = fx.table(spark, d, "supplier").select(F.struct(F.concat(F.lit("s"), k).alias("name"), F.concat_ws("/", F.lit("https://example.com"), F.col("s_nationkey").cast("string"), F.concat(F.lit("s"), k)).alias("url")).alias("r"))
+    return tables.read_repositories(spark, _written(rows.agg(F.to_json(F.collect_list("r")).alias("json")), "json")).select("name", "url")
+
+
+@query("benchmark_results", f"{_S} SELECT CAST(name AS VARCHAR) AS name, round(modularity,6) AS modularity, CASE WHEN name%5>0 THEN round(score,6) END AS agq_score, nodes, language, CASE WHEN name%7>0 THEN round(stability,6) END AS hotspot_ratio FROM scores")
+def _(spark, d):
+    c = F.col
+    agq = F.struct("modularity", F.when(c("name") % 5 > 0, c("score")).alias("agq_score"), "nodes", "language")
+    rows = fx.scores(spark, d).select(F.struct(c("name").cast("string").alias("name"), agq.alias("agq"), F.struct(F.when(c("name") % 7 > 0, c("stability")).alias("hotspot_ratio")).alias("churn")).alias("r"))
+    found = tables.read_results(spark, _written(rows.agg(F.to_json(F.struct(F.collect_list("r").alias("results"))).alias("json")), "json"))
+    return found.select("name", "modularity", "agq_score", "nodes", "language", "hotspot_ratio")
+
+
+@query("graph_json_read", f"WITH {fx.TRADE} SELECT src, tgt FROM trade")
 def _(spark, d):
-    lcom4 = engine.scan(_as_language(spark, d, ".java", "package app;\n", "import app.%s;", "\nclass X { int a; int get() { return this.a; } void set(int v) { this.a = v; } }"))[1]
-    return lcom4.groupBy("lcom4").agg(F.count(F.lit(1)).alias("n"))
+    return tables.read_graph_json(spark, _written(tables.graph_json(fx.trade(spark, d)), "json"))[0].edges.select("src", "tgt")
 
 
 @query("test_quality", """WITH k AS (SELECT s_suppkey k FROM supplier), m AS (SELECT least(avg(k%4)/3.0,1.0) a, least(sum(2+k%4)/sum(1),1.0) r, avg(CASE WHEN k%2=0 THEN 1.0 ELSE 0.0 END) d, avg(CASE WHEN k%5=0 THEN 1.0 ELSE 0.0 END) i, count(*) n FROM k)
@@ -623,12 +771,12 @@ def _(spark, d):
     return fx.table(spark, d, "part").select("p_partkey", names.slug(F.concat_ws(" ", "p_name", "p_brand")).alias("slug"), names.import_line(F.lit("Java"), F.translate("p_brand", "#", ".")).alias("line"))
 
 
-@query("synthetic_graph")
+@query("synthetic_graph", f"WITH {_synthetic_sql(1000, 20_000)} SELECT 'g' AS graph_id, src, tgt FROM edges")
 def _(spark, d):
     return tables.synthetic_graph(spark, 1000, 20_000)
 
 
-@query("graph_json")
+@query("graph_json", f"""WITH {fx.HOPS} SELECT 'g' AS graph_id, '{{"nodes":['||(SELECT string_agg('{{"id":"'||id||'","internal":false}}', ',' ORDER BY id) FROM nodes)||'],"edges":['||(SELECT string_agg('["'||src||'","'||tgt||'"]', ',' ORDER BY src, tgt) FROM hops)||']}}' AS json""")
 def _(spark, d):
     return tables.graph_json(fx.hops(spark, d))
 
@@ -646,8 +794,21 @@ def _mutation(kind: str):
     return run
 
 
+_TOP = "array_to_string(string_split({0},'.')[1:2],'.')"
+_MUTATED = {
+    "cycles": f"""WITH {fx.HOPS}, w AS (SELECT src, tgt FROM hops a WHERE NOT EXISTS (SELECT 1 FROM hops b WHERE b.src=a.tgt AND b.tgt=a.src))
+SELECT 'g' AS graph_id, tgt AS src, src AS tgt FROM w QUALIFY row_number() OVER (ORDER BY md5('1:'||src||':'||tgt), src, tgt)<=greatest(1, floor(count(*) OVER ()*0.5))""",
+    "layers": f"""WITH {fx.TRADE}, {_PACKAGES}, k AS (SELECT package, instability, row_number() OVER (ORDER BY instability, package) AS k, count(*) OVER () AS n FROM i), f AS (SELECT pkg AS package, min(id) AS id FROM p GROUP BY 1),
+q AS (SELECT a.id AS src, b.id AS tgt FROM k x JOIN f a USING (package), k y JOIN f b USING (package) WHERE x.k<=greatest(1,floor(x.n/3)) AND x.instability<0.4 AND y.k>y.n-greatest(1,floor(y.n/3)) AND y.instability>0.6 AND a.id<>b.id AND NOT EXISTS (SELECT 1 FROM trade t WHERE t.src=a.id AND t.tgt=b.id))
+SELECT 'g' AS graph_id, src, tgt FROM q QUALIFY row_number() OVER (ORDER BY md5('1:'||src||':'||tgt), src, tgt)<=greatest(1, floor(count(*) OVER ()*0.5))""",
+    "hubs": f"""WITH {fx.TRADE}, h AS (SELECT id AS src FROM nodes QUALIFY row_number() OVER (ORDER BY md5('1:'||id), id)<=greatest(1, floor(count(*) OVER ()*0.5*0.05))), t AS (SELECT id AS tgt FROM nodes QUALIFY row_number() OVER (ORDER BY md5('2:'||id), id)<=40),
+f AS (SELECT src, tgt FROM h, t WHERE {_TOP.format('src')}<>{_TOP.format('tgt')} QUALIFY row_number() OVER (PARTITION BY src ORDER BY md5('1:'||tgt), tgt)<=greatest(3, floor(least(20, count(*) OVER (PARTITION BY src))*0.5)))
+SELECT 'g' AS graph_id, src, tgt FROM f WHERE NOT EXISTS (SELECT 1 FROM trade e WHERE e.src=f.src AND e.tgt=f.tgt)""",
+    "cohesion": f"""WITH {fx.TRADE}, c AS (SELECT id FROM nodes QUALIFY row_number() OVER (ORDER BY md5('1:'||id), id)<=greatest(1, floor(count(*) OVER ()*0.1))), o AS (SELECT DISTINCT {_TOP.format('id')} AS host FROM nodes), s AS (SELECT host, row_number() OVER (ORDER BY host)-1 AS slot, count(*) OVER () AS n FROM o)
+SELECT 'g' AS graph_id, id, host||'.'||string_split(id,'.')[-1] AS moved FROM c JOIN s ON slot=CAST('0x'||substr(md5('1:'||id),1,8) AS BIGINT)%n WHERE {_TOP.format('id')}<>host""",
+}
 for _kind in mutate.TYPES:
-    query(f"mutate_{_kind}")(_mutation(_kind))
+    query(f"mutate_{_kind}", _MUTATED[_kind])(_mutation(_kind))
 
 
 @query("mutation_study")
