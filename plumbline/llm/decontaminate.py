@@ -43,7 +43,7 @@ TABLE_BITS = 20
 
 
 def _lower_table() -> np.ndarray:
-    out = np.arange(1 << 16, dtype=np.uint16)
+    out = np.arange(1 << 16, dtype=np.uint32)
     for i in range(1 << 16):
         c = chr(i)
         low = c.lower() if not 0xD800 <= i < 0xE000 else c
@@ -60,22 +60,33 @@ _tables: dict[str, np.ndarray] = {}
 
 
 def normal(text: str) -> np.ndarray:
-    """One 16-bit character for each code point."""
+    """One number for each code point: lower-cased, all white space as one."""
     if "lower" not in _tables:
         _tables["lower"] = _lower_table()
     code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return _tables["lower"][np.minimum(code, 0xFFFF) if len(code) and code.max() > 0xFFFF else code]
+    if not len(code) or code.max() <= 0xFFFF:
+        return _tables["lower"][code]
+    out = np.where(code <= 0xFFFF, _tables["lower"][np.minimum(code, 0xFFFF)], code)
+    for c in np.unique(code[code > 0xFFFF]).tolist():  # few in any text
+        if len(low := chr(c).lower()) == 1 and ord(low) != c:
+            out[code == c] = ord(low)
+    return out
 
 
 def word_characters(x: np.ndarray) -> np.ndarray:
     if "word" not in _tables:
         _tables["word"] = _word_table()
-    return _tables["word"][x]
+    if not len(x) or x.max() <= 0xFFFF:
+        return _tables["word"][x]
+    out = _tables["word"][np.minimum(x, 0xFFFF)]
+    for c in np.unique(x[x > 0xFFFF]).tolist():
+        out[x == c] = chr(c).isalnum()
+    return out
 
 
 def qgrams(x: np.ndarray) -> np.ndarray:
     """A hash of the Q = 12 characters from each place on, by way of 8-bit classes."""
-    c = (x ^ (x >> np.uint16(8))).astype(np.uint8)
+    c = (x ^ (x >> np.uint32(8)) ^ (x >> np.uint32(16))).astype(np.uint8)
     two = c[:-1].astype(np.uint32) | (c[1:].astype(np.uint32) << np.uint32(8))
     four = two[:-2] | (two[2:] << np.uint32(16))
     n = len(x) - Q + 1
@@ -222,7 +233,7 @@ def windows(x: np.ndarray, regions: np.ndarray, most: int) -> tuple[np.ndarray,
     """The text under each region with ``most`` places on either side, zeros outside; and where it starts."""
     base = regions[:, 1] - most
     length = PATTERN + 4 * most + 3
-    padded = np.concatenate([np.zeros(2 * PATTERN, np.uint16), x, np.zeros(length + 2 * PATTERN, np.uint16)])
+    padded = np.concatenate([np.zeros(2 * PATTERN, np.uint32), x, np.zeros(length + 2 * PATTERN, np.uint32)])
     return padded[base[:, None] + np.arange(2 * PATTERN, 2 * PATTERN + length)], base
 
 
@@ -235,7 +246,7 @@ def align(text: np.ndarray, which: np.ndarray, p: Patterns) -> np.ndarray:
     """
     one, wall = np.int64(1) << 32, np.int64(1000) << 32
     width = text.shape[1] - PATTERN
-    pattern = np.zeros((len(which), PATTERN), np.uint16)
+    pattern = np.zeros((len(which), PATTERN), np.uint32)
     for row, j in enumerate(which):
         pattern[row, : len(p.chars[j])] = p.chars[j]
     size = np.array([len(p.chars[j]) for j in which], np.int64)
