@@ -30,6 +30,8 @@ SAMPLE_BYTES = 64_000
 MIN_DOCS = 5
 #: Documents in the whole sample, in expectation, as long as that leaves MIN_DOCS a language.
 ALL_SAMPLE_DOCS = 1000 * SAMPLE_DOCS
+#: Bytes of the whole sample, in expectation: what the driver holds.
+ALL_SAMPLE_BYTES = 256 << 20
 #: Bytes that count for the score; a longer text is no surer.
 SCORE_BYTES = 64
 #: Bytes scored at a time; slots of the table of known grams.
@@ -166,15 +168,22 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> ContextTrees:
     """Context trees of the languages with at least MIN_DOCS labelled documents outside the held-out fold.
 
+    The sample holds about ALL_SAMPLE_BYTES at most, in equal parts.
+
     The share of a language doesn't matter. A language with MIN_DOCS documents
     up to SAMPLE_BYTES is learned from these, another from the first
     SAMPLE_BYTES bytes of all of its documents.
     """
     labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(doc_id))
     labelled = labelled.select(F.col(lang).alias("lang"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), (F.octet_length(text) <= SAMPLE_BYTES).alias("fits"))
-    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if("fits").alias("n_fit")).where(F.col("n") >= MIN_DOCS).orderBy("lang").collect()
+    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if("fits").alias("n_fit"), F.sum(F.when(F.col("fits"), F.octet_length("text"))).alias("bytes_fit")).where(F.col("n") >= MIN_DOCS).orderBy("lang").collect()
     each = max(MIN_DOCS, min(SAMPLE_DOCS, ALL_SAMPLE_DOCS // max(1, len(sizes))))
-    rates = [(r["lang"], r["n_fit"] < MIN_DOCS, min(1.0, each / (r["n"] if r["n_fit"] < MIN_DOCS else r["n_fit"])) * 1_000_000) for r in sizes]
+    rates = []
+    for r in sizes:
+        cut = r["n_fit"] < MIN_DOCS
+        n, held = (r["n"], r["n"] * SAMPLE_BYTES) if cut else (r["n_fit"], r["bytes_fit"])
+        share = min(1.0, each / n, max(MIN_DOCS / n, ALL_SAMPLE_BYTES / len(sizes) / max(1, held)))
+        rates.append((r["lang"], cut, share * 1_000_000))
     limits = docs.sparkSession.createDataFrame(rates, "_lang string, cut boolean, rate double")
     draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")), F.lit(1_000_000))
     drawn = labelled.join(F.broadcast(limits) if len(rates) <= 100_000 else limits, F.col("lang") == F.col("_lang")).where((F.col("fits") | F.col("cut")) & (draw < F.col("rate")))
