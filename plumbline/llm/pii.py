@@ -17,7 +17,9 @@ classifier decides on the others.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -123,7 +125,13 @@ def loose_spans(text: str) -> list[tuple[int, int, int]]:
 def beyond_base(spans: list[tuple[int, int, int]], base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """The spans that overlap no base span, and the secrets that no base span covers, so that the rest of a credential with an address in it is found."""
     secret = KINDS.index("secret")
-    return [s for s in spans if not any(s[0] < b[2] and b[0] < s[2] and not (s[1] == secret and (s[0] < b[0] or b[2] < s[2])) for b in base)]
+    starts, ends = [b[0] for b in base], list(itertools.accumulate((b[2] for b in base), max))  # ends: the largest so far
+    out = []
+    for s in spans:
+        near = base[bisect.bisect_right(ends, s[0]) : bisect.bisect_left(starts, s[2])]
+        if not any(s[0] < b[2] and not (s[1] == secret and (s[0] < b[0] or b[2] < s[2])) for b in near):
+            out.append(s)
+    return out
 
 
 def votes(text: str, kind: str, start: int, end: int, base: bool) -> tuple[int, ...]:
