@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm import shingles as sh
-from plumbline.llm.common import bound_batches, materialize, table
+from plumbline.llm.common import bound_batches, fresh, materialize, table
 from plumbline.llm.components import components
 
 THRESHOLD = 0.8
@@ -273,14 +273,15 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresh
     Rows that share a key are one document: the smallest of them in the order
     of all columns stays. Rows with a null key can't be told apart and stay.
     """
-    classes = materialize(near_duplicate_classes(docs, doc_id, text, threshold).select(F.col("doc_id").alias("__id"), F.col("class_id").alias("__class")), docs.sparkSession)
-    extra = classes.where("__id <> __class").select("__id").distinct()
-    out = docs.join(extra, F.col(doc_id) == F.col("__id"), "left_anti")
-    shared = classes.where("__id is not null").groupBy("__id").count().where("count > 1").select("__id")
+    one_id, one_class, row = (fresh(x, docs) for x in ("_id", "_class", "_row"))
+    classes = materialize(near_duplicate_classes(docs, doc_id, text, threshold).select(F.col("doc_id").alias(one_id), F.col("class_id").alias(one_class)), docs.sparkSession)
+    extra = classes.where(F.col(one_id) != F.col(one_class)).select(one_id).distinct()
+    out = docs.join(extra, F.col(doc_id) == F.col(one_id), "left_anti")
+    shared = classes.where(F.col(one_id).isNotNull()).groupBy(one_id).agg(F.count(F.lit(1)).alias(one_class)).where(F.col(one_class) > 1).select(one_id)
     if shared.isEmpty():
         return out
-    one = out.join(shared, F.col(doc_id) == F.col("__id"), "left_semi").groupBy(F.col(doc_id).alias("__id")).agg(F.min(F.struct(*docs.columns)).alias("__row")).select("__row.*")
-    return out.join(shared, F.col(doc_id) == F.col("__id"), "left_anti").union(one)
+    one = out.join(shared, F.col(doc_id) == F.col(one_id), "left_semi").groupBy(F.col(doc_id).alias(one_id)).agg(F.min(F.struct(*docs.columns)).alias(row)).select(f"{row}.*")
+    return out.join(shared, F.col(doc_id) == F.col(one_id), "left_anti").union(one)
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

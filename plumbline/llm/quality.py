@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import let, materialize, table
+from plumbline.llm.common import fresh, let, materialize, table
 
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]+"
@@ -120,18 +120,19 @@ def quality_features(docs: DataFrame, text: str = "text", common: list[str] | No
     ))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "char_hist", "word_hist"]
     out = docs.drop(*[c for c in names if c != text])
+    words = fresh("_words", docs)
     out = out.withColumns({
-        "__words": made,
+        words: made,
         "char_hist": _class_counts(t),
         "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
     })
     return out.withColumns({
-        "n_words": F.col("__words.n_words"),
-        "n_repeat_words": F.col("__words.n_repeat_words"),
-        "word_hist": F.col("__words.word_hist"),
+        "n_words": F.col(f"{words}.n_words"),
+        "n_repeat_words": F.col(f"{words}.n_repeat_words"),
+        "word_hist": F.col(f"{words}.word_hist"),
         "n_symbols": F.get("char_hist", F.lit(classes.index("symbol"))),
         "word_chars": F.aggregate("char_hist", F.lit(0).cast("long"), lambda a, x: a + x) - F.get("char_hist", F.lit(classes.index("space"))),
-    }).drop("__words")
+    }).drop(words)
 
 
 def all_common() -> list[str]:
@@ -184,13 +185,14 @@ def judge_quality(docs: DataFrame, rules: QualityRules = QualityRules(), text: s
     else:
         refs = language_references(features, lang, rules.min_reference_docs)
     # An aggregation without keys: one row, also of no languages.
-    features = features.crossJoin(F.broadcast(refs.agg(F.collect_list("c").alias("__c"), F.collect_list("w").alias("__w"))))
+    c, w = fresh("_c", features), fresh("_w", features)
+    features = features.crossJoin(F.broadcast(refs.agg(F.collect_list("c").alias(c), F.collect_list("w").alias(w))))
 
     def nearest(hist: str, refs: str) -> Column:
         return F.coalesce(F.array_min(F.transform(refs, lambda r: js_distance(F.col(hist), r))), F.lit(0.0))
 
     failed = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))
-    out = features.withColumns({"base_failed": failed, "char_distance": nearest("char_hist", "__c"), "word_distance": nearest("word_hist", "__w")}).drop("__c", "__w")
+    out = features.withColumns({"base_failed": failed, "char_distance": nearest("char_hist", c), "word_distance": nearest("word_hist", w)}).drop(c, w)
     far = ((F.col("word_chars") >= rules.char_guard) & (F.col("char_distance") > rules.max_char_distance)) | (
         (F.col("n_words") >= rules.word_guard) & (F.col("word_distance") > rules.max_word_distance)
     )

@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import broadcast_if_small, table
+from plumbline.llm.common import broadcast_if_small, fresh, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -87,6 +87,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
         ]),
         lambda x: x.isNotNull(),
     )
+    m_host, m_path = fresh("_host", out), fresh("_path", out)
     urls = out.select("host", "path").where("host <> ''").distinct()
     matched = (
         urls.select("host", "path", F.explode(expressions).alias("digest"))
@@ -94,11 +95,11 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
         .join(broadcast_if_small(hashed), (F.col("short") == F.col("r_short")) & (F.col("digest") == F.col("r_digest")))
         .groupBy("host", "path")
         .agg(F.max(best).alias("best"))
-        .select(F.col("host").alias("__host"), F.col("path").alias("__path"), F.concat("best.r_host", "best.r_path").alias("rule"), F.col("best.r_action").alias("verdict"))
+        .select(F.col("host").alias(m_host), F.col("path").alias(m_path), F.concat("best.r_host", "best.r_path").alias("rule"), F.col("best.r_action").alias("verdict"))
     )
     return (
-        out.join(matched, (F.col("host") == F.col("__host")) & (F.col("path") == F.col("__path")), "left")
-        .drop("__host", "__path")
+        out.join(matched, (F.col("host") == F.col(m_host)) & (F.col("path") == F.col(m_path)), "left")
+        .drop(m_host, m_path)
         .withColumn("verdict", F.coalesce("verdict", F.lit(default)))
     )
 
