@@ -344,6 +344,15 @@ def test_leaks_equal_brute_force(spark, data, slice_, monkeypatch):
             assert 0 <= s < e <= len(text)
 
 
+def test_signs_beyond_the_first_plane_differ():
+    rnd = random.Random(8)
+    signs = lambda: "".join(chr(0x1F600 + rnd.randrange(60)) if rnd.random() < 0.5 else chr(0x20000 + rnd.randrange(4000)) for _ in range(150))
+    item, other = signs(), signs()
+    p = decontaminate.Patterns.of([item, "\U00010400\U00010401 x"])
+    found = decontaminate.batch_leaks([f"see {item} there", f"see {other} there", "a \U00010428\U00010429 x.", "a \U0001042a\U0001042b x.", "a\U00010428\U00010429 x."], p)
+    assert [[f[0] for f in x] for x in found] == [[0], [], [1], [], []]
+
+
 @pytest.mark.parametrize("slice_", [1 << 17, 500])
 def test_passages_and_short_items_are_found(spark, data, slice_, monkeypatch):
     monkeypatch.setattr(decontaminate, "SLICE", slice_)
