@@ -83,13 +83,13 @@ def label_communities(members: DataFrame) -> DataFrame:
     return out.select(*keys, label.alias("label"), "size")
 
 
-def detect_clusters(g: Graph, min_size: int = 3) -> DataFrame:
-    """graph_id, label, members (sorted), size: communities of the internal nodes; those of one label are merged, tests and small ones left out."""
+def cluster_members(g: Graph, min_size: int = 3) -> DataFrame:
+    """graph_id, id, label: communities of the internal nodes; those of one label are merged, tests and small ones left out."""
     inside = dominant_internal(g)
     edges = g.edges.join(inside.withColumnRenamed("id", "src"), ["graph_id", "src"], "left_semi").join(inside.withColumnRenamed("id", "tgt"), ["graph_id", "tgt"], "left_semi")
     members = communities(edges)
     labels = label_communities(members).where((F.col("size") >= min_size) & ~F.col("label").rlike(TESTS))
-    return members.join(labels, ["graph_id", "community"]).groupBy("graph_id", "label").agg(F.array_sort(F.collect_list("id")).alias("members"), F.count(F.lit(1)).alias("size"))
+    return members.join(labels, ["graph_id", "community"]).select("graph_id", "id", "label")
 
 
 def cross_edges(g: Graph, membership: DataFrame) -> DataFrame:
@@ -103,18 +103,32 @@ def cross_edges(g: Graph, membership: DataFrame) -> DataFrame:
     return pairs.join(counts, ["graph_id", "a", "b"], "left").fillna(0, ["a_to_b", "b_to_a"])
 
 
-def propose_rules(pairs: DataFrame, min_confidence: float = 0.5) -> DataFrame:
-    """graph_id, rule_from, rule_to, confidence, direction, a_to_b, b_to_a: forbid the reverse of a one-way dependency, and both ways between isolated groups."""
+def _proposals(pairs: DataFrame, min_confidence: float) -> DataFrame:
     rows = pairs.withColumn("d", direction(F.col("a_to_b"), F.col("b_to_a"))).select("graph_id", "a", "b", "a_to_b", "b_to_a", "d.*").where(F.col("confidence") >= min_confidence)
-    forbid = lambda x, y: F.struct(F.concat(x, F.lit("/*")).alias("rule_from"), F.concat(y, F.lit("/*")).alias("rule_to"))
+    forbid = lambda x, y: F.struct(F.concat(x, F.lit("/*")).alias("rule_from"), F.concat(y, F.lit("/*")).alias("rule_to"), x.alias("label_from"), y.alias("label_to"))
     a, b = F.col("a"), F.col("b")
     made = F.when(F.col("direction") == "isolated", F.array(forbid(a, b), forbid(b, a))).when(F.col("direction") == "a_to_b", F.array(forbid(b, a))).when(F.col("direction") == "b_to_a", F.array(forbid(a, b)))
     return rows.select("graph_id", F.explode(made).alias("r"), "confidence", "direction", "a_to_b", "b_to_a").select("graph_id", "r.*", "confidence", "direction", "a_to_b", "b_to_a").dropDuplicates(["graph_id", "rule_from", "rule_to"])
 
 
+def propose_rules(pairs: DataFrame, min_confidence: float = 0.5) -> DataFrame:
+    """graph_id, rule_from, rule_to, confidence, direction, a_to_b, b_to_a: forbid the reverse of a one-way dependency, and both ways between isolated groups."""
+    return _proposals(pairs, min_confidence).drop("label_from", "label_to")
+
+
+def explain_rules(pairs: DataFrame, membership: DataFrame, min_confidence: float = 0.5) -> DataFrame:
+    """``propose_rules`` with the sizes of both groups, the edges that speak for the rule, and the reason in words."""
+    sizes = membership.groupBy("graph_id", "label").agg(F.count(F.lit(1)).alias("size"))
+    rows = _proposals(pairs, min_confidence).withColumn("edges", F.greatest("a_to_b", "b_to_a"))
+    rows = rows.join(sizes.toDF("graph_id", "label_from", "size_from"), ["graph_id", "label_from"]).join(sizes.toDF("graph_id", "label_to", "size_to"), ["graph_id", "label_to"])
+    apart = F.format_string("%s and %s don't depend on each other", "label_from", "label_to")
+    one_way = F.format_string("%s depends on %s by %d of %d edges", "label_to", "label_from", "edges", F.col("a_to_b") + F.col("b_to_a"))
+    reason = F.when(F.col("direction") == "isolated", apart).otherwise(one_way)
+    return rows.select("graph_id", "rule_from", "rule_to", "confidence", "direction", "size_from", "size_to", "a_to_b", "b_to_a", reason.alias("rationale"))
+
+
 def discover(g: Graph, min_confidence: float = 0.5, min_size: int = 3) -> DataFrame:
-    clusters = detect_clusters(g, min_size)
-    return propose_rules(cross_edges(g, clusters.select("graph_id", F.explode("members").alias("id"), "label")), min_confidence)
+    return propose_rules(cross_edges(g, cluster_members(g, min_size)), min_confidence)
 
 
 def ratchet(current: DataFrame, baseline: DataFrame | None, watched: Iterable[str], delta: float = 0.0) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.pvalues import correlation_p_value, normal_tail
+from plumbline.functions.scores import normal_cdf
 from plumbline.plans.lineage import ship_package
 from plumbline.plans.ordering import running_sum
 
@@ -84,6 +85,26 @@ def dose_response(df: DataFrame, by: Sequence[str], dose: str, x: str, rho: floa
     return out.withColumn("passed", F.coalesce((F.col("r") < rho) & (F.col("p_value") < p), F.lit(False)))
 
 
+def study_verdict(df: DataFrame, kind: str, dose: str, x: str, baseline: str, least: int = 5) -> DataFrame:
+    """kind, n, r, p_value, d, status of each kind of change, and one row ``combined`` of all.
+
+    r is Spearman's correlation of the dose with x. d is the effect between the
+    baselines at the smallest dose above 0 and x at the largest dose, over the
+    root of the mean variance (a lone value has the deviation 0.01); combined
+    has none. Fewer than ``least`` rows of a kind (twice that combined) are SKIP.
+    """
+    rows = df.select(F.col(kind).cast("string").alias("kind"), F.col(dose).cast("double").alias("dose"), F.col(x).cast("double").alias("x"), F.col(baseline).cast("double").alias("base"))
+    parts = dose_response(rows, ["kind"], "dose", "x").withColumn("need", F.lit(least))
+    everything = dose_response(rows.withColumn("kind", F.lit("combined")), ["kind"], "dose", "x").withColumn("need", F.lit(2 * least))
+    ends = rows.agg(F.min(F.when(F.col("dose") > 0, F.col("dose"))).alias("low"), F.max("dose").alias("high"))
+    first, last = F.when(F.col("dose") == F.col("low"), F.col("base")), F.when(F.col("dose") == F.col("high"), F.col("x"))
+    deviation = lambda c: F.coalesce(F.stddev_samp(c), F.lit(0.01))
+    pooled = F.sqrt((F.pow(deviation(first), F.lit(2)) + F.pow(deviation(last), F.lit(2))) / 2)
+    effect = rows.crossJoin(F.broadcast(ends)).groupBy("kind").agg(F.try_divide(F.avg(first) - F.avg(last), pooled).alias("d"))  # ends is one row
+    status = F.when(F.col("n") < F.col("need"), "SKIP").when(F.col("passed"), "PASS").otherwise("FAIL")
+    return parts.union(everything).join(effect, "kind", "left").select("kind", "n", "r", "p_value", "d", status.alias("status"))
+
+
 def correlation_matrix(df: DataFrame, xs: Sequence[str], ys: Sequence[str], least: int = 3) -> DataFrame:
     """x, y, r, n for all pairs of columns, in one aggregation."""
     rows = df.select(F.array(*[F.col(c).cast("double") for c in xs]).alias("a"), F.array(*[F.col(c).cast("double") for c in ys]).alias("b"))
@@ -94,6 +115,12 @@ def correlation_matrix(df: DataFrame, xs: Sequence[str], ys: Sequence[str], leas
     return one.select(F.explode(F.array(*one.columns)).alias("e")).select("e.*")
 
 
+def top_correlations(matrix: DataFrame, k: int = 12) -> DataFrame:
+    """The k rows of a correlation matrix with the strongest r, in words too; ties by the names."""
+    best = matrix.where(F.col("r").isNotNull()).orderBy(F.desc(F.abs("r")), "x", "y").limit(k)
+    return best.withColumn("strength", strength(F.col("r")))
+
+
 def strength(r: Column) -> Column:
     a = F.abs(r)
     return F.when(a.isNull(), "n/a").when(a >= 0.7, "very strong").when(a >= 0.5, "strong").when(a >= 0.3, "moderate").when(a >= 0.1, "weak").otherwise("negligible")
@@ -131,6 +158,22 @@ def mediation(df: DataFrame, x: str, mediator: str, y: str) -> DataFrame:
     return one.select("*", (a * b).alias("indirect"), F.try_divide(a * b, F.col("r_c")).alias("share"), sobel.alias("sobel_z"))
 
 
+def mediation_verdict(found: DataFrame, p: float = 0.05) -> DataFrame:
+    """Adds to the rows of ``mediation`` p_a, p_b and sobel_p, the tail probabilities, and verdict.
+
+    Both paths certain and an indirect effect above 0.1 mean mediation: full
+    where the direct r is below 0.3 or unknown, else partial. Else a certain
+    first path above 0.3 is told as such.
+    """
+    ship_package(found.sparkSession)
+    out = found.withColumns({"p_a": correlation_p_value(F.col("r_a"), F.col("n")), "p_b": correlation_p_value(F.col("r_b"), F.col("n")), "sobel_p": 2.0 * (1.0 - normal_cdf(F.abs("sobel_z")))})
+    sure = lambda c: F.coalesce(F.col(c) < p, F.lit(False))
+    through = sure("p_a") & sure("p_b") & (F.abs("indirect") > 0.1)
+    direct = F.coalesce(F.abs("r_c") >= 0.3, F.lit(False))
+    verdict = F.when(through & ~direct, "full_mediation").when(through, "partial_mediation").when(sure("p_a") & (F.abs("r_a") > 0.3), "path_a_significant").otherwise("no_mediation")
+    return out.withColumn("verdict", verdict)
+
+
 def composite_ranks(df: DataFrame, columns: Sequence[str], least: int = 2) -> DataFrame:
     """Adds defect_score, the mean of at least ``least`` rank-normalised columns, and proxy, 1 less it."""
     out = df
@@ -146,6 +189,12 @@ def distribution(df: DataFrame, by: Sequence[str], x: str) -> DataFrame:
     return df.groupBy(*by).agg(F.count(x).alias("n"), F.min(x).alias("least"), F.max(x).alias("most"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("deviation"), (F.max(x) - F.min(x)).alias("spread"))
 
 
+def summary(df: DataFrame, by: Sequence[str], xs: Sequence[str]) -> DataFrame:
+    """``distribution`` of several columns at once: by, metric and its figures."""
+    values = F.explode(F.array(*[F.struct(F.lit(x).alias("metric"), F.col(x).cast("double").alias("value")) for x in xs]))
+    return distribution(df.select(*by, values.alias("v")).select(*by, "v.*"), [*by, "metric"], "value")
+
+
 def lower_percentile(df: DataFrame, by: Sequence[str], x: str, share: float = 0.95) -> DataFrame:
     """The value at place floor(share (n - 1)) in order, by counts of distinct values."""
     counts = df.where(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count(F.lit(1)).alias("k"))

@@ -13,6 +13,7 @@ from plumbline.functions import scores
 from plumbline.operators import graph as gr
 from plumbline.operators import policy
 from plumbline.operators import traversal as tr
+from plumbline.plans.lineage import materialize
 from plumbline.sources import code
 
 #: The published weights of modularity, acyclicity, stability and cohesion.
@@ -21,6 +22,8 @@ CALIBRATED = (0.0, 0.7304, 0.05, 0.174)
 
 #: Fixed value: the Q that counts as fully modular.
 FULL_Q = 0.75
+#: Fixed value: the confidence from which a proposed rule is ready for use.
+SURE = 0.7
 
 
 def modularity(g: gr.Graph, membership: DataFrame | None = None) -> DataFrame:
@@ -97,7 +100,29 @@ def write_report(df: DataFrame, path: str) -> None:
     Path(path).write_text(json.dumps([json.loads(x[0]) for x in df.select(F.to_json(F.struct("*"))).collect()], indent=2))
 
 
-def rules_of(proposed: DataFrame, least: float = 0.7) -> list[Mapping[str, str]]:
+def discovery(g: gr.Graph, min_confidence: float = 0.5, min_size: int = 3, membership: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Clusters (graph_id, label, size), explained rules, and a summary row per graph.
+
+    membership: graph_id, id, label of groups that are known already; without
+    it they are found, and written once, as all three tables read them.
+    """
+    members = materialize(policy.cluster_members(g, min_size)) if membership is None else membership
+    clusters = members.groupBy("graph_id", "label").agg(F.count(F.lit(1)).alias("size"))
+    rules = policy.explain_rules(policy.cross_edges(g, members), members, min_confidence)
+    parts = (
+        g.nodes.groupBy("graph_id").agg(F.count(F.lit(1)).alias("nodes")),
+        gr.dominant_internal(g).groupBy("graph_id").agg(F.count(F.lit(1)).alias("internal_nodes")),
+        g.edges.groupBy("graph_id").agg(F.count(F.lit(1)).alias("edges")),
+        clusters.groupBy("graph_id").agg(F.count(F.lit(1)).alias("clusters")),
+        rules.groupBy("graph_id").agg(F.count(F.lit(1)).alias("rules"), F.count(F.when(F.col("confidence") >= SURE, 1)).alias("sure_rules")),
+    )
+    summary = g.graphs()
+    for part in parts:
+        summary = summary.join(part, "graph_id", "left")
+    return clusters, rules, summary.fillna(0)
+
+
+def rules_of(proposed: DataFrame, least: float = SURE) -> list[Mapping[str, str]]:
     """Proposed rules of enough confidence in the form that ``policy.rules_table`` takes."""
     rows = proposed.where(F.col("confidence") >= least).orderBy(F.desc("confidence"), "rule_from", "rule_to").collect()
     return [{"name": f"{r['rule_from']} to {r['rule_to']}", "type": "forbidden", "from": r["rule_from"], "to": r["rule_to"]} for r in rows]

@@ -260,6 +260,13 @@ def _(spark, d):
     return policy.constraint_score(edges, policy.violations(edges, policy.rules_table(spark, RULES)))
 
 
+def _trade_groups(g: gr.Graph) -> DataFrame:
+    """Suppliers and each 40th customer are a group by region, the other customers by nation, so that there are rules of all kinds."""
+    part = lambda k: F.element_at(F.split("id", r"\."), k)
+    with_suppliers = part(3).startswith("S") | (F.substring(part(3), 2, 20).cast("long") % 40 == 0)
+    return g.nodes.select("graph_id", "id", F.when(with_suppliers, F.concat(F.lit("s-"), part(1))).otherwise(F.concat(F.lit("c-"), part(2))).alias("label"))
+
+
 def _nation_groups(spark: SparkSession, d: str) -> DataFrame:
     return fx.table(spark, d, "supplier").select(F.lit("g").alias("graph_id"), F.concat(F.lit("s"), "s_suppkey").alias("id"), F.concat(F.lit("n"), F.lpad(F.col("s_nationkey").cast("string"), 2, "0")).alias("label"))
 
@@ -268,6 +275,11 @@ _CROSS = f"""WITH {fx.HOPS}, m AS (SELECT 's'||s_suppkey id, 'n'||lpad(CAST(s_na
 j AS (SELECT x.label ls, y.label lt FROM hops JOIN m x ON x.id=src JOIN m y ON y.id=tgt WHERE x.label<>y.label),
 k AS (SELECT least(ls,lt) a, greatest(ls,lt) b, count(*) FILTER (WHERE ls<lt) ab, count(*) FILTER (WHERE ls>lt) ba FROM j GROUP BY 1,2),
 l AS (SELECT DISTINCT label FROM m), c AS (SELECT x.label a, y.label b, coalesce(ab,0) a_to_b, coalesce(ba,0) b_to_a FROM l x JOIN l y ON x.label<y.label LEFT JOIN k ON k.a=x.label AND k.b=y.label)"""
+_SPLIT = "string_split(id,'.')"
+_TRADE_CROSS = f"""WITH {fx.TRADE}, m AS (SELECT id, CASE WHEN starts_with({_SPLIT}[3],'S') OR CAST(substr({_SPLIT}[3],2) AS BIGINT)%40=0 THEN 's-'||{_SPLIT}[1] ELSE 'c-'||{_SPLIT}[2] END AS label FROM nodes),
+j AS (SELECT x.label ls, y.label lt FROM trade JOIN m x ON x.id=src JOIN m y ON y.id=tgt WHERE x.label<>y.label),
+k AS (SELECT least(ls,lt) a, greatest(ls,lt) b, count(*) FILTER (WHERE ls<lt) ab, count(*) FILTER (WHERE ls>lt) ba FROM j GROUP BY 1,2),
+l AS (SELECT DISTINCT label FROM m), c AS (SELECT x.label a, y.label b, coalesce(ab,0) a_to_b, coalesce(ba,0) b_to_a FROM l x JOIN l y ON x.label<y.label LEFT JOIN k ON k.a=x.label AND k.b=y.label)"""
 
 
 @query("cross_edges", f"{_CROSS} SELECT 'g' AS graph_id, a, b, a_to_b, b_to_a FROM c")
@@ -275,12 +287,32 @@ def _(spark, d):
     return policy.cross_edges(fx.hops(spark, d), _nation_groups(spark, d))
 
 
-@query("propose_rules", f"""{_CROSS}, t AS (SELECT *, CASE WHEN a_to_b+b_to_a=0 THEN 'isolated' WHEN b_to_a=0 THEN 'a_to_b' WHEN a_to_b=0 THEN 'b_to_a' WHEN greatest(a_to_b,b_to_a)*10>=(a_to_b+b_to_a)*9 THEN CASE WHEN a_to_b>b_to_a THEN 'a_to_b' ELSE 'b_to_a' END ELSE 'bidirectional' END AS direction,
+@query("propose_rules", f"""{_TRADE_CROSS}, t AS (SELECT *, CASE WHEN a_to_b+b_to_a=0 THEN 'isolated' WHEN b_to_a=0 THEN 'a_to_b' WHEN a_to_b=0 THEN 'b_to_a' WHEN greatest(a_to_b,b_to_a)*10>=(a_to_b+b_to_a)*9 THEN CASE WHEN a_to_b>b_to_a THEN 'a_to_b' ELSE 'b_to_a' END ELSE 'bidirectional' END AS direction,
 CASE WHEN a_to_b+b_to_a=0 THEN 0.9::DOUBLE WHEN a_to_b=0 OR b_to_a=0 THEN 0.85 WHEN greatest(a_to_b,b_to_a)*10>=(a_to_b+b_to_a)*9 THEN 0.6 ELSE 0.3 END AS confidence FROM c)
 SELECT 'g' AS graph_id, a||'/*' AS rule_from, b||'/*' AS rule_to, confidence, direction, a_to_b, b_to_a FROM t WHERE direction IN ('isolated','b_to_a')
 UNION ALL SELECT 'g', b||'/*', a||'/*', confidence, direction, a_to_b, b_to_a FROM t WHERE direction IN ('isolated','a_to_b')""")
 def _(spark, d):
-    return policy.propose_rules(policy.cross_edges(fx.hops(spark, d), _nation_groups(spark, d)))
+    g = fx.trade(spark, d)
+    return policy.propose_rules(policy.cross_edges(g, _trade_groups(g)))
+
+
+_RULES = f"""{_TRADE_CROSS}, t AS (SELECT *, CASE WHEN a_to_b+b_to_a=0 THEN 'isolated' WHEN b_to_a=0 THEN 'a_to_b' WHEN a_to_b=0 THEN 'b_to_a' WHEN greatest(a_to_b,b_to_a)*10>=(a_to_b+b_to_a)*9 THEN CASE WHEN a_to_b>b_to_a THEN 'a_to_b' ELSE 'b_to_a' END ELSE 'bidirectional' END AS direction FROM c),
+w AS (SELECT a AS f, b AS o, * FROM t WHERE direction IN ('isolated','b_to_a') UNION ALL SELECT b, a, * FROM t WHERE direction IN ('isolated','a_to_b')), sizes AS (SELECT label, count(*) AS size FROM m GROUP BY 1)"""
+
+
+@query("explain_rules", f"""{_RULES} SELECT 'g' AS graph_id, f||'/*' AS rule_from, o||'/*' AS rule_to, CASE WHEN direction='isolated' THEN 0.9::DOUBLE WHEN least(a_to_b,b_to_a)=0 THEN 0.85 ELSE 0.6 END AS confidence, direction, x.size AS size_from, y.size AS size_to, a_to_b, b_to_a,
+CASE WHEN direction='isolated' THEN f||' and '||o||' don''t depend on each other' ELSE o||' depends on '||f||' by '||greatest(a_to_b,b_to_a)||' of '||(a_to_b+b_to_a)||' edges' END AS rationale
+FROM w JOIN sizes x ON x.label=f JOIN sizes y ON y.label=o""")
+def _(spark, d):
+    g = fx.trade(spark, d)
+    return engine.discovery(g, membership=_trade_groups(g))[1]
+
+
+@query("discovery_summary", f"""{_RULES}
+SELECT 'g' AS graph_id, (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM trade) AS edges, (SELECT count(*) FROM sizes) AS clusters, (SELECT count(*) FROM w) AS rules, (SELECT count(*) FROM w WHERE direction='isolated' OR least(a_to_b,b_to_a)=0) AS sure_rules""")
+def _(spark, d):
+    g = fx.trade(spark, d)
+    return engine.discovery(g, membership=_trade_groups(g))[2].drop("internal_nodes")
 
 
 @query("label_communities", f"""WITH {fx.TRADE}, q AS (SELECT id, string_split(id,'.')[1] AS r, array_to_string(string_split(id,'.')[1:2],'.') AS p FROM nodes), n AS (SELECT r, count(*) AS size FROM q GROUP BY 1),
@@ -292,7 +324,11 @@ def _(spark, d):
 
 @query("discover")
 def _(spark, d):
-    return policy.discover(fx.trade(spark, d))
+    """Of the trade within a nation, and of each 50th customer also with regions further on in the alphabet."""
+    g = fx.trade(spark, d)
+    part = lambda c, k: F.element_at(F.split(c, r"\."), k)
+    onward = (F.substring(part("src", 3), 2, 20).cast("long") % 50 == 0) & (part("src", 1) < part("tgt", 1))
+    return policy.discover(gr.Graph.of_edges(g.edges.where((part("src", 2) == part("tgt", 2)) | onward)))
 
 
 @query("ratchet", f"""WITH {fx.SCORES} SELECT CAST(name AS VARCHAR) AS graph_id, metric, round(value,6) AS value, round(baseline,6) AS baseline, coalesce(value>=baseline-0.01, true) AS passed FROM (
@@ -461,14 +497,63 @@ def _(spark, d):
     return best.select("x", "y", "r", st.strength(F.col("r")).alias("strength"))
 
 
-@query("correlation_p_values")
+_STEPS = 20_000
+_SIMPSON = f"CASE WHEN i IN (0,{_STEPS}) THEN 1 WHEN i%2=1 THEN 4 ELSE 2 END"
+
+
+def _t_tail(r: str, n: str) -> str:
+    """Two-sided tail of Student's distribution for a correlation, by Simpson's rule: a scalar subquery over columns of the row."""
+    density = f"pow(1+pow(abs({r})*sqrt(({n}-2)/(1-{r}*{r}))*i/{_STEPS},2)/({n}-2),-({n}-1)/2.0)"
+    area = f"exp(lgamma(({n}-1)/2.0)-lgamma(({n}-2)/2.0))/sqrt(({n}-2)*pi())*abs({r})*sqrt(({n}-2)/(1-{r}*{r}))/{_STEPS}/3*(SELECT sum({_SIMPSON}*{density}) FROM range({_STEPS + 1}) AS q(i))"
+    return f"CASE WHEN {r} IS NULL OR {n}<3 THEN NULL WHEN abs({r})>=1-1e-12 THEN 0.0 ELSE greatest(0.0,1-2*{area}) END"
+
+
+def _normal_tail(z: str) -> str:
+    area = f"abs({z})/sqrt(2*pi())/{_STEPS}/3*(SELECT sum({_SIMPSON}*exp(-pow({z}*i/{_STEPS},2)/2)) FROM range({_STEPS + 1}) AS q(i))"
+    return f"greatest(0.0,1-2*{area})"
+
+
+_MATRIX = " UNION ALL ".join(f"SELECT '{x}' AS x, '{y}' AS y, {_corr(x, y)} AS r, count(*) AS n FROM scores" for x in _XS for y in _YS)
+
+
+@query("correlation_p_values", f"{_S}, m AS ({_MATRIX}) SELECT x, y, round(r,6) AS r, n, round({_t_tail('r', 'n')},6) AS p_value FROM m")
 def _(spark, d):
     return st.with_p_value(st.correlation_matrix(fx.scores(spark, d), _XS, _YS))
 
 
-@query("mann_whitney", f"{_S}, k AS (SELECT language='Python' AS p, {_rank('score')} r FROM scores), s AS (SELECT count(*) FILTER (WHERE p) n1, count(*) FILTER (WHERE NOT p) n2, sum(r) FILTER (WHERE p) r1 FROM k), u AS (SELECT n1, n2, least(r1-n1*(n1+1)/2.0, n1*n2-(r1-n1*(n1+1)/2.0)) u FROM s) SELECT n1, n2, round(u,6) AS u, round((u-n1*n2/2.0)/sqrt(n1*n2*(n1+n2+1)/12.0),6) AS z FROM u")
+@query("normal_p_values", f"{_S}, m AS ({_MATRIX}), t AS (SELECT *, r*sqrt((n-2)/(1-r*r)) AS t FROM m) SELECT x, y, round(r,6) AS r, n, round({_normal_tail('t')},6) AS p_normal FROM t")
+def _(spark, d):
+    return st.with_normal_p(st.correlation_matrix(fx.scores(spark, d), _XS, _YS))
+
+
+@query("top_correlations", f"""{_S}, m AS ({_MATRIX}) SELECT x, y, round(r,6) AS r, n, CASE WHEN abs(r)>=0.7 THEN 'very strong' WHEN abs(r)>=0.5 THEN 'strong' WHEN abs(r)>=0.3 THEN 'moderate' WHEN abs(r)>=0.1 THEN 'weak' ELSE 'negligible' END AS strength
+FROM m WHERE r IS NOT NULL ORDER BY abs(m.r) DESC, x, y LIMIT 12""")
+def _(spark, d):
+    return st.top_correlations(st.correlation_matrix(fx.scores(spark, d), _XS, _YS))
+
+
+@query("summary", f"{_S}, v AS (" + " UNION ALL ".join(f"SELECT language, '{x}' AS metric, CAST({x} AS DOUBLE) AS value FROM scores" for x in (*_XS, *_YS)) + """)
+SELECT language, metric, count(value) AS n, round(min(value),6) AS least, round(max(value),6) AS most, round(avg(value),6) AS mean, round(stddev_pop(value),6) AS deviation, round(max(value)-min(value),6) AS spread FROM v GROUP BY 1, 2""")
+def _(spark, d):
+    return st.summary(fx.scores(spark, d), ["language"], [*_XS, *_YS])
+
+
+_STUDY = "s AS (SELECT language AS kind, CAST(name%5 AS DOUBLE) AS dose, score AS x, cohesion AS base FROM scores), a AS (SELECT *, 5 AS need FROM s UNION ALL SELECT 'combined', dose, x, base, 10 FROM s)"
+
+
+@query("study_verdict", f"""{_S}, {_STUDY}, k AS (SELECT kind, need, {_rank('dose', 'kind')} AS u, {_rank('x', 'kind')} AS v FROM a),
+c AS (SELECT kind, need, count(*) AS n, CASE WHEN count(*)>=3 THEN {_corr('u', 'v')} END AS r FROM k GROUP BY 1, 2), p AS (SELECT *, {_t_tail('r', 'n')} AS p FROM c),
+e AS (SELECT min(dose) FILTER (WHERE dose>0) AS low, max(dose) AS high FROM s),
+f AS (SELECT kind, (avg(base) FILTER (WHERE dose=low)-avg(x) FILTER (WHERE dose=high))/sqrt((pow(coalesce(stddev_samp(base) FILTER (WHERE dose=low),0.01),2)+pow(coalesce(stddev_samp(x) FILTER (WHERE dose=high),0.01),2))/2) AS d FROM s, e GROUP BY 1)
+SELECT kind, n, round(r,6) AS r, round(p,6) AS p_value, round(d,6) AS d, CASE WHEN n<need THEN 'SKIP' WHEN r< -0.3 AND p<0.05 THEN 'PASS' ELSE 'FAIL' END AS status FROM p LEFT JOIN f USING (kind)""")
+def _(spark, d):
+    """As if languages were kinds of mutation and a fifth of the suppliers had each dose."""
+    return st.study_verdict(fx.scores(spark, d).withColumn("dose", F.col("name") % 5), "language", "dose", "score", "cohesion")
+
+
+@query("mann_whitney", f"{_S}, k AS (SELECT language='Python' AS p, {_rank('score')} r FROM scores), s AS (SELECT count(*) FILTER (WHERE p) n1, count(*) FILTER (WHERE NOT p) n2, sum(r) FILTER (WHERE p) r1 FROM k), u AS (SELECT n1, n2, least(r1-n1*(n1+1)/2.0, n1*n2-(r1-n1*(n1+1)/2.0)) u FROM s), z AS (SELECT n1, n2, u, (u-n1*n2/2.0)/sqrt(n1*n2*(n1+n2+1)/12.0) AS z FROM u) SELECT n1, n2, round(u,6) AS u, round(z,6) AS z, round({_normal_tail('z')},6) AS p_value FROM z")
 def _(spark, d):
-    return st.mann_whitney(fx.scores(spark, d), "language", "Python", "score").drop("p_value")
+    return st.mann_whitney(fx.scores(spark, d), "language", "Python", "score")
 
 
 @query("effect_size", f"{_S}, k AS (SELECT avg(score) FILTER (WHERE language='Python') a, avg(score) FILTER (WHERE language<>'Python') b, var_samp(score) FILTER (WHERE language='Python') va, var_samp(score) FILTER (WHERE language<>'Python') vb, count(*) FILTER (WHERE language='Python') n1, count(*) FILTER (WHERE language<>'Python') n2 FROM scores) SELECT round((a-b)/sqrt(((n1-1)*va+(n2-1)*vb)/(n1+n2-2)),6) AS d FROM k")
@@ -481,6 +566,14 @@ def _(spark, d):
     return st.mediation(fx.scores(spark, d), "stability", "churn", "bugs")
 
 
+@query("mediation_verdict", f"""{_S}, k AS (SELECT count(*) AS n, {_corr('stability', 'churn')} AS a, {_corr('churn', 'nodes')} AS b, {_corr('stability', 'nodes')} AS c FROM scores),
+z AS (SELECT *, a*b/sqrt(b*b*(1-a*a)/(n-2)+a*a*(1-b*b)/(n-2)) AS z, {_t_tail('a', 'n')} AS p_a, {_t_tail('b', 'n')} AS p_b FROM k)
+SELECT n, round(a,6) AS r_a, round(b,6) AS r_b, round(c,6) AS r_c, round(a*b,6) AS indirect, round(a*b/c,6) AS share, round(z,6) AS sobel_z, round(p_a,6) AS p_a, round(p_b,6) AS p_b, round({_normal_tail('z')},6) AS sobel_p,
+CASE WHEN p_a<0.05 AND p_b<0.05 AND abs(a*b)>0.1 THEN CASE WHEN abs(c)>=0.3 THEN 'partial_mediation' ELSE 'full_mediation' END WHEN p_a<0.05 AND abs(a)>0.3 THEN 'path_a_significant' ELSE 'no_mediation' END AS verdict FROM z""")
+def _(spark, d):
+    return st.mediation_verdict(st.mediation(fx.scores(spark, d), "stability", "churn", "nodes"))
+
+
 @query("composite_ranks", f"{_S}, k AS (SELECT name, (({_rank('churn')}-1)/(count(*) OVER ()-1)+({_rank('bugs')}-1)/(count(*) OVER ()-1))/2 s FROM scores) SELECT name, round(s,6) AS defect_score, round(1-s,6) AS proxy FROM k")
 def _(spark, d):
     return st.composite_ranks(fx.scores(spark, d), ["churn", "bugs"]).select("name", "defect_score", "proxy")
