@@ -533,9 +533,10 @@ def _(spark, d):
 
 
 @query("summary", f"{_S}, v AS (" + " UNION ALL ".join(f"SELECT language, '{x}' AS metric, CAST({x} AS DOUBLE) AS value FROM scores" for x in (*_XS, *_YS)) + """)
-SELECT language, metric, count(value) AS n, round(min(value),6) AS least, round(max(value),6) AS most, round(avg(value),6) AS mean, round(stddev_pop(value),6) AS deviation, round(max(value)-min(value),6) AS spread FROM v GROUP BY 1, 2""")
+SELECT language, metric, count(value) AS n, round(min(value),6) AS least, round(max(value),6) AS most, round(avg(value)+1e-9,6) AS mean, round(stddev_pop(value),6) AS deviation, round(max(value)-min(value),6) AS spread FROM v GROUP BY 1, 2""")
 def _(spark, d):
-    return st.summary(fx.scores(spark, d), ["language"], [*_XS, *_YS])
+    # The mean of four numbers of six digits may lie halfway between two of them; both sides are moved off that point.
+    return st.summary(fx.scores(spark, d), ["language"], [*_XS, *_YS]).withColumn("mean", F.col("mean") + 1e-9)
 
 
 _STUDY = "s AS (SELECT language AS kind, CAST(name%5 AS DOUBLE) AS dose, score AS x, cohesion AS base FROM scores), a AS (SELECT *, 5 AS need FROM s UNION ALL SELECT 'combined', dose, x, base, 10 FROM s)"
