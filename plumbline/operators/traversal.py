@@ -99,8 +99,23 @@ def cycles(edges: DataFrame, small: int = SMALL) -> DataFrame:
     return out if many is None else out.union(_cycles_by_joins(many))
 
 
+def _chained(edges: DataFrame, src: str, tgt: str) -> DataFrame:
+    """graph_id, id of the nodes that nothing but a chain of single predecessors leads to, whatever its length: pointers double each round."""
+    into = edges.groupBy("graph_id", F.col(tgt).alias("id")).agg(F.count(F.lit(1)).alias("n"), F.min(src).alias("p"))
+    single = materialize(into.where("n = 1").select("graph_id", "id", "p"))
+    for _ in range(single.count().bit_length()):
+        further = single.select("graph_id", F.col("id").alias("p"), F.col("p").alias("q"))
+        single = materialize(single.join(further, ["graph_id", "p"], "left").select("graph_id", "id", F.coalesce("q", "p").alias("p")))
+    return single.join(into.select("graph_id", F.col("id").alias("p")), ["graph_id", "p"], "left_anti").select("graph_id", "id")
+
+
+def _without(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    out = edges.join(nodes.withColumnRenamed("id", "src"), ["graph_id", "src"], "left_anti")
+    return out.join(nodes.withColumnRenamed("id", "tgt"), ["graph_id", "tgt"], "left_anti").select("graph_id", "src", "tgt")
+
+
 def _trim(edges: DataFrame) -> DataFrame:
-    """Drop edges from nodes that nothing reaches and to nodes that reach nothing, until none is left."""
+    """Drop edges from nodes that nothing reaches and to nodes that reach nothing, until none is left; chains go at once where a round drops little."""
     n = edges.count()
     while True:
         kept = edges.join(edges.select("graph_id", F.col("tgt").alias("src")).distinct(), ["graph_id", "src"], "left_semi")
@@ -108,18 +123,30 @@ def _trim(edges: DataFrame) -> DataFrame:
         left = kept.count()
         if left == n:
             return kept
+        if 0 < left and n - left < n / 10:
+            kept = materialize(_without(kept, _chained(kept, "src", "tgt")))
+            kept = materialize(_without(kept, _chained(kept, "tgt", "src")))
+            left = kept.count()
         edges, n = kept, left
 
 
 def _spread(labels: DataFrame, edges: DataFrame) -> DataFrame:
-    """Smallest label that reaches each node along the edges: labels (graph_id, id, label)."""
+    """Smallest label that reaches each node along the edges: labels (graph_id, id, label).
+
+    Besides its predecessors a node asks one node further back, at a distance
+    that doubles each round, so that a long path or cycle takes few rounds.
+    """
+    before = edges.groupBy("graph_id", F.col("tgt").alias("id")).agg(F.min("src").alias("p"))
+    labels = materialize(labels.join(before, ["graph_id", "id"], "left").select("graph_id", "id", "label", "p"))
     state = None
     while True:
-        moved = edges.join(labels.withColumnRenamed("id", "src"), ["graph_id", "src"]).select("graph_id", F.col("tgt").alias("id"), "label")
-        labels = materialize(labels.union(moved).groupBy("graph_id", "id").agg(F.min("label").alias("label")))
+        far = labels.select("graph_id", F.col("id").alias("p"), F.col("label").alias("l"), F.col("p").alias("q"))
+        jumped = labels.join(far, ["graph_id", "p"], "left").select("graph_id", "id", F.least("label", "l").alias("label"), F.coalesce("q", "p").alias("p"))
+        moved = edges.join(labels.select("graph_id", F.col("id").alias("src"), "label"), ["graph_id", "src"]).select("graph_id", F.col("tgt").alias("id"), "label", F.lit(None).cast("string").alias("p"))
+        labels = materialize(jumped.union(moved).groupBy("graph_id", "id").agg(F.min("label").alias("label"), F.max("p").alias("p")))
         new = labels.agg(F.sum(F.xxhash64("graph_id", "id", "label").cast("decimal(38,0)"))).first()
         if new == state:
-            return labels
+            return labels.drop("p")
         state = new
 
 
@@ -133,17 +160,12 @@ def _cycles_by_joins(edges: DataFrame) -> DataFrame:
         nodes = edges.select("graph_id", F.explode(F.array("src", "tgt")).alias("id")).distinct()
         colour = _spread(nodes.withColumn("label", F.col("id")), edges)
         inner = edges.join(colour.toDF("graph_id", "src", "cs"), ["graph_id", "src"]).join(colour.toDF("graph_id", "tgt", "ct"), ["graph_id", "tgt"]).where("cs = ct")
-        inner = materialize(inner.select("graph_id", "src", "tgt", F.col("cs").alias("c")))
-        front = reach = colour.where("id = label")
-        while True:
-            back = inner.join(front.select("graph_id", F.col("id").alias("tgt"), F.col("label").alias("c")), ["graph_id", "tgt", "c"]).select("graph_id", F.col("src").alias("id"), F.col("c").alias("label"))
-            front = materialize(back.distinct().join(reach, ["graph_id", "id", "label"], "left_anti"))
-            if front.isEmpty():
-                break
-            reach = reach.union(front)
-        found.append(reach.withColumnRenamed("label", "cycle"))
-        done = reach.select("graph_id", "id")
-        edges = edges.join(done.withColumnRenamed("id", "src"), ["graph_id", "src"], "left_anti").join(done.withColumnRenamed("id", "tgt"), ["graph_id", "tgt"], "left_anti")
+        back = materialize(inner.select("graph_id", F.col("tgt").alias("src"), F.col("src").alias("tgt")))
+        # 0 at a colour's node, and so at whatever reaches it.
+        reach = _spread(colour.select("graph_id", "id", F.when(F.col("id") == F.col("label"), 0).otherwise(1).alias("label")), back).where("label = 0").select("graph_id", "id")
+        reach = materialize(reach.join(colour.withColumnRenamed("label", "cycle"), ["graph_id", "id"]))
+        found.append(reach)
+        edges = _without(edges, reach.select("graph_id", "id"))
     out = spark.createDataFrame([], "graph_id string, id string, cycle string")
     for f in found:
         out = out.union(f)

@@ -2,6 +2,7 @@
 
 import fnmatch
 import math
+import random
 
 import duckdb
 import pytest
@@ -56,6 +57,22 @@ def test_acyclicity(spark, edges, internal, expected, small):
     assert value(tr.acyclicity(graph(spark, edges, internal=internal), small), "acyclicity") == pytest.approx(expected)
 
 
+def test_long_paths_and_cycles_by_joins(spark):
+    """A path of 1,000 nodes into a cycle of 1,000, from which another path goes out, beside a path of its own."""
+    name = lambda kind, i: f"{kind}{i:04d}"
+    path = lambda kind, n: [(name(kind, i), name(kind, i + 1)) for i in range(n - 1)]
+    edges = [*path("a", 1000), (name("a", 999), name("c", 0)), *path("c", 1000), (name("c", 999), name("c", 0)), (name("c", 500), name("d", 0)), *path("d", 300), *path("z", 1000)]
+    got = tr.cycles(graph(spark, edges).edges, small=0).collect()
+    assert {r["id"] for r in got} == {name("c", i) for i in range(1000)} and {(r["cycle"], r["size"]) for r in got} == {("c0000", 1000)}
+
+
+@pytest.mark.parametrize("seed", (1, 2))
+def test_cycles_by_joins_equal_those_in_memory(spark, seed):
+    rng = random.Random(seed)
+    edges = graph(spark, {(f"n{rng.randrange(120)}", f"n{rng.randrange(120)}") for _ in range(150)}).edges
+    assert same_rows(tr.cycles(edges, small=0), tr.cycles(edges))
+
+
 def test_no_edges(spark):
     g = graph(spark, [], ["a", "b", "c"])
     assert value(tr.acyclicity(g), "acyclicity") == 1.0 and value(gr.stability(g), "stability") == 0.0
