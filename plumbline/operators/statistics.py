@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.pvalues import correlation_p_value, normal_tail
-from plumbline.functions.scores import normal_cdf
 from plumbline.plans.lineage import ship_package
 from plumbline.plans.ordering import running_sum
 
@@ -166,7 +165,7 @@ def mediation_verdict(found: DataFrame, p: float = 0.05) -> DataFrame:
     first path above 0.3 is told as such.
     """
     ship_package(found.sparkSession)
-    out = found.withColumns({"p_a": correlation_p_value(F.col("r_a"), F.col("n")), "p_b": correlation_p_value(F.col("r_b"), F.col("n")), "sobel_p": 2.0 * (1.0 - normal_cdf(F.abs("sobel_z")))})
+    out = found.withColumns({"p_a": correlation_p_value(F.col("r_a"), F.col("n")), "p_b": correlation_p_value(F.col("r_b"), F.col("n")), "sobel_p": normal_tail(F.col("sobel_z"))})
     sure = lambda c: F.coalesce(F.col(c) < p, F.lit(False))
     through = sure("p_a") & sure("p_b") & (F.abs("indirect") > 0.1)
     direct = F.coalesce(F.abs("r_c") >= 0.3, F.lit(False))
