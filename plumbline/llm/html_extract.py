@@ -69,7 +69,7 @@ CLOSES = {
 TEMPLATE_SHARE, TEMPLATE_PAGES = 0.8, 5
 #: Share of the slots' plain text that a step towards the article keeps at least; with a name like article or content.
 MOST, NAMED = 0.7, 0.2
-#: Beyond so many terms a wrapper forgets optional terms that are surely on less than one page in RARE.
+#: Beyond so many terms optional ones that are surely on less than one page in RARE leave the wrapper; they are summed beside it and come back at the end.
 WRAPPER_TERMS, RARE = 400, 200
 MERGE = 64
 #: Names that no caller's column has.
@@ -188,7 +188,8 @@ def blocks_of(page: str) -> list[Block]:
 
 
 # --- wrappers -------------------------------------------------------------------------------------------------------------
-# A term: [signature, repeated, optional, text or None for a slot, pages that have it, pages that may have been forgotten, characters, linked ones].
+# A term: [signature, repeated, optional, text or None for a slot, pages that have it, pages that may stand beside the wrapper, characters, linked ones].
+# A text that stands beside the wrapper is known by its stamp: {"stamp": ...}.
 
 
 def stamp(path: str, text: str) -> str:
@@ -226,8 +227,8 @@ def page_wrapper(blocks: list[Block]) -> list[list]:
     return out
 
 
-def align(a: list[list], n_a: int, b: list[list], n_b: int) -> list[list]:
-    """Wrapper of both: common terms in order, slots where texts differ, all other terms optional."""
+def align(a: list[list], n_a: int, b: list[list], n_b: int, rest: list[list] | None = None) -> list[list]:
+    """Wrapper of both: common terms in order, slots where texts differ, all other terms optional. Terms that leave it are added to ``rest``."""
     keys_a, keys_b = [t[0] for t in a], [t[0] for t in b]
     pairs = [("equal", 0, len(a), 0, len(b))] if keys_a == keys_b else SequenceMatcher(None, keys_a, keys_b, autojunk=False).get_opcodes()
     out = []
@@ -237,12 +238,39 @@ def align(a: list[list], n_a: int, b: list[list], n_b: int) -> list[list]:
                 repeated = x[1] or y[1]
                 out.append([x[0], repeated, x[2] or y[2], x[3] if not repeated and x[3] == y[3] else None, *(x[q] + y[q] for q in range(4, 8))])
         else:
-            # The other side may have forgotten the term: at most one page in RARE.
+            # The term may have left the other side: at most one page in RARE.
             out += [[t[0], t[1], True, t[3], t[4], t[5] + n_b // RARE, *t[6:]] for t in a[i:j]]
             out += [[t[0], t[1], True, t[3], t[4], t[5] + n_a // RARE, *t[6:]] for t in b[k:m]]
     n = n_a + n_b
     if len(out) > WRAPPER_TERMS:
-        out = [t for t in out if not t[2] or t[4] + t[5] > n // RARE]
+        stays = [not t[2] or t[4] + t[5] > n // RARE for t in out]
+        if rest is not None:
+            rest += [t for t, s in zip(out, stays, strict=True) if not s]
+        out = [t for t, s in zip(out, stays, strict=True) if s]
+    return out
+
+
+def _stamped(term: list) -> str | None:
+    """Stamp of a term's text; None for a slot."""
+    if term[3] is None or isinstance(term[3], dict):
+        return term[3] and term[3]["stamp"]
+    return stamp(_paths(term)[0], term[3])
+
+
+def whole_wrapper(terms: list[list], rest: list[dict]) -> list[list]:
+    """The wrapper with the sums of the terms that left it, each added to the live term of its text (or slot) or as one of its own; counts are exact."""
+    out = [[*t[:5], 0, *t[6:]] for t in terms]
+    live: dict[tuple, list] = {}
+    for t in out:
+        live.setdefault((t[0], _stamped(t)), t)
+    for r in rest:
+        t = live.get((r["name"], r["stamp"]))
+        if t is None:
+            t = [r["name"], r["repeated"], True, r["stamp"] and {"stamp": r["stamp"]}, 0, 0, 0, 0]
+            live[r["name"], r["stamp"]] = t
+            out.append(t)
+        for k, x in ((4, "had"), (6, "chars"), (7, "linked")):
+            t[k] += r[x]
     return out
 
 
@@ -292,7 +320,7 @@ def decide(terms: list[list], pages: int) -> dict[str, list[str]]:
     slots = [(ps, w) for _, ps, f, w in alive if not f and w]
     if not any("*" in ps[0] for ps, _ in slots) and sum(w for _, w in slots) <= sum(w for _, _, f, w in alive if f):
         alive = [(t, ps, False, w) for t, ps, f, w in alive]
-    constant = [stamp(ps[0], t[3]) for t, ps, f, _ in alive if f]
+    constant = [_stamped(t) for t, _, f, _ in alive if f]
 
     holds: dict[str, int] = defaultdict(int)
     for _, ps, f, w in alive:
@@ -316,48 +344,95 @@ def decide(terms: list[list], pages: int) -> dict[str, list[str]]:
     return {"constant": constant, "cleared": sorted(cleared), "regions": [region, *sorted(set(also))]}
 
 
+REST = "array<struct<name:string,repeated:boolean,stamp:string,had:long,chars:long,linked:long>>"
+
+
 def infer_wrappers(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
-    """host, pages, wrapper (JSON terms): one row per host."""
-    bound_batches(pages.sparkSession, 200)
+    """host, pages, wrapper (JSON terms): one row per host.
+
+    Rows with 0 pages carry what left the wrappers; by host, signature and
+    text these are summed over the cluster. A text keeps its own term where
+    the wrapper has it too or enough pages do; others are slots.
+    """
+    spark = pages.sparkSession
+    bound_batches(spark, 200)
+
+    def beside(rest: dict[str, list[list]]) -> list[tuple[str, int, str]]:
+        out = []
+        for host, terms in rest.items():
+            sums: dict[tuple, list] = {}
+            for t in terms:
+                x = sums.setdefault((t[0], _stamped(t)), [False, 0, 0, 0])
+                x[:] = [x[0] or t[1], x[1] + t[4], x[2] + t[6], x[3] + t[7]]
+            if sums:
+                out.append((host, 0, json.dumps([dict(zip(("name", "stamp", "repeated", "had", "chars", "linked"), (*k, *x), strict=True)) for k, x in sums.items()])))
+        return out
 
     def infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
         found: dict[str, list] = {}
+        rest: dict[str, list[list]] = defaultdict(list)
 
-        def rows() -> pa.RecordBatch:
-            data = [(h, task, w[0], json.dumps(w[1])) for h, w in found.items()]
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in data], t) for i, t in enumerate((pa.string(), pa.int32(), pa.int64(), pa.string()))], names=["host", "task", "pages", "wrapper"])
+        def rows(data: list[tuple[str, int, str]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in data], pa.string()), pa.array([task] * len(data), pa.int32()), pa.array([r[1] for r in data], pa.int64()), pa.array([r[2] for r in data], pa.string())], names=["host", "task", "pages", "wrapper"])
 
         for batch in batches:
             for host, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 new = page_wrapper(blocks_of(text or ""))
                 if host in found:
                     n, old = found[host]
-                    found[host] = [n + 1, align(old, n, new, 1)]
+                    found[host] = [n + 1, align(old, n, new, 1, rest[host])]
                 else:
                     found[host] = [1, new]
             if len(found) > 1000:
-                yield rows()
+                yield rows([(h, w[0], json.dumps(w[1])) for h, w in found.items()])
                 found.clear()
+            if sum(map(len, rest.values())) > 10 * WRAPPER_TERMS:
+                yield rows(beside(rest))
+                rest.clear()
         if found:
-            yield rows()
+            yield rows([(h, w[0], json.dumps(w[1])) for h, w in found.items()])
+        yield rows(beside(rest))
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
         n, terms = 0, []
+        rest: list[list] = []
         for m, w in sorted(zip(group["pages"], group["wrapper"], strict=True), key=lambda x: (-x[0], x[1])):
-            terms = align(terms, n, json.loads(w), m) if n else json.loads(w)
+            terms = align(terms, n, json.loads(w), m, rest) if n else json.loads(w)
             n += m
-        return pd.DataFrame({"host": group["host"].iloc[:1], "task": [int(group["task"].iloc[0]) // MERGE], "pages": [n], "wrapper": [json.dumps(terms)]})
+        host = group["host"].iloc[0]
+        return pd.DataFrame([(host, int(group["task"].iloc[0]) // MERGE, k, w) for host, k, w in [(host, n, json.dumps(terms)), *beside({host: rest})]], columns=["host", "task", "pages", "wrapper"])
 
     schema = "host string, task int, pages long, wrapper string"
     source = pages.select(host_of(F.col(url)).alias("host"), F.col(page))
-    out = source.mapInArrow(infer, schema)
+    out = materialize(source.mapInArrow(infer, schema), spark)
+    rest = out.where("pages = 0")
     left = source.rdd.getNumPartitions()
     while True:
-        out = out.groupBy("host", F.floor(F.col("task") / MERGE).alias("_")).applyInPandas(merge, schema)
+        out = materialize(out.where("pages > 0").groupBy("host", F.floor(F.col("task") / MERGE).alias("_")).applyInPandas(merge, schema), spark)
+        rest = rest.union(out.where("pages = 0"))
         left = -(-left // MERGE)
         if left <= 1:
-            return out.drop("task")
+            break
+    known = out.where("pages > 0").drop("task")
+
+    @F.pandas_udf("array<struct<name:string,stamp:string>>")
+    def texts_of(wrappers: pd.Series) -> pd.Series:
+        return pd.Series([[{"name": t[0], "stamp": _stamped(t)} for t in json.loads(w) if t[3] is not None] for w in wrappers])
+
+    @F.pandas_udf("string")
+    def completed(wrappers: pd.Series, rests: pd.Series) -> pd.Series:
+        return pd.Series([json.dumps(whole_wrapper(json.loads(w), json.loads(r) if r is not None else [])) for w, r in zip(wrappers, rests, strict=True)])
+
+    sums = rest.select("host", F.explode(F.from_json("wrapper", REST)).alias("r")).select("host", "r.*")
+    sums = sums.groupBy("host", "name", "stamp").agg(F.max("repeated").alias("repeated"), *[F.sum(c).alias(c) for c in ("had", "chars", "linked")])
+    live = known.join(sums.select("host").distinct(), "host", "left_semi").select("host", F.explode(texts_of("wrapper")).alias("t")).select("host", "t.name", "t.stamp").distinct().withColumn("live", F.lit(True))
+    sums = sums.join(live, ["host", "name", "stamp"], "left").join(known.select("host", "pages"), "host")
+    text = F.when(F.coalesce("live", F.lit(False)) | (F.col("had") >= TEMPLATE_SHARE * F.col("pages")), F.col("stamp"))
+    sums = sums.withColumn("stamp", text).groupBy("host", "name", "stamp").agg(F.max("repeated").alias("repeated"), *[F.sum(c).alias(c) for c in ("had", "chars", "linked")])
+    names = ("name", "stamp", "repeated", "had", "chars", "linked")
+    lists = sums.groupBy("host").agg(F.to_json(F.sort_array(F.collect_list(F.struct(*names))), {"ignoreNullFields": "false"}).alias("rest"))
+    return known.join(lists, "host", "left").select("host", "pages", completed("wrapper", "rest").alias("wrapper"))
 
 
 def _within(path: str, regions: list[str]) -> bool:
