@@ -38,8 +38,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import shingles as sh
-from plumbline.llm.common import bound_batches, discard, materialize, table
+from plumbline.llm.common import bound_batches, broadcast_if_small, discard, materialize, table
 from plumbline.llm.deep_shallow import sort_groups
+from plumbline.plans.lineage import release
 
 LENGTH, Q = 200, 16
 SPAN = LENGTH - Q  # largest distance of a window's start from its anchor
@@ -319,7 +320,7 @@ def _free(spark: SparkSession, *written: DataFrame) -> None:
     """Delete tables of steps that are over, and let Spark drop their shuffle files, which would stay until the driver happens to collect garbage."""
     for df in written:
         discard(df)
-    spark.sparkContext._jvm.System.gc()
+    release(spark)
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep_bytes: bool = False) -> DataFrame:
@@ -349,10 +350,13 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     sole = sole.select("key", "context", F.lit(0).cast("long").alias("start"), (F.col("at").bitwiseAND(255) + LENGTH).alias("end"), F.explode(F.when(F.col("low") < F.col("high"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))).alias("shared"))
 
     several = by_context.join(by_key.where("n_contexts > 1"), "key").join(rows.select("row", "rid"), "row")
-    wanted = several.groupBy("rid").agg(F.collect_list(F.struct("key", "context", "n", "low", "high", "at")).alias("want"))
-    bodies = materialize(context_texts(distinct_texts(docs, text), wanted))
+    # Written first: its shuffle files go before those of the texts come.
+    wanted = materialize(several.groupBy("rid").agg(F.collect_list(F.struct("key", "context", "n", "low", "high", "at")).alias("want")))
     _free(spark)
-    hot = by_key.where(F.col("n_contexts") > HOT).select("key")
+    bodies = materialize(context_texts(distinct_texts(docs, text), wanted))
+    _free(spark, wanted)
+    # One key in HOT contexts at most, so few: the texts are not shuffled to meet them.
+    hot = broadcast_if_small(materialize(by_key.where(F.col("n_contexts") > HOT).select("key")))
     parts = materialize(sole.union(sort_contexts(bodies.join(hot, "key", "left_anti"))).union(count_windows(bodies.join(hot, "key", "left_semi"))))
     _free(spark, bodies)
 

@@ -3,6 +3,7 @@
 import json
 
 from plumbline.llm import html_extract as he
+from plumbline.llm import suffix_dedup as sd
 
 
 def pages():
@@ -40,3 +41,20 @@ def test_sums_go_to_the_live_term_of_their_text():
     whole = he.whole_wrapper(live, rest)
     assert whole == [["a", False, True, "x", 160, 0, 160, 0], ["b", False, False, None, 53, 0, 1004, 6], ["a", False, True, None, 9, 0, 30, 2]]
     assert he.decide(whole, 200)["constant"] == [he.stamp("a", "x")]
+
+
+def test_contexts_are_shuffled_once(spark, monkeypatch):
+    """The texts of contexts are not shuffled to find those of frequent anchors, whatever the threshold of automatic broadcasts."""
+    plans, before = [], spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    for name in ("sort_contexts", "count_windows"):
+        f = getattr(sd, name)
+        monkeypatch.setattr(sd, name, lambda bodies, f=f: plans.append(bodies._jdf.queryExecution().executedPlan().toString()) or f(bodies))
+    shared = "".join(chr(97 + i * i % 23) for i in range(300))
+    texts = [f"{k} {'xyz' * k} {shared} end of {k}" for k in range(6)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = {r["doc_id"]: r["n_removed"] for r in sd.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert all(found[k] >= 300 for k in range(6))
+    assert len(plans) == 2 and not any("SortMergeJoin" in p or "hashpartitioning" in p for p in plans)
