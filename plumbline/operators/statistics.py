@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.pvalues import correlation_p_value, normal_tail
-from plumbline.plans.lineage import ship_package
+from plumbline.plans.lineage import materialize, ship_package
 from plumbline.plans.ordering import running_sum
 
 
@@ -92,7 +92,8 @@ def study_verdict(df: DataFrame, kind: str, dose: str, x: str, baseline: str, le
     root of the mean variance (a lone value has the deviation 0.01); combined
     has none. Fewer than ``least`` rows of a kind (twice that combined) are SKIP.
     """
-    rows = df.select(F.col(kind).cast("string").alias("kind"), F.col(dose).cast("double").alias("dose"), F.col(x).cast("double").alias("x"), F.col(baseline).cast("double").alias("base"))
+    # Written once: a value computed again may differ in its last digits, and then finds no rank.
+    rows = materialize(df.select(F.col(kind).cast("string").alias("kind"), F.col(dose).cast("double").alias("dose"), F.col(x).cast("double").alias("x"), F.col(baseline).cast("double").alias("base")))
     parts = dose_response(rows, ["kind"], "dose", "x").withColumn("need", F.lit(least))
     everything = dose_response(rows.withColumn("kind", F.lit("combined")), ["kind"], "dose", "x").withColumn("need", F.lit(2 * least))
     ends = rows.agg(F.min(F.when(F.col("dose") > 0, F.col("dose"))).alias("low"), F.max("dose").alias("high"))
